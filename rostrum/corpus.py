@@ -15,6 +15,7 @@ from rostrum.operators.batches import DEFAULT_BATCH
 from rostrum.operators.features import with_topic_features
 from rostrum.operators.numbering import number_by_key, rows_at
 from rostrum.schema import HIGH_WEIGHT, topic_columns
+from rostrum.session import tune
 from rostrum.sources import readers, writers
 
 
@@ -61,6 +62,7 @@ class Corpus:
         seed: int = sampling.DEFAULT_SEED,
     ) -> Corpus:
         """As :meth:`load`, from a DataFrame."""
+        tune(df.sparkSession)
         if filters:
             df = select.where_columns(df, filters)
         key = df

@@ -24,7 +24,3 @@ def year_of(date: Column) -> Column:
 def decade_of(date: Column) -> Column:
     return F.year(date) - F.pmod(F.year(date), F.lit(10))
 
-
-def clip_unit(weight: Column) -> Column:
-    """Clip to [0, 1]; NULL stays NULL (``least`` alone would turn it into 1)."""
-    return F.when(weight < 0, F.lit(0.0)).when(weight > 1, F.lit(1.0)).otherwise(weight)

@@ -1,57 +1,66 @@
-"""Per-document topic expressions over the wide weight columns."""
+"""Per-document topic expressions over the wide weight columns.
+
+Expressions over all topics are written as SQL text: one call builds them, where
+the same expression from single Columns takes some hundred round trips to the JVM.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 from rostrum.schema import ACTIVE_WEIGHT, TOPIC_PREFIX
 
 # Fixed value: keeps the logarithm and the division defined at zero.
-EPSILON = 1e-10
+EPSILON = "1e-10D"
 
 
-def _sum(parts: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)
+def _all(template: str, cols: Sequence[str], separator: str = ", ") -> str:
+    return separator.join(template.format(c=f"`{c}`", name=c) for c in cols)
 
 
 def max_weight(cols: Sequence[str]) -> Column:
     """Row maximum; missing weights are skipped."""
-    return F.array_max(F.array(*cols))
+    return F.expr(f"array_max(array({_all('{c}', cols)}))")
 
 
-def dominant_topic(cols: Sequence[str], row_max: Column) -> Column:
+def dominant_topic(cols: Sequence[str], row_max: str) -> Column:
     """First column that equals the row maximum; NULL when all are missing.
 
     A position in an array keeps the expression small: it grows with the number
     of topics, not with its square, when a filter on it is pushed down.
     """
-    position = F.array_position(F.array(*cols), row_max).cast("int")
-    return F.get(F.array(*[F.lit(c) for c in cols]), position - 1)
+    values, names = _all("{c}", cols), _all("'{name}'", cols)
+    position = f"CAST(array_position(array({values}), `{row_max}`) AS INT)"
+    return F.expr(f"get(array({names}), {position} - 1)")
 
 
 def weight_sum(cols: Sequence[str]) -> Column:
     """Row sum that skips missing weights."""
-    return _sum([F.coalesce(F.col(c), F.lit(0.0)) for c in cols])
+    return F.expr(_all("coalesce({c}, 0.0D)", cols, " + "))
+
+
+def clipped_sum(cols: Sequence[str]) -> Column:
+    """Row sum after missing weights are set to 0 and all are clipped to [0, 1]."""
+    clipped = _all("greatest(0.0D, least(1.0D, coalesce({c}, 0.0D)))", cols, " + ")
+    return F.expr(clipped)
 
 
 def strict_weight_sum(cols: Sequence[str]) -> Column:
     """Row sum that is NULL as soon as one weight is missing."""
-    return _sum([F.col(c) for c in cols])
+    return F.expr(_all("{c}", cols, " + "))
 
 
-def entropy(cols: Sequence[str], strict_sum: Column) -> Column:
+def entropy(cols: Sequence[str], strict_sum: str) -> Column:
     """Natural-log entropy of the normalised weights; NULL if one is missing."""
-    total = strict_sum + F.lit(EPSILON)
-    terms = [(F.col(c) / total) * F.ln(F.col(c) / total + F.lit(EPSILON)) for c in cols]
-    return -_sum(terms)
+    share = f"{{c}} / (`{strict_sum}` + {EPSILON})"
+    return F.expr(f"-({_all(f'({share}) * ln({share} + {EPSILON})', cols, ' + ')})")
 
 
 def active_count(cols: Sequence[str], threshold: float = ACTIVE_WEIGHT) -> Column:
     """Number of weights above the threshold; missing weights do not count."""
-    return _sum([F.when(F.col(c) > threshold, 1).otherwise(0) for c in cols])
+    return F.expr(_all(f"(CASE WHEN {{c}} > {threshold!r}D THEN 1 ELSE 0 END)", cols, " + "))
 
 
 def top_k(cols: Sequence[str], k: int) -> Column:
@@ -60,13 +69,10 @@ def top_k(cols: Sequence[str], k: int) -> Column:
     Sorting (-weight, position) structs needs no comparator lambda and breaks
     ties by column order.
     """
-    entries = F.array(
-        *[
-            F.struct((-F.col(c)).alias("neg"), F.lit(i).alias("pos"), F.lit(c).alias("topic"))
-            for i, c in enumerate(cols)
-        ]
+    entries = ", ".join(
+        f"struct(-`{c}` AS neg, {i} AS pos, '{c}' AS topic)" for i, c in enumerate(cols)
     )
-    ranked = F.slice(F.sort_array(F.filter(entries, lambda e: e["neg"] < 0)), 1, k)
+    ranked = F.slice(F.sort_array(F.expr(f"filter(array({entries}), e -> e.neg < 0)")), 1, k)
     return F.transform(
         ranked, lambda e: F.struct(e["topic"].alias("topic"), (-e["neg"]).alias("weight"))
     )

@@ -30,6 +30,13 @@ def _present(df: DataFrame, names: tuple[str, ...]) -> list[str]:
     return [c for c in names if c in df.columns]
 
 
+def _replaced(df: DataFrame, formulas: Mapping[str, str]) -> DataFrame:
+    """Replace columns by SQL expressions, in one projection."""
+    if not formulas:
+        return df
+    return df.selectExpr(*[f"{formulas.get(c, f'`{c}`')} AS `{c}`" for c in df.columns])
+
+
 def standardize_text(df: DataFrame) -> DataFrame:
     """Missing text to '', any run of white space to one space."""
     return df.withColumns(
@@ -40,13 +47,13 @@ def standardize_text(df: DataFrame) -> DataFrame:
     )
 
 
-def long_enough(min_length: int = MIN_TEXT_LENGTH) -> Column:
-    """Predicate of the documents a clean-up keeps (on standardised text)."""
-    return F.length("text") >= min_length
-
-
 def drop_short_text(df: DataFrame, min_length: int = MIN_TEXT_LENGTH) -> DataFrame:
-    return df.filter(long_enough(min_length)) if "text" in df.columns else df
+    """Keep documents whose standardised text has ``min_length`` characters.
+
+    Works on raw and on standardised text alike; use it before standardising, so
+    that dropped documents cost nothing more.
+    """
+    return df.filter(tx.at_least(F.col("text"), min_length)) if "text" in df.columns else df
 
 
 def standardize_dates(df: DataFrame) -> DataFrame:
@@ -105,7 +112,7 @@ def fill_ids(df: DataFrame) -> DataFrame:
 
 def fill_weights(df: DataFrame) -> DataFrame:
     cols = topic_columns(df)
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in cols}) if cols else df
+    return _replaced(df, {c: f"coalesce(`{c}`, 0.0D)" for c in cols})
 
 
 def fill_missing(df: DataFrame, modes: Mapping[str, str | Column] | None = None) -> DataFrame:
@@ -122,8 +129,10 @@ def clean_numbers(df: DataFrame) -> DataFrame:
     if "training_set" in df.columns:
         flag = parsing.parse_number(F.col("training_set"))
         changes["training_set"] = F.coalesce(flag.try_cast("int"), F.lit(0))
-    changes.update({c: parsing.clip_unit(F.col(c)) for c in topic_columns(df)})
-    return df.withColumns(changes) if changes else df
+    numbers = df.withColumns(changes) if changes else df
+    # NULL stays NULL, while ``least`` alone would turn it into 1.
+    clip = "CASE WHEN `{c}` < 0 THEN 0.0D WHEN `{c}` > 1 THEN 1.0D ELSE `{c}` END"
+    return _replaced(numbers, {c: clip.format(c=c) for c in topic_columns(df)})
 
 
 def clean(
@@ -139,7 +148,7 @@ def clean(
     Feature columns keep the values they had before, see ``refresh_features``.
     """
     if standardize:
-        df = drop_short_text(standardize_text(df), min_length)
+        df = standardize_text(drop_short_text(df, min_length))
     if fix_dates:
         df = standardize_dates(df)
     if handle_missing:
@@ -166,12 +175,12 @@ def cleaning_report(df: DataFrame, min_length: int = MIN_TEXT_LENGTH) -> DataFra
     weight after the clean-up.
     """
     cols = topic_columns(df)
-    staged = standardize_text(df)
+    staged = df
     if "date" in df.columns:
         staged = staged.withColumn("date", parsing.parse_date(F.col("date")))
     if "congno" in df.columns:
         staged = staged.withColumn("congno", parsing.parse_number(F.col("congno")))
-    keep = F.coalesce(long_enough(min_length), F.lit(False)) if "text" in df.columns else F.lit(True)
+    keep = tx.at_least(F.col("text"), min_length) if "text" in df.columns else F.lit(True)
     staged = staged.withColumn("__keep", keep)
     kept = F.col("__keep")
     metrics = {
@@ -186,15 +195,11 @@ def cleaning_report(df: DataFrame, min_length: int = MIN_TEXT_LENGTH) -> DataFra
             kept & ~F.col("congno").between(FIRST_CONGRESS, LAST_CONGRESS)
         )
     if "text" in df.columns:
-        metrics["empty_text_documents"] = F.count_if(kept & (F.length("text") == 0))
+        metrics["empty_text_documents"] = F.count_if(kept & ~tx.at_least(F.col("text"), 1))
     if cols:
-        clipped = [parsing.clip_unit(F.coalesce(F.col(c), F.lit(0.0))) for c in cols]
-        total = clipped[0]
-        for part in clipped[1:]:
-            total = total + part
-        staged = staged.withColumn("__total", total)
+        staged = staged.withColumn("__total", tf.clipped_sum(cols))
         metrics["zero_weight_documents"] = F.count_if(kept & (F.col("__total") == 0))
         for c in cols:
-            metrics[f"clipped_{c}"] = F.count_if(kept & ((F.col(c) < 0) | (F.col(c) > 1)))
+            metrics[f"clipped_{c}"] = F.expr(f"count_if(__keep AND (`{c}` < 0 OR `{c}` > 1))")
     row = staged.agg(*[value.alias(name) for name, value in metrics.items()])
     return row.unpivot([], list(metrics), "metric", "value")

@@ -30,9 +30,9 @@ def with_topic_features(df: DataFrame, active_weight: float = ACTIVE_WEIGHT) ->
     )
     return staged.select(
         *kept,
-        tf.dominant_topic(cols, F.col("max_topic_weight")).alias("dominant_topic"),
+        tf.dominant_topic(cols, "max_topic_weight").alias("dominant_topic"),
         "max_topic_weight",
-        tf.entropy(cols, F.col(_TOTAL)).alias("topic_entropy"),
+        tf.entropy(cols, _TOTAL).alias("topic_entropy"),
         tf.active_count(cols, active_weight).alias("active_topic_count"),
     )
 

@@ -131,16 +131,11 @@ def topic_correlations(df: DataFrame, k: int | None = 10) -> DataFrame:
     never leave their task: only one partial row per pair and task is shuffled.
     """
     cols = topic_columns(df)
-    pairs = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-            for i in range(len(cols))
-            for j in range(i + 1, len(cols))
-        ]
-    )
+    places = range(len(cols))
+    pairs = ", ".join(f"struct({i} AS i, {j} AS j)" for i in places for j in places if i < j)
     some_weight = F.coalesce(*cols).isNotNull()
     weights = df.filter(some_weight).select(F.array(*cols).alias("w"))
-    paired = weights.select("w", F.explode(pairs).alias("pair")).select(
+    paired = weights.select("w", F.expr(f"explode(array({pairs})) AS pair")).select(
         F.col("pair.i").alias("i"),
         F.col("pair.j").alias("j"),
         F.get("w", F.col("pair.i")).alias("a"),
@@ -269,7 +264,8 @@ def length_categories(df: DataFrame) -> DataFrame:
 def missing_data(df: DataFrame) -> DataFrame:
     """``(column, missing, percent)`` of the columns with any missing value."""
     row = df.agg(
-        F.count("*").alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]
+        F.count("*").alias("__rows"),
+        *[F.expr(f"count_if(`{c}` IS NULL) AS `{c}`") for c in df.columns],
     )
     return (
         row.unpivot(["__rows"], df.columns, "column", "missing")
@@ -466,25 +462,15 @@ def corpus_metrics(df: DataFrame) -> DataFrame:
         families["diversity"] = _diversity_metrics()
     if "active_topic_count" in df.columns:
         families["active_topics"] = _active_metrics()
-    named = {
-        f"{family}.{metric}": value
-        for family, metrics in families.items()
-        for metric, value in metrics.items()
-    }
+    named = [(family, m, value) for family, ms in families.items() for m, value in ms.items()]
     row = df.select(*staged).agg(
-        *[value.cast("double").alias(f"m{i}") for i, value in enumerate(named.values())]
+        *[value.cast("double").alias(f"m{i}") for i, (_, _, value) in enumerate(named)]
     )
-    labelled = F.array(
-        *[
-            F.struct(
-                F.lit(name.split(".")[0]).alias("family"),
-                F.lit(name.split(".")[1]).alias("metric"),
-                F.col(f"m{i}").alias("value"),
-            )
-            for i, name in enumerate(named)
-        ]
+    entries = ", ".join(
+        f"struct('{family}' AS family, '{metric}' AS metric, m{i} AS value)"
+        for i, (family, metric, _) in enumerate(named)
     )
-    return row.select(F.inline(labelled))
+    return row.selectExpr(f"inline(array({entries}))")
 
 
 # ---- research views -----------------------------------------------------------------
@@ -496,7 +482,7 @@ def legislator_profiles(df: DataFrame) -> DataFrame:
     return (
         df.filter(F.col("bonica_rid").isNotNull())
         .groupBy("bonica_rid")
-        .agg(F.count("*").alias("documents"), *[F.avg(c).alias(c) for c in cols])
+        .agg(F.count("*").alias("documents"), *[F.expr(f"avg(`{c}`) AS `{c}`") for c in cols])
     )
 
 

@@ -16,138 +16,106 @@ SHORT_TEXT = 10
 SHORT_SHARE = 0.05
 
 
-def _row_identity(df: DataFrame) -> Column:
-    """256-bit digest of a whole row in an unambiguous spelling.
+def _row_identity(df: DataFrame) -> list[Column]:
+    """128 bits that identify a row: two hashes of all columns from different seeds.
 
-    Every value is prefixed by its length and NULL has a mark of its own, so two
-    rows share a digest only if they are equal. Adding 0.0 makes -0.0 equal 0.0.
+    The hash skips NULLs, so a mask tells which columns are NULL. Chance equality
+    among 10^10 rows has a probability below 10^-18.
     """
-    parts = []
-    for field in df.schema.fields:
-        value = F.col(f"`{field.name}`")
-        if field.dataType.typeName() in ("double", "float"):
-            value = value + F.lit(0.0)
-        plain = value.cast("string")
-        parts.append(F.coalesce(F.concat(F.length(plain).cast("string"), F.lit(":"), plain), F.lit("-")))
-    return F.unhex(F.sha2(F.concat_ws(",", *parts), 256))
+    columns = ", ".join(f"`{c}`" for c in df.columns)
+    mask = ", ".join(f"if(`{c}` IS NULL, '1', '0')" for c in df.columns)
+    return [F.expr(f"xxhash64({s}, concat({mask}), {columns}) AS __id{s}") for s in (1, 2)]
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: total rows, and rows beyond the first of their kind.
 
-    Only 32 bytes per distinct row are shuffled, not the row; copies combine
-    before the shuffle.
+    Only 16 bytes and a count per distinct row are shuffled, not the row; copies
+    combine before the shuffle.
     """
-    counts = df.groupBy(_row_identity(df).alias("__id")).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*_row_identity(df)).agg(F.count("*").alias("n"))
     return counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
     )
 
 
-def _rules(df: DataFrame) -> tuple[DataFrame, list[tuple[str, str, str | None, Column, Column]]]:
-    """Staged rows and ``(category, rule, column, violations, tolerated)`` aggregates."""
+Rule = tuple[str, str, str, str, str]
+
+
+def _rules(df: DataFrame) -> tuple[DataFrame, list[Rule]]:
+    """Staged rows, and per rule its category, name, column, the SQL aggregate that
+    counts violations and the one that gives the tolerated number."""
     cols = topic_columns(df)
-    none = F.lit(0.0)
     staged: list[Column] = [F.col(c) for c in cols]
-    rules = []
+    rules: list[Rule] = []
     if "text" in df.columns:
         staged.append(F.length("text").alias("__length"))
-        length = F.col("__length")
+        short = f"count_if(__length < {SHORT_TEXT})"
         rules += [
-            (CONTENT, "empty_text", "text", F.count_if(length == 0), none),
-            (
-                CONTENT,
-                "very_short_text",
-                "text",
-                F.count_if(length < SHORT_TEXT),
-                F.count("*") * SHORT_SHARE,
-            ),
+            (CONTENT, "empty_text", "text", "count_if(__length = 0)", "0"),
+            (CONTENT, "very_short_text", "text", short, f"count(*) * {SHORT_SHARE}D"),
         ]
     for c in cols:
-        weight = F.col(c)
         rules += [
-            (TOPICS, "out_of_range", c, F.count_if((weight < 0) | (weight > 1)), none),
-            (TOPICS, "missing_weight", c, F.count_if(weight.isNull()), none),
+            (TOPICS, "out_of_range", c, f"count_if(`{c}` < 0 OR `{c}` > 1)", "0"),
+            (TOPICS, "missing_weight", c, f"count_if(`{c}` IS NULL)", "0"),
         ]
     if cols:
         staged.append(tf.weight_sum(cols).alias("__total"))
-        rules.append((TOPICS, "all_zero_weights", None, F.count_if(F.col("__total") == 0), none))
+        rules.append((TOPICS, "all_zero_weights", "", "count_if(__total = 0)", "0"))
     if "congno" in df.columns:
         staged.append(parsing.parse_number(F.col("congno")).alias("__congno"))
-        outside = ~F.col("__congno").between(FIRST_CONGRESS, LAST_CONGRESS)
-        rules.append((CONSISTENCY, "congress_out_of_range", "congno", F.count_if(outside), none))
+        outside = f"count_if(__congno NOT BETWEEN {FIRST_CONGRESS} AND {LAST_CONGRESS})"
+        rules.append((CONSISTENCY, "congress_out_of_range", "congno", outside, "0"))
     if "date" in df.columns:
         staged.append(parsing.parse_date(F.col("date")).alias("__date"))
-        rules.append(
-            (CONSISTENCY, "invalid_date", "date", F.count_if(F.col("__date").isNull()), none)
-        )
+        rules.append((CONSISTENCY, "invalid_date", "date", "count_if(__date IS NULL)", "0"))
     if "training_set" in df.columns:
         staged.append(F.col("training_set"))
-        valid = F.coalesce(F.col("training_set").isin(0, 1), F.lit(False))
-        rules.append((CONSISTENCY, "invalid_flag", "training_set", F.count_if(~valid), none))
+        # A missing flag is invalid; without the coalesce it would be neither.
+        invalid = "count_if(NOT coalesce(training_set IN (0, 1), false))"
+        rules.append((CONSISTENCY, "invalid_flag", "training_set", invalid, "0"))
     return df.select(*staged), rules
 
 
-def _entry(category: str, rule: str, column: str | None, violations: Column, passed: Column):
-    return F.struct(
-        F.lit(category).alias("category"),
-        F.lit(rule).alias("rule"),
-        F.coalesce(F.lit(column).cast("string"), F.lit("")).alias("column"),
-        violations.cast("bigint").alias("violations"),
-        passed.alias("passed"),
+def _report(row: DataFrame, entries: list[tuple[str, str, str, str, str]]) -> DataFrame:
+    """One row per entry ``(category, rule, column, violations, passed)`` in SQL."""
+    structs = ", ".join(
+        f"struct('{category}' AS category, '{rule}' AS rule, '{column}' AS column, "
+        f"CAST({violations} AS BIGINT) AS violations, {passed} AS passed)"
+        for category, rule, column, violations, passed in entries
     )
+    return row.selectExpr(f"inline(array({structs}))")
 
 
 def validation_report(df: DataFrame) -> DataFrame:
     """``(category, rule, column, violations, passed)`` for every rule.
 
     Content, topic and consistency rules are aggregates of one scan; the
-    structure rules need the shuffle of the row digests.
+    structure rules need the shuffle of the row hashes.
     """
-    missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
-    structure = duplicate_rows(df).select(
-        F.inline(
-            F.array(
-                _entry(
-                    STRUCTURE,
-                    "empty_table",
-                    None,
-                    (F.col("total_rows") == 0).cast("int"),
-                    F.col("total_rows") > 0,
-                ),
-                *[
-                    _entry(
-                        STRUCTURE,
-                        "missing_column",
-                        c,
-                        F.lit(int(c in missing)),
-                        F.lit(c not in missing),
-                    )
-                    for c in REQUIRED_COLUMNS
-                ],
-                _entry(
-                    STRUCTURE,
-                    "duplicate_rows",
-                    None,
-                    F.col("duplicate_rows"),
-                    F.col("duplicate_rows") == 0,
-                ),
-            )
-        )
+    missing = {c: int(c not in df.columns) for c in REQUIRED_COLUMNS}
+    structure = _report(
+        duplicate_rows(df),
+        [
+            (STRUCTURE, "empty_table", "", "int(total_rows = 0)", "total_rows > 0"),
+            *[(STRUCTURE, "missing_column", c, str(n), f"{n} = 0") for c, n in missing.items()],
+            (STRUCTURE, "duplicate_rows", "", "duplicate_rows", "duplicate_rows = 0"),
+        ],
     )
     staged, rules = _rules(df)
     if not rules:
         return structure
     row = staged.agg(
-        *[v.alias(f"v{i}") for i, (_, _, _, v, _) in enumerate(rules)],
-        *[t.alias(f"t{i}") for i, (_, _, _, _, t) in enumerate(rules)],
+        *[F.expr(f"{violations} AS v{i}") for i, (*_, violations, _) in enumerate(rules)],
+        *[F.expr(f"{limit} AS t{i}") for i, (*_, limit) in enumerate(rules) if limit != "0"],
     )
     entries = [
-        _entry(category, rule, column, F.col(f"v{i}"), F.col(f"v{i}") <= F.col(f"t{i}"))
-        for i, (category, rule, column, _, _) in enumerate(rules)
+        (category, rule, column, f"v{i}", f"v{i} <= {'0' if limit == '0' else f't{i}'}")
+        for i, (category, rule, column, _, limit) in enumerate(rules)
     ]
-    return structure.unionByName(row.select(F.inline(F.array(*entries))))
+    return structure.unionByName(_report(row, entries))
 
 
 def category_results(report: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ FROM norm WHERE length(text) >= 10""",
 )
 def clean_text(spark, sf_dir):
     view = speeches(spark, sf_dir, ["doc_id", "text", "stemmed_text"])
-    kept = cleaning.drop_short_text(cleaning.standardize_text(view))
+    kept = cleaning.standardize_text(cleaning.drop_short_text(view))
     return kept.select(
         "doc_id",
         F.md5("text").alias("text_md5"),
@@ -104,8 +104,8 @@ def clean_all(spark, sf_dir):
         *[F.col(c).cast("double").alias(c) for c in _DATE_PARTS],
         "dominant_topic",
         r6("topic_entropy").alias("topic_entropy"),
-        *[r6(c).alias(c) for c in TOPIC_COLUMNS],
-    )
+        *TOPIC_COLUMNS,
+    ).transform(rounded, *TOPIC_COLUMNS)
 
 
 @query(

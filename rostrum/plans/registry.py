@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rostrum.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -20,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         if name in _QUERIES:
             raise ValueError(f"query {name!r} exists")
-        _QUERIES[name] = function
+        _QUERIES[name] = lambda spark, sf_dir: function(tune(spark), sf_dir)
         if sql is not None:
             _ORACLES[name] = sql
         return function
@@ -50,7 +52,8 @@ def r6(value: Column | str) -> Column:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: r6(c) for c in columns})
+    formula = "round(CAST(`{c}` AS DOUBLE), 6) + 0.0D AS `{c}`"
+    return df.selectExpr(*[(formula if c in columns else "`{c}`").format(c=c) for c in df.columns])
 
 
 def as_long(df: DataFrame, *columns: str) -> DataFrame:

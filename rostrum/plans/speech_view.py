@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.operators.features import with_topic_features
 from rostrum.schema import TOPIC_COLUMNS
+from rostrum.sources.writers import stored_bytes
 
 DOCUMENT_COLUMNS = {
     "doc_id": "CAST(doc_id AS STRING)",
@@ -43,8 +44,31 @@ VIEW_COLUMNS = (
 )
 
 
+# The tables the view reads. With the schema given, no job reads the file footers.
+TABLE_SCHEMAS = {
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+}
+# Below this size a table may sit in one file split, i.e. in one task.
+SMALL_TABLE_BYTES = 256 * 1024**2
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    """Documents; the texts of a small table are dealt out to all cores by id.
+
+    Text patterns are the expensive part of the queries, and a small file is one
+    task. A large table has enough splits and is left as it is.
+    """
+    documents = _table(spark, sf_dir, "documents")
+    if with_text and stored_bytes(spark, f"{sf_dir}/documents.parquet") < SMALL_TABLE_BYTES:
+        return documents.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    return documents
 
 
 def _weights(embeddings: DataFrame) -> DataFrame:
@@ -57,11 +81,9 @@ def _weights(embeddings: DataFrame) -> DataFrame:
     positive = F.transform(first, lambda e: F.when(e > 0, e).when(e <= 0, 0.0))
     cubes = embeddings.select("vec_id", F.transform(positive, lambda p: p * p * p).alias("p"))
     total = F.aggregate("p", F.lit(0.0), lambda a, p: a + p)
-    shares = [
-        (F.get("p", F.lit(i)) / F.col("s")).alias(c) for i, c in enumerate(TOPIC_COLUMNS)
-    ]
+    shares = ", ".join(f"get(p, {i}) / s AS {c}" for i, c in enumerate(TOPIC_COLUMNS))
     summed = cubes.withColumn("s", F.nullif(total, F.lit(0.0)))
-    return summed.select("vec_id", F.inline(F.array(F.struct(*shares))))
+    return summed.selectExpr("vec_id", f"inline(array(struct({shares})))")
 
 
 def attach(documents: DataFrame, spark: SparkSession, sf_dir: str, wanted: Sequence[str]) -> DataFrame:
@@ -105,7 +127,8 @@ def speeches(
     wanted = list(columns) if columns is not None else list(VIEW_COLUMNS)
     if topics:
         wanted += TOPIC_COLUMNS
-    return attach(_table(spark, sf_dir, "documents"), spark, sf_dir, wanted)
+    with_text = bool({"text", "stemmed_text"} & set(wanted))
+    return attach(_documents(spark, sf_dir, with_text), spark, sf_dir, wanted)
 
 
 def features(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:

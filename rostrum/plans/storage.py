@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rostrum.corpus import Corpus
 from rostrum.operators import cleaning, splits
-from rostrum.plans.registry import as_double, as_long, query, r6, rounded
+from rostrum.plans.registry import as_double, as_long, query, rounded
 from rostrum.plans.selection import STANDARD_COLUMNS, filter_counts_sql
 from rostrum.plans.rows import _NUMBERED, _flag_split_sql
-from rostrum.plans.speech_view import SQL_CLEANED, SQL_SPEECHES, attach, speeches
+from rostrum.plans.speech_view import (
+    SQL_CLEANED,
+    SQL_SPEECHES,
+    TABLE_SCHEMAS,
+    attach,
+    speeches,
+)
 from rostrum.plans.statistics import _BASIC, _tall
 from rostrum.plans.topics import FEATURE_SQL, feature_columns
 from rostrum.schema import TOPIC_COLUMNS
@@ -39,8 +45,8 @@ def _rows(df: DataFrame) -> DataFrame:
         "legis_body",
         F.col("training_set").cast("double").alias("training_set"),
         "doc_type",
-        *[r6(c).alias(c) for c in TOPIC_COLUMNS],
-    )
+        *TOPIC_COLUMNS,
+    ).transform(rounded, *TOPIC_COLUMNS)
 
 
 @query("roundtrip_parquet", _ROUNDTRIP)
@@ -191,7 +197,7 @@ def processing_report(spark, sf_dir):
 
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    schema = T.StructType.fromDDL(TABLE_SCHEMAS["documents"])
     return streaming.stream_shards(spark, sf_dir, schema, 1, pattern="documents.parquet")
 
 
@@ -217,9 +223,7 @@ SELECT doc_id, md5(text) AS text_md5, strftime(date, '%Y-%m-%d') AS date, congno
 )
 def stream_clean(spark, sf_dir):
     path = scratch_path(spark, "stream")
-    batch = cleaning.drop_short_text(
-        cleaning.standardize_text(speeches(spark, sf_dir, ["text", "legis_body"]))
-    )
+    batch = cleaning.drop_short_text(speeches(spark, sf_dir, ["text", "legis_body"]))
     mode = batch.select(cleaning.category_modes(batch, ["legis_body"])["legis_body"].alias("m"))
     modes = {"legis_body": mode.first()[0]}
     view = attach(_document_stream(spark, sf_dir), spark, sf_dir, _CLEAN_COLUMNS)

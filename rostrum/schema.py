@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 TOPIC_PREFIX = "tw_"
 
@@ -124,11 +124,9 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     }
     if not floats:
         return df
-    return df.select(
-        *[
-            F.when(~F.isnan(c), F.col(c)).alias(c, metadata=df.schema[c].metadata)
-            if c in floats
-            else F.col(c)
-            for c in df.columns
-        ]
-    )
+
+    def cleaned(c: str) -> Column:
+        value = F.expr(f"CASE WHEN NOT isnan(`{c}`) THEN `{c}` END")
+        return value.alias(c, metadata=df.schema[c].metadata)
+
+    return df.select(*[cleaned(c) if c in floats else F.col(f"`{c}`") for c in df.columns])
