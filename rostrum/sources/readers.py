@@ -77,7 +77,8 @@ def read_csv(
     corpora come as many files, or are converted to Parquet once; files known to
     have no quoted line breaks can be split with ``multi_line=False``.
     """
-    options = {**CSV_OPTIONS, "multiLine": str(multi_line).lower()}
+    # With a mark for missing fields, a quoted empty text stays '' and is not NULL.
+    options = {**CSV_OPTIONS, "multiLine": str(multi_line).lower(), "nullValue": "\x01"}
     raw = spark.read.options(**options).csv(path)
     return nan_to_null(_typed(to_spark_names(raw), schema))
 
