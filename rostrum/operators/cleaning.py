@@ -71,16 +71,24 @@ def standardize_dates(df: DataFrame) -> DataFrame:
 
 
 def category_modes(df: DataFrame, columns: list[str]) -> dict[str, Column]:
-    """Most common value per column, the smallest on ties, as scalar subqueries.
+    """Most common value per column, the smallest on ties, from one scalar subquery.
 
     Counting by value first combines on the map side and keeps a column with
     many values out of a single aggregation buffer.
     """
-    modes = {}
-    for c in columns:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-        modes[c] = counts.agg(F.min_by(c, F.struct(-F.col("n"), F.col(c))).alias("mode")).scalar()
-    return modes
+    if not columns:
+        return {}
+    values = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    counts = (
+        values.unpivot([], columns, "column", "value")
+        .groupBy("column", "value")
+        .agg(F.count("value").alias("n"))
+        .filter(F.col("n") > 0)
+    )
+    most_common = "min_by(value, struct(-n, value)) FILTER (WHERE column = '{c}') AS `{c}`"
+    modes = counts.agg(*[F.expr(most_common.format(c=c)) for c in columns])
+    found = modes.select(F.struct(*columns)).scalar()
+    return {c: found[c] for c in columns}
 
 
 def fill_categories(df: DataFrame, modes: Mapping[str, str | Column] | None = None) -> DataFrame:

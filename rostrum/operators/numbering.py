@@ -133,14 +133,15 @@ def number_shuffled(
 class Border:
     """Where the first n rows of the shuffled order end.
 
-    ``inside`` and ``outside`` hold for the rows of the cells before and after
-    the border cell; ``edge`` has the rows of that cell, with ``__first`` true
-    for those among the first n.
+    ``inside`` and ``outside`` hold for the rows before and after the border; both
+    only look at the hash of the row's key. ``edge`` is None unless the border runs
+    through rows of one key; then it has these rows, with ``__first`` true for
+    those among the first n.
     """
 
     inside: Column
     outside: Column
-    edge: DataFrame
+    edge: DataFrame | None = None
 
 
 def first_shuffled(
@@ -148,37 +149,47 @@ def first_shuffled(
     n: int,
     seed: int = 42,
     key: str = "doc_id",
-    max_cell_rows: int = MAX_CELL_ROWS,
+    max_tied_rows: int = MAX_CELL_ROWS,
 ) -> Border | None:
     """Border of the first n rows in the order of :func:`number_shuffled`.
 
-    None if the table has fewer than n rows. Only the border cell is sorted,
-    normally one row in 65,536; all other rows are told apart by their hash.
+    None if the table has fewer than n rows. Two jobs over the key column find the
+    cell and then the hash at which the n-th row lies; a frequent key is a single
+    count to them. The rows themselves are then told apart by a filter.
     """
     shared_dir(df.sparkSession)
     if n <= 0:
-        edge = df.withColumn("__first", F.lit(False)).limit(0)
-        return Border(F.lit(False), F.lit(True), edge)
+        return Border(F.lit(False), F.lit(True))
     hashed = hash_key(seed, key)
     cell = hash_cell(hashed)
-    border = (
-        _cells(df, cell)
-        .offsets.filter((F.col("__offset") < n) & (F.col("__offset") + F.col("__n") >= n))
-        .first()
-    )
-    if border is None:
+    holds_nth = (F.col("__offset") < n) & (F.col("__offset") + F.col("__n") >= n)
+    at_cell = _cells(df, cell).offsets.filter(holds_nth).first()
+    if at_cell is None:
         return None
-    at = F.lit(border["__cell"])
-    edge = df.filter(cell == at)
-    if border["__n"] > max_cell_rows:
-        placed = number_by_key(edge, [hashed, F.col(key)], name="__pos")
+    before = Window.partitionBy("__cell").orderBy("__hash").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    hashes = (
+        df.filter(cell == F.lit(at_cell["__cell"]))
+        .groupBy(cell.alias("__cell"), hashed.alias("__hash"))
+        .agg(F.count("*").alias("__n"))
+    )
+    in_cell = F.coalesce(F.sum("__n").over(before), F.lit(0))
+    placed = hashes.withColumn("__offset", in_cell + F.lit(at_cell["__offset"]))
+    nth = placed.filter(holds_nth).first()
+    at, left = F.lit(nth["__hash"]), n - nth["__offset"]
+    if nth["__n"] == left:
+        return Border(hashed <= at, hashed > at)
+    tied = df.filter(hashed == at)
+    if nth["__n"] > max_tied_rows:
+        numbered = number_by_key(tied, [key], name="__pos")
     else:
-        order = Window.partitionBy("__cell").orderBy("__hash", key, "__tie")
-        placed = edge.withColumns(
-            {"__hash": hashed, "__tie": _row_tie(edge), "__cell": cell}
-        ).withColumn("__pos", F.row_number().over(order) - 1)
-    first = F.col("__pos") < F.lit(n - border["__offset"])
-    return Border(cell < at, cell > at, placed.select(*df.columns, first.alias("__first")))
+        order = Window.partitionBy("__hash").orderBy(key, "__tie")
+        numbered = tied.withColumns({"__hash": hashed, "__tie": _row_tie(tied)}).withColumn(
+            "__pos", F.row_number().over(order) - 1
+        )
+    edge = numbered.select(*df.columns, (F.col("__pos") < left).alias("__first"))
+    return Border(hashed < at, hashed > at, edge)
 
 
 def rows_at(numbered: DataFrame, positions: int | slice | Sequence[int] | DataFrame) -> DataFrame:

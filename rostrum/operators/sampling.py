@@ -19,8 +19,10 @@ def sample_rows(df: DataFrame, n: int, seed: int = DEFAULT_SEED, key: str = "doc
     border = first_shuffled(df, n, seed, key)
     if border is None:
         return df
-    edge = border.edge.filter("__first").drop("__first")
-    return df.filter(border.inside).unionByName(edge)
+    inside = df.filter(border.inside)
+    if border.edge is None:
+        return inside
+    return inside.unionByName(border.edge.filter("__first").drop("__first"))
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = DEFAULT_SEED) -> DataFrame:

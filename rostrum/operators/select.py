@@ -118,15 +118,18 @@ def topic_memberships(
     return long.filter(F.col("weight") >= min_weight)
 
 
-def split_by(df: DataFrame, column: str) -> dict[object, DataFrame]:
+def split_by(df: DataFrame, column: str, max_parts: int = 10_000) -> dict[object, DataFrame]:
     """One lazy subset per distinct value; NULL is a value of its own.
 
-    Meant for columns with few values: the values, not the rows, come to the
-    driver. To store the parts use ``write.partitionBy(column)``.
+    The values, not the rows, come to the driver, so a column with more than
+    ``max_parts`` values is an error. ``write.partitionBy(column)`` stores the
+    parts of any column.
     """
     if column not in df.columns:
         raise ValueError(f"no column {column!r}")
-    values = [row[0] for row in df.select(column).distinct().toLocalIterator()]
+    values = [row[0] for row in df.select(column).distinct().limit(max_parts + 1).collect()]
+    if len(values) > max_parts:
+        raise ValueError(f"{column!r} has more than {max_parts} values, use write.partitionBy")
     return {v: df.filter(F.col(column).eqNullSafe(F.lit(v))) for v in values}
 
 

@@ -29,8 +29,8 @@ def split_by_flag(
     """Flag 1 is train, 0 is test; a tenth of train, in hash order, is validation.
 
     Validation has at least ``min_validation`` rows, at most all of train. Rows
-    with another flag or none belong to no part and are left out. Apart from the
-    few rows at the border, parts are assigned by a filter without a shuffle.
+    with another flag or none belong to no part and are left out. Parts follow
+    from the flag and a hash of the id, without a shuffle of the rows.
     """
     column = F.col(spark_name(flag))
     train = df.filter(column == 1)
@@ -43,6 +43,8 @@ def split_by_flag(
         .when((column == 1) & border.outside, F.lit(TRAIN))
     )
     clear = df.withColumn("split", part).filter(F.col("split").isNotNull())
+    if border.edge is None:
+        return clear
     edge_part = F.when(F.col("__first"), F.lit(VALIDATION)).otherwise(F.lit(TRAIN))
     return clear.unionByName(border.edge.withColumn("split", edge_part).drop("__first"))
 
@@ -67,16 +69,13 @@ def split_by_position(
         *[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in at_cut.asDict().items()]
     )
     start = numbered.filter(row_key == border).agg(F.min(ROW_ID)).first()[0]
-    clear = df.filter(row_key != border).withColumn(
-        "split", F.when(row_key < border, F.lit(TRAIN)).otherwise(F.lit(TEST))
-    )
-    edge = df.filter(row_key == border)
+    part = F.when(row_key < border, F.lit(TRAIN)).otherwise(F.lit(TEST))
     if start == cut:
-        return clear.unionByName(edge.withColumn("split", F.lit(TEST)))
-    placed = number_by_key(edge, keys).withColumn(
-        "split", F.when(F.col(ROW_ID) < cut - start, F.lit(TRAIN)).otherwise(F.lit(TEST))
-    )
-    return clear.unionByName(placed.drop(ROW_ID))
+        return df.withColumn("split", part)
+    tied = number_by_key(df.filter(row_key == border), keys)
+    tied_part = F.when(F.col(ROW_ID) < cut - start, F.lit(TRAIN)).otherwise(F.lit(TEST))
+    clear = df.filter(row_key != border).withColumn("split", part)
+    return clear.unionByName(tied.withColumn("split", tied_part).drop(ROW_ID))
 
 
 def split_for_release(

@@ -19,6 +19,8 @@ CLUSTER_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoints of numbered tables go when the table does.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # A lost map task whose rerun emits other rows makes its consumers rerun too.
     "spark.sql.shuffle.orderIndependentChecksum.enabled": "true",
     "spark.sql.shuffle.orderIndependentChecksum.enableFullRetryOnMismatch": "true",

@@ -111,15 +111,21 @@ def test_samples_depend_on_the_seed_only(plain):
 
 
 @pytest.mark.parametrize("n", [1, 150, 301, 600])
-@pytest.mark.parametrize("max_cell_rows", [1_000_000, 10])
-def test_sample_size_is_exact_with_a_frequent_key(skewed, n, max_cell_rows, monkeypatch):
-    border = numbering.first_shuffled(skewed, n, max_cell_rows=max_cell_rows)
+@pytest.mark.parametrize("max_tied_rows", [1_000_000, 10])
+def test_border_is_exact_with_a_frequent_key(skewed, n, max_tied_rows):
+    border = numbering.first_shuffled(skewed, n, max_tied_rows=max_tied_rows)
     inside = skewed.filter(border.inside).count()
     outside = skewed.filter(border.outside).count()
-    edge = border.edge.groupBy("__first").count().collect()
-    edge = {r["__first"]: r["count"] for r in edge}
+    edge = {}
+    if border.edge is not None:
+        edge = dict(rows(border.edge.groupBy("__first").count()))
     assert inside + edge.get(True, 0) == n
     assert outside + edge.get(False, 0) == 900 - n
+    assert sampling.sample_rows(skewed, n).count() == n
+
+
+def test_border_of_unique_keys_is_a_plain_filter(plain):
+    assert numbering.first_shuffled(plain, 123).edge is None
 
 
 def test_quick_sample_filters_first(spark):
