@@ -47,36 +47,48 @@ def _fine(value: Column, low: Column, high: Column) -> Column:
     return F.least(F.lit(FINE_CELLS - 1), F.floor(share * FINE_CELLS).cast("int"))
 
 
-def _ranks(totals: DataFrame, group: str, probabilities: Sequence[float]) -> DataFrame:
-    """``(group, p, gamma, rank)``: both neighbours of each fractional rank."""
-    probes = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
-    position = (F.col("n") - 1) * F.col("p")
+def _before(keys: Sequence[str], order: str) -> Column:
+    """Rows counted in earlier cells of the same group."""
+    window = Window.partitionBy(*keys).orderBy(order)
+    earlier = F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(earlier, F.lit(0))
+
+
+_IN_CELL = "rank >= start AND rank < start + n"
+
+
+def _probe(counts: DataFrame, group: str, probabilities: Sequence[float]) -> DataFrame:
+    """For both neighbours of each fractional rank the cell that holds it.
+
+    Adds ``p, gamma, upper, rank``; the rank counts from the start of the cell.
+    """
+    placed = counts.withColumns(
+        {
+            "start": _before([group], "c"),
+            "position": F.sum("n").over(Window.partitionBy(group)) - 1,
+        }
+    )
+    probes = ", ".join(f"{float(p)!r}D" for p in probabilities)
+    sides = (
+        "explode(array(struct(0 AS upper, floor(position) AS rank), "
+        "struct(1 AS upper, ceil(position) AS rank))) AS side"
+    )
     return (
-        totals.select(group, "n", probes.alias("p"))
-        .select(group, "p", position.alias("position"))
-        .select(
-            group,
-            "p",
-            (F.col("position") - F.floor("position")).alias("gamma"),
-            F.explode(
-                F.array(
-                    F.struct(F.lit(0).alias("upper"), F.floor("position").alias("rank")),
-                    F.struct(F.lit(1).alias("upper"), F.ceil("position").alias("rank")),
-                )
-            ).alias("r"),
-        )
-        .select(group, "p", "gamma", "r.upper", "r.rank")
+        placed.selectExpr("*", f"explode(array({probes})) AS p")
+        .withColumn("position", F.col("position") * F.col("p"))
+        .selectExpr("*", "position - floor(position) AS gamma", sides)
+        .selectExpr("* EXCEPT (side)", "side.*")
+        .filter(_IN_CELL)
+        .withColumn("rank", F.col("rank") - F.col("start"))
     )
 
 
-def _locate(counts: DataFrame, ranks: DataFrame, keys: list[str], cell: str) -> DataFrame:
-    """For each rank the cell it falls into; the rank becomes one inside the cell."""
-    before = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    joined = ranks.join(placed, keys)
-    return joined.filter(
-        (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n"))
-    ).withColumn("rank", F.col("rank") - F.col("start"))
+def _descend(counts: DataFrame, targets: DataFrame, keys: list[str], cell: str) -> DataFrame:
+    """Find each target rank among the finer cells of its cell."""
+    placed = counts.withColumn("start", _before(keys, cell))
+    # Two rows per group and probability.
+    found = placed.join(F.broadcast(targets), keys).filter(_IN_CELL)
+    return found.withColumn("rank", F.col("rank") - F.col("start"))
 
 
 def _gathered(located: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
@@ -110,10 +122,8 @@ def exact_quantiles(
         F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
     )
     coarse = coarse.filter(F.col("n") > 0)
-    totals = coarse.groupBy(g).agg(F.sum("n").alias("n"))
-    ranks = _ranks(totals, g, probabilities)
     targets, largest = _gathered(
-        _locate(coarse, ranks, [g], "c"), [*rank, "c", "f", "low", "high"]
+        _probe(coarse, g, probabilities), [*rank, "c", "f", "low", "high"]
     )
 
     if largest > max_cell_rows:
@@ -126,14 +136,13 @@ def exact_quantiles(
         )
         fine = values.groupBy(g, "c", "f").agg(F.count("*").alias("n"))
         targets, _ = _gathered(
-            _locate(fine, targets.drop("f"), [g, "c"], "f"), [*rank, "c", "f"]
+            _descend(fine, targets.drop("f", "low", "high"), [g, "c"], "f"), [*rank, "c", "f"]
         )
 
     cells = targets.select(g, "c", "f").distinct()
-    counts = values.join(F.broadcast(cells), [g, "c", "f"]).groupBy(g, "c", "f", "v")
-    found = _locate(
-        counts.agg(F.count("*").alias("n")), targets.select(*rank, "c", "f"), [g, "c", "f"], "v"
-    )
+    hits = values.join(F.broadcast(cells), [g, "c", "f"])
+    counts = hits.groupBy(g, "c", "f", "v").agg(F.count("*").alias("n"))
+    found = _descend(counts, targets.select(*rank, "c", "f"), [g, "c", "f"], "v")
     return _interpolated(found, g).select(*([g] if group else []), "p", "quantile")
 
 
@@ -151,22 +160,29 @@ def _interpolated(found: DataFrame, group: str) -> DataFrame:
     )
 
 
-def counted_quantiles(
-    counts: DataFrame,
-    value: str,
-    n: str,
-    probabilities: Sequence[float],
-    group: str,
-) -> DataFrame:
-    """Quantiles of a table of value counts, e.g. of text lengths.
+def with_ranks(counts: DataFrame, group: str) -> DataFrame:
+    """Prepare a table ``(group, v, n)`` of value counts for :func:`counted_quantile`.
 
-    For values with few distinct levels the counts are small, and one window per
-    group reads off all ranks.
+    Adds the rows of the group, and those before each value. Meant for values with
+    few levels, such as text lengths.
     """
-    table = counts.select(group, F.col(value).cast("double").alias("v"), F.col(n).alias("n"))
-    totals = table.groupBy(group).agg(F.sum("n").alias("n"))
-    found = _locate(table, _ranks(totals, group, probabilities), [group], "v")
-    return _interpolated(found, group)
+    return counts.withColumns(
+        {
+            "total": F.sum("n").over(Window.partitionBy(group)),
+            "start": _before([group], "v"),
+        }
+    )
+
+
+def counted_quantile(p: float) -> Column:
+    """Aggregate over the rows of a group of :func:`with_ranks`: its quantile at p."""
+    position = f"((total - 1) * {float(p)!r}D)"
+
+    def at(rank: str) -> str:
+        return f"max(CASE WHEN {rank} >= start AND {rank} < start + n THEN v END)"
+
+    low, high = at(f"floor({position})"), at(f"ceil({position})")
+    return F.expr(f"{low} + ({high} - {low}) * max({position} - floor({position}))")
 
 
 def approximate_quantiles(

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rostrum.functions import parsing, text as tx, topics as tf
 from rostrum.operators.features import long_weights
 from rostrum.operators.quantiles import (
     approximate_quantiles,
-    counted_quantiles,
+    counted_quantile,
     exact_quantiles,
     wide_quantiles,
+    with_ranks,
 )
 from rostrum.schema import ACTIVE_WEIGHT, HIGH_WEIGHT, topic_columns
 
@@ -219,34 +220,25 @@ def text_statistics(df: DataFrame, measures: Sequence[str] = ("length", "words")
     The text is read once into a table of counts per length; all moments and
     percentiles come from that small table.
     """
-    counts = _text_counts(df, measures)
-    n, v = F.col("n"), F.col("value").cast("double")
-    totals = counts.groupBy("measure").agg(
-        F.sum(n).alias("documents"),
-        (F.sum(n * v) / F.sum(n)).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    counts = _text_counts(df, measures).select(
+        "measure", F.col("value").cast("double").alias("v"), "n"
     )
-    spread = (
-        counts.join(totals.select("measure", "mean"), "measure")
-        .groupBy("measure")
-        .agg(
-            F.try_divide(
-                F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))), F.sum(n) - 1
-            ).alias("variance")
-        )
-        .select("measure", F.sqrt("variance").alias("std"))
+    whole = Window.partitionBy("measure")
+    ranked = with_ranks(counts, "measure").withColumn(
+        "mean", F.sum(F.col("n") * F.col("v")).over(whole) / F.col("total")
     )
-    names = {0.5: "median", **LENGTH_PERCENTILES}
-    quantiles = wide_quantiles(
-        counted_quantiles(counts, "value", "n", list(names), "measure"), names, "measure"
-    )
-    truncated = [F.col(q).cast("long").alias(q) for q in LENGTH_PERCENTILES.values()]
-    return (
-        totals.join(spread, "measure")
-        .join(quantiles.select("measure", "median", *truncated), "measure")
-        .select("measure", "documents", "mean", "median", "std", "min", "max",
-                *LENGTH_PERCENTILES.values())
+    squares = F.sum(F.expr("n * (v - mean) * (v - mean)"))
+    return ranked.groupBy("measure").agg(
+        F.max("total").alias("documents"),
+        F.max("mean").alias("mean"),
+        counted_quantile(0.5).alias("median"),
+        F.sqrt(F.try_divide(squares, F.max("total") - 1)).alias("std"),
+        F.min("v").cast("long").alias("min"),
+        F.max("v").cast("long").alias("max"),
+        *[
+            counted_quantile(p).cast("long").alias(name)
+            for p, name in LENGTH_PERCENTILES.items()
+        ],
     )
 
 
