@@ -4,7 +4,7 @@ No step sorts the table in one task. Two ways lead to the same kind of result:
 
 * key order: range partitions, positions counted inside each, partition offsets
   added. Range bounds are sampled anew by every job, so the numbered partitions
-  are checkpointed before their sizes are counted.
+  are written to the shared folder before their sizes are counted.
 * shuffled order: rows are ordered by a seeded hash of their key. The leading
   hash digits cut the order into cells of even size without sampling, and a
   window numbers each cell. If one key is so frequent that its cell is too large
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rostrum.session import shared_dir
+from rostrum.session import full_retry, materialize, shared_dir
 
 ROW_ID = "row_id"
 
@@ -44,20 +44,10 @@ def _row_tie(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def number_by_key(
-    df: DataFrame,
-    order_by: Sequence[str | Column],
-    partitions: int | None = None,
-    name: str = ROW_ID,
+def _place(
+    df: DataFrame, order_by: Sequence[str | Column], partitions: int | None = None
 ) -> DataFrame:
-    """Number rows in the order of the given columns.
-
-    Ties are broken by the row's content, and equal rows by where they were
-    read, so copies of one row spread over partitions too. The result is
-    checkpointed: numbering stays the same however often it is read or an
-    executor is lost.
-    """
-    shared_dir(df.sparkSession)
+    """Stored rows with their range partition ``__part`` and place ``__pos`` in it."""
     keys = [c if isinstance(c, Column) else F.col(c) for c in order_by]
     order = [*keys, F.col("__tie"), F.col("__scan")]
     tied = df.withColumns({"__tie": _row_tie(df), "__scan": F.monotonically_increasing_id()})
@@ -66,17 +56,28 @@ def number_by_key(
         if partitions
         else tied.repartitionByRange(*order)
     )
-    placed = (
-        ranged.sortWithinPartitions(*order)
-        .withColumns(
-            {
-                "__part": F.spark_partition_id(),
-                "__pos": F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)),
-            }
-        )
-        .drop("__tie", "__scan")
-        .checkpoint()
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK))
+    placed = ranged.sortWithinPartitions(*order).withColumns(
+        {"__part": F.spark_partition_id(), "__pos": position}
     )
+    with full_retry(df.sparkSession):
+        return materialize(placed.drop("__tie", "__scan"), "numbered")
+
+
+def number_by_key(
+    df: DataFrame,
+    order_by: Sequence[str | Column],
+    partitions: int | None = None,
+    name: str = ROW_ID,
+) -> DataFrame:
+    """Number rows in the order of the given columns.
+
+    Ties are broken by the row's content, and equal rows by where they were
+    read, so copies of one row spread over partitions too. The placed rows are
+    stored: numbering stays the same however often it is read or an executor is
+    lost. Their sizes are counted from one narrow column.
+    """
+    placed = _place(df, order_by, partitions)
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     # One row per partition: the only window without a partition key.
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # For spark-submit or a session builder. The shuffle starts with many small
 # partitions and AQE merges them by size, so one setting fits 1 GB and 100 TB.
@@ -19,11 +21,8 @@ CLUSTER_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
-    # Checkpoints of numbered tables go when the table does.
+    # Checkpoints go when the table does.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    # A lost map task whose rerun emits other rows makes its consumers rerun too.
-    "spark.sql.shuffle.orderIndependentChecksum.enabled": "true",
-    "spark.sql.shuffle.orderIndependentChecksum.enableFullRetryOnMismatch": "true",
 }
 
 
@@ -64,3 +63,34 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
     return f"{shared_dir(spark).rstrip('/')}/rostrum/{name}-{uuid.uuid4().hex}"
+
+
+# A lost map task whose rerun emits other rows makes its consumers rerun, too.
+_FULL_RETRY = (
+    "spark.sql.shuffle.orderIndependentChecksum.enabled",
+    "spark.sql.shuffle.orderIndependentChecksum.enableFullRetryOnMismatch",
+)
+
+
+@contextmanager
+def full_retry(spark: SparkSession) -> Iterator[None]:
+    """For jobs with a shuffle whose rows depend on the order they were read in."""
+    saved = {name: spark.conf.get(name) for name in _FULL_RETRY}
+    try:
+        for name in _FULL_RETRY:
+            spark.conf.set(name, "true")
+        yield
+    finally:
+        for name, value in saved.items():
+            spark.conf.set(name, value)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below the shared folder and read it back: fixed rows, no lineage.
+
+    Parquet instead of a checkpoint, so that later steps read only the columns they
+    use. The files stay until the shared folder is cleared.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
