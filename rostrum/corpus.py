@@ -149,8 +149,15 @@ class Corpus:
 
     # ---- processing ------------------------------------------------------------
 
-    def clean(self, **options: Any) -> Corpus:
-        return self._then(cleaning.clean(self.df, **options), "clean_data", **options)
+    def clean(self, counted: bool = False, **options: Any) -> Corpus:
+        """Clean the table. With ``counted`` one job puts the row counts before and
+        after into the history; ``clean_observed`` counts while the data flows."""
+        details = dict(options)
+        if counted:
+            sizes = ("original_size", "final_size", "removed")
+            report = cleaning.cleaning_report(self.df).collect()
+            details.update({r.metric: r.value for r in report if r.metric in sizes})
+        return self._then(cleaning.clean(self.df, **options), "clean_data", **details)
 
     def cleaning_report(self) -> DataFrame:
         return cleaning.cleaning_report(self.df)
@@ -203,6 +210,14 @@ class Corpus:
                 families["congress_years"] = stats.congress_years(df)
         return families
 
+    def analyze(self, **options: Any) -> tuple[Corpus, dict[str, DataFrame]]:
+        """:meth:`statistics`, noted in the history."""
+        families = self.statistics(**options)
+        step = self._then(
+            self.df, "compute_statistics", statistics_categories=list(families)
+        )
+        return step, families
+
     def validate(self) -> DataFrame:
         return validation.validation_report(self.df)
 
@@ -233,9 +248,11 @@ class Corpus:
         )
 
     def processing_summary(self) -> dict[str, Any]:
+        performed = [step["operation"] for step in self.history]
         return {
-            "operations_performed": [step["operation"] for step in self.history],
+            "operations_performed": performed,
             "final_dataset_size": self.count(),
+            "statistics_available": "compute_statistics" in performed,
             "topic_columns_found": len(self.topics),
         }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def parse_date(value: Column) -> Column:
@@ -24,3 +24,16 @@ def year_of(date: Column) -> Column:
 def decade_of(date: Column) -> Column:
     return F.year(date) - F.pmod(F.year(date), F.lit(10))
 
+
+def date_column(df: DataFrame, name: str = "date") -> Column:
+    """A column as dates: parsed if it is text, cast if it is a time already."""
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return parse_date(F.col(name))
+    return F.col(name).cast("date")
+
+
+def number_column(df: DataFrame, name: str) -> Column:
+    """A column as doubles: parsed if it is text, cast if it is a number already."""
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+    return parse_number(F.col(name))

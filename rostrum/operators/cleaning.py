@@ -60,7 +60,7 @@ def standardize_dates(df: DataFrame) -> DataFrame:
     """Parse ``date`` and add year, month, day of year and decade (NULL where bad)."""
     if "date" not in df.columns:
         return df
-    return df.withColumn("date", parsing.parse_date(F.col("date"))).withColumns(
+    return df.withColumn("date", parsing.date_column(df)).withColumns(
         {
             "year": parsing.year_of(F.col("date")),
             "month": F.month("date"),
@@ -133,9 +133,9 @@ def clean_numbers(df: DataFrame) -> DataFrame:
     changes = {}
     if "congno" in df.columns:
         if not isinstance(df.schema["congno"].dataType, T.IntegralType):
-            changes["congno"] = parsing.parse_number(F.col("congno"))
+            changes["congno"] = parsing.number_column(df, "congno")
     if "training_set" in df.columns:
-        flag = parsing.parse_number(F.col("training_set"))
+        flag = parsing.number_column(df, "training_set")
         changes["training_set"] = F.coalesce(flag.try_cast("int"), F.lit(0))
     numbers = df.withColumns(changes) if changes else df
     # NULL stays NULL, while ``least`` alone would turn it into 1.
@@ -185,9 +185,9 @@ def cleaning_report(df: DataFrame, min_length: int = MIN_TEXT_LENGTH) -> DataFra
     cols = topic_columns(df)
     staged = df
     if "date" in df.columns:
-        staged = staged.withColumn("date", parsing.parse_date(F.col("date")))
+        staged = staged.withColumn("date", parsing.date_column(df))
     if "congno" in df.columns:
-        staged = staged.withColumn("congno", parsing.parse_number(F.col("congno")))
+        staged = staged.withColumn("congno", parsing.number_column(df, "congno"))
     keep = tx.at_least(F.col("text"), min_length) if "text" in df.columns else F.lit(True)
     staged = staged.withColumn("__keep", keep)
     kept = F.col("__keep")

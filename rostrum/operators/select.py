@@ -6,9 +6,9 @@ import warnings
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from rostrum.functions.parsing import parse_date
+from rostrum.functions.parsing import date_column
 from rostrum.functions.predicates import (
     FOCUS_TOPICS,
     FilterSpec,
@@ -142,6 +142,5 @@ def in_date_range(df: DataFrame, first: str, last: str) -> DataFrame:
 
     A text column is parsed first, as '2004-1-5' does not sort like a date.
     """
-    text = isinstance(df.schema["date"].dataType, T.StringType)
-    date = parse_date(F.col("date")) if text else F.col("date")
-    return df.filter(date.between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    low, high = F.lit(first).cast("date"), F.lit(last).cast("date")
+    return df.filter(date_column(df).between(low, high))

@@ -327,7 +327,7 @@ def quality_metrics(df: DataFrame) -> DataFrame:
 
 def date_range(df: DataFrame) -> DataFrame:
     """Start, end, span and validity of the dates; no dates gives NULLs, not an error."""
-    dates = df.select(parsing.parse_date(F.col("date")).alias("d"))
+    dates = df.select(parsing.date_column(df).alias("d"))
     return dates.agg(
         F.min("d").alias("start_date"),
         F.max("d").alias("end_date"),
@@ -340,7 +340,7 @@ def date_range(df: DataFrame) -> DataFrame:
 def _with_year(df: DataFrame, *kept: str) -> DataFrame:
     if "year" in df.columns:
         return df.select(*kept, "year")
-    return df.select(*kept, parsing.year_of(parsing.parse_date(F.col("date"))).alias("year"))
+    return df.select(*kept, parsing.year_of(parsing.date_column(df)).alias("year"))
 
 
 def documents_per_year(df: DataFrame) -> DataFrame:
@@ -392,7 +392,7 @@ def table_info(df: DataFrame, source: str | None = None, split: str | None = Non
         F.lit(len(topic_columns(df))).alias("topic_columns"),
     ]
     if "date" in df.columns:
-        staged = staged.withColumn("date", parsing.parse_date(F.col("date")))
+        staged = staged.withColumn("date", parsing.date_column(df))
         aggregates += [F.min("date").alias("start_date"), F.max("date").alias("end_date")]
     if "congno" in df.columns:
         aggregates += [
@@ -426,7 +426,7 @@ def corpus_metrics(df: DataFrame) -> DataFrame:
     staged: list[Column | str] = [c for c in df.columns if c not in cols and c != "date"]
     families: dict[str, Metrics] = {"basic": {"total_documents": F.count("*")}}
     if "date" in df.columns:
-        staged.append(parsing.parse_date(F.col("date")).alias("date"))
+        staged.append(parsing.date_column(df).alias("date"))
         families["dates"] = {
             "span_days": F.datediff(F.max("date"), F.min("date")),
             "valid_dates": F.count("date"),

@@ -65,16 +65,16 @@ def _rules(df: DataFrame) -> tuple[DataFrame, list[Rule]]:
         staged.append(tf.weight_sum(cols).alias("__total"))
         rules.append((TOPICS, "all_zero_weights", "", "count_if(__total = 0)", "0"))
     if "congno" in df.columns:
-        staged.append(parsing.parse_number(F.col("congno")).alias("__congno"))
+        staged.append(parsing.number_column(df, "congno").alias("__congno"))
         outside = f"count_if(__congno NOT BETWEEN {FIRST_CONGRESS} AND {LAST_CONGRESS})"
         rules.append((CONSISTENCY, "congress_out_of_range", "congno", outside, "0"))
     if "date" in df.columns:
-        staged.append(parsing.parse_date(F.col("date")).alias("__date"))
+        staged.append(parsing.date_column(df).alias("__date"))
         rules.append((CONSISTENCY, "invalid_date", "date", "count_if(__date IS NULL)", "0"))
     if "training_set" in df.columns:
-        staged.append(F.col("training_set"))
+        staged.append(parsing.number_column(df, "training_set").alias("__flag"))
         # A missing flag is invalid; without the coalesce it would be neither.
-        invalid = "count_if(NOT coalesce(training_set IN (0, 1), false))"
+        invalid = "count_if(NOT coalesce(__flag IN (0, 1), false))"
         rules.append((CONSISTENCY, "invalid_flag", "training_set", invalid, "0"))
     return df.select(*staged), rules
 

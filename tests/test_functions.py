@@ -158,6 +158,20 @@ def test_date_parts(spark):
     assert rows(parts) == [(2004, 12, 366, 2000), (None, None, None, None)]
 
 
+def test_dates_and_numbers_of_other_types(spark):
+    df = spark.createDataFrame(
+        [(dt.datetime(2004, 1, 5, 13), dt.date(2004, 1, 5), 110, float("nan"), "1e2")],
+        "t timestamp, d date, n bigint, x double, s string",
+    )
+    row = df.select(
+        *[parsing.date_column(df, c).alias(c) for c in ("t", "d")],
+        *[parsing.number_column(df, c).alias(c) for c in ("n", "x", "s")],
+    ).first()
+    assert tuple(row) == (dt.date(2004, 1, 5), dt.date(2004, 1, 5), 110.0, None, 100.0)
+    again = cleaning.standardize_dates(cleaning.standardize_dates(df.withColumn("date", F.col("t"))))
+    assert again.first().year == 2004
+
+
 def test_parse_number(spark):
     values = [" 110 ", "1e2", "abc", "", "1d", "2f", "NaN", None]
     assert mapped(spark, values, parsing.parse_number) == [

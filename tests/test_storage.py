@@ -262,19 +262,22 @@ def test_corpus_pipeline(spark, speeches, tmp_path):
     speeches.write.parquet(path)
     corpus = Corpus.load(spark, path, filters={"congno": lambda c: c >= 105}, sample_size=50)
     assert corpus.count() == 50 and corpus.topics == ["tw_economy", "tw_healthcare"]
-    cleaned = corpus.clean().refresh_features()
+    cleaned = corpus.clean(counted=True).refresh_features()
+    sizes = cleaned.history[1]
+    assert sizes["original_size"] - sizes["removed"] == sizes["final_size"] == cleaned.count()
     assert set(cleaned.topic_summary()) == {
         "topic_statistics", "dominant_topic_distribution", "topic_diversity", "active_topics"}
-    families = cleaned.statistics()
+    assert not cleaned.processing_summary()["statistics_available"]
+    cleaned, families = cleaned.analyze()
     assert all(table.columns for table in families.values()) and len(families) >= 15
     assert 0 <= cleaned.validation_score().first().score <= 100
     cleaned.write_report(str(tmp_path / "report"), {"basic": families["basic_counts"]})
     history = spark.read.json(str(tmp_path / "report" / "history")).orderBy("step").collect()
     assert [json.loads(r.entry)["operation"] for r in history] == [
-        "load_dataset", "clean_data", "refresh_features"]
+        "load_dataset", "clean_data", "refresh_features", "compute_statistics"]
     summary = cleaned.processing_summary()
     assert summary["final_dataset_size"] == cleaned.count()
-    assert summary["topic_columns_found"] == 2
+    assert summary["topic_columns_found"] == 2 and summary["statistics_available"]
 
 
 def test_corpus_projection_without_id_still_samples(spark, speeches):
