@@ -14,7 +14,7 @@ from rostrum.operators import statistics as stats, validation
 from rostrum.operators.batches import DEFAULT_BATCH
 from rostrum.operators.features import with_topic_features
 from rostrum.operators.numbering import number_by_key, rows_at
-from rostrum.schema import HIGH_WEIGHT, topic_columns
+from rostrum.schema import HIGH_WEIGHT, MIN_TEXT_LENGTH, topic_columns
 from rostrum.session import tune
 from rostrum.sources import readers, writers
 
@@ -154,8 +154,11 @@ class Corpus:
         after into the history; ``clean_observed`` counts while the data flows."""
         details = dict(options)
         if counted:
+            # Only standardised text is tested for its length, see ``clean``.
+            tested = options.get("standardize", True)
+            least = options.get("min_length", MIN_TEXT_LENGTH) if tested else 0
             sizes = ("original_size", "final_size", "removed")
-            report = cleaning.cleaning_report(self.df).collect()
+            report = cleaning.cleaning_report(self.df, least).collect()
             details.update({r.metric: r.value for r in report if r.metric in sizes})
         return self._then(cleaning.clean(self.df, **options), "clean_data", **details)
 
