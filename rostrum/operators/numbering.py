@@ -25,7 +25,7 @@ ROW_ID = "row_id"
 # Hash cells: 16^4 cells hold 1.5 GB each at 100 TB.
 CELL_DIGITS = 4
 # Rows one task numbers by a window; a cell above this counts as skewed.
-MAX_CELL_ROWS = 2_000_000
+MAX_CELL_ROWS = 500_000
 
 _POSITION_MASK = (1 << 33) - 1
 
