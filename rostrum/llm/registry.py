@@ -12,6 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 _MODULES = (
+    "decontamination",
     "token_files",
     "packing",
 )
