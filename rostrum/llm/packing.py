@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rostrum.llm.common import sliced, table, texts_of
+from rostrum.llm.common import sliced, table
 from rostrum.llm.registry import query
 from rostrum.llm.tokens import encoder, vocabulary_path
 
@@ -89,7 +89,7 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            ids, ends = encoder(vocabulary, words, end_id).encode(texts_of(batch, "text"), end_id)
+            ids, ends = encoder(vocabulary, words).encode(batch.column("text"), end_id)
             counts = np.diff(ends, prepend=0)
             pieces = -(-counts // capacity)
             row = np.repeat(np.arange(len(ends)), pieces)

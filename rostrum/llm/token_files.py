@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rostrum.llm.common import sliced, table, text_bytes, texts_of
+from rostrum.llm.common import sliced, table, text_bytes
 from rostrum.llm.registry import query
 from rostrum.llm.tokens import encoder, vocabulary_path
 from rostrum.session import scratch_path
@@ -63,7 +63,7 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in sliced(batches, "text"):
-            ids, ends = encoder(vocabulary, words, end_id).encode(texts_of(batch, "text"), end_id)
+            ids, ends = encoder(vocabulary, words).encode(batch.column("text"), end_id)
             counts = np.diff(ends, prepend=0)
             yield pa.record_batch(
                 {

@@ -1,20 +1,25 @@
-"""Token ids of a public BPE vocabulary, each distinct word encoded once per worker."""
+"""Token ids of a public BPE vocabulary, each distinct word encoded once per batch at most."""
 
 from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from rostrum.llm.common import expand
 
 # Distinct words, and characters of them, that a worker remembers before it starts
 # anew; bounds its memory.
-CACHE_WORDS = 600_000
-CACHE_CHARS = 32 << 20
-# Letters whose lower case is one letter and which stay as they are under NFC.
-_LAST_PLAIN = "ɏ"
+CACHE_WORDS = 400_000
+CACHE_CHARS = 16 << 20
+
+# Latin letters, each with a lower case of one letter and alike under NFC.
+_LATIN = r"^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+$"
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -38,10 +43,10 @@ class WordEncoder:
 
     The vocabulary's normaliser and word pattern never look across a space or a line
     feed, so the ids of a text are those of its chunks between them, in order. A chunk
-    of plain letters, perhaps with points or commas behind, goes straight to the BPE
-    model; any other chunk (digits, symbols, apostrophes, special tokens, other white
-    space) goes through the whole tokenizer. For a tokenizer of another kind
-    (``words=False``) whole texts are encoded.
+    of plain letters goes straight to the BPE model, and so does one with punctuation
+    behind, which is a word of its own. Any other chunk (digits, marks within, special
+    tokens, other white space) goes through the whole tokenizer. For a tokenizer of
+    another kind (``words=False``) whole texts are encoded.
     """
 
     def __init__(self, path: str, words: bool = True, cache_words: int = CACHE_WORDS):
@@ -63,110 +68,102 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.places = _Places()
+        """Forget all words; place 0 is the empty word."""
+        self.places = _Places({"": 0})
         self.places.new = []
-        self.bodies: dict[str, np.ndarray] = {}
+        self.chars = 0
         self.ids = np.empty(1 << 16, dtype=np.int32)
-        self.used = self.chars = 0
-        self.starts = np.empty(1 << 14, dtype=np.int64)
-        self.lengths = np.empty(1 << 14, dtype=np.int64)
-
-    def _store(self, first: int, encoded: list[np.ndarray]) -> None:
-        sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-        total, count = self.used + int(sizes.sum()), first + len(encoded)
-        if total > len(self.ids):
-            self.ids = np.resize(self.ids, max(total, 2 * len(self.ids)))
-        if count > len(self.starts):
-            size = max(count, 2 * len(self.starts))
-            self.starts, self.lengths = np.resize(self.starts, size), np.resize(self.lengths, size)
-        if encoded:
-            self.ids[self.used : total] = np.concatenate(encoded)
-        self.starts[first:count] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[first:count] = sizes
-        self.used = total
-
-    def _plain_ids(self, words: list[str]) -> None:
-        """Encode lower-case words of plain letters by the BPE model."""
-        if not words:
+        self.bounds = np.zeros(1 << 14, dtype=np.int64)
+
+    def _learn(self) -> None:
+        """Encode the words that queue up; each one ends in a token that says so."""
+        new, self.places.new = self.places.new, []
+        if not new:
             return
         (encoded,) = self.plain.encode_batch_fast(
-            [words], is_pretokenized=True, add_special_tokens=False
+            [new], is_pretokenized=True, add_special_tokens=False
         )
         ids = np.array(encoded.ids, dtype=np.int32)
-        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-        for word, begin, end in zip(words, [0, *ends], ends, strict=False):
-            self.bodies[word] = ids[begin:end]
-
-    def _whole_ids(self, text: str) -> np.ndarray:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.int32)
-
-    def _learn(self) -> None:
-        new, self.places.new = self.places.new, []
-        parts: list[tuple[str, str] | None] = []
-        unseen: dict[str, None] = {}
-        tails: dict[str, None] = {}
+        count = len(self.places)
+        first = count - len(new)
+        used = int(self.bounds[first])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (used + len(ids)))
+        if count >= len(self.bounds):
+            self.bounds = np.resize(self.bounds, 2 * count + 1)
+        self.ids[used : used + len(ids)] = ids
+        self.bounds[first + 1 : count + 1] = used + 1 + np.flatnonzero(self.last[ids])
         self.chars += sum(map(len, new))
-        for chunk in new:
-            body = chunk.rstrip(".,")
-            if body.isalpha() and max(body) <= _LAST_PLAIN:
-                lowered = body.lower()
-                if len(lowered) == len(body) and lowered.isalpha():
-                    tail = chunk[len(body) :]
-                    if lowered not in self.bodies:
-                        unseen[lowered] = None
-                    if tail and tail not in self.bodies:
-                        tails[tail] = None
-                    parts.append((lowered, tail))
-                    continue
-            parts.append(None)
-        self._plain_ids(list(unseen))
-        for tail in tails:
-            self.bodies[tail] = self._whole_ids(tail)
-        encoded = []
-        for chunk, part in zip(new, parts, strict=True):
-            if part is None:
-                encoded.append(self._whole_ids(chunk))
-            elif part[1]:
-                encoded.append(np.concatenate((self.bodies[part[0]], self.bodies[part[1]])))
-            else:
-                encoded.append(self.bodies[part[0]])
-        self._store(len(self.places) - len(new), encoded)
-
-    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks one after another, and how many each has."""
+        bodies = pc.ascii_rtrim(chunks, _PUNCTUATION)
+        plain = pc.and_(pc.utf8_is_alpha(bodies), pc.string_is_ascii(bodies))
+        plain = plain.to_numpy(zero_copy_only=False).copy()
+        beyond = np.flatnonzero(~plain)
+        latin = pc.match_substring_regex(bodies.take(pa.array(beyond)), _LATIN)
+        plain[beyond] = latin.to_numpy(zero_copy_only=False)
+        lowered = pc.if_else(pa.array(plain), pc.utf8_lower(bodies), "").dictionary_encode()
+        words = lowered.dictionary.to_pylist()
+        place = np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
+        self._learn()
+        place = place[lowered.indices.to_numpy(zero_copy_only=False)]
+        starts = np.zeros((len(chunks), 2), dtype=np.int64)
+        lengths = np.zeros((len(chunks), 2), dtype=np.int64)
+        starts[:, 0] = self.bounds[place]
+        lengths[:, 0] = self.bounds[place + 1] - starts[:, 0]
+        lengths[place == 0, 0] = 0
+        cut = pc.subtract(pc.binary_length(chunks), pc.binary_length(bodies)).to_numpy()
+        one = np.flatnonzero(plain & (cut == 1))
+        many = np.flatnonzero(plain & (cut > 1))
+        odd = np.flatnonzero(~plain)
+        marks = pc.utf8_slice_codeunits(chunks.take(pa.array(one)), -1).dictionary_encode()
+        runs = [c[-n:] for c, n in zip(chunks.take(pa.array(many)).to_pylist(), cut[many], strict=True)]
+        distinct = {tail: k for k, tail in enumerate(dict.fromkeys(marks.dictionary.to_pylist() + runs))}
+        whole = [*distinct, *chunks.take(pa.array(odd)).to_pylist()]
+        own = [e.ids for e in self.whole.encode_batch_fast(whole, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+        begins = len(self.ids) + np.cumsum(sizes) - sizes
+        # Marks come first among the distinct tails, in the order of their dictionary.
+        which = marks.indices.to_numpy(zero_copy_only=False)
+        starts[one, 1], lengths[one, 1] = begins[which], sizes[which]
+        which = np.fromiter((distinct[t] for t in runs), dtype=np.int64, count=len(runs))
+        starts[many, 1], lengths[many, 1] = begins[which], sizes[which]
+        starts[odd, 0], lengths[odd, 0] = begins[len(distinct) :], sizes[len(distinct) :]
+        more = np.fromiter(chain.from_iterable(own), dtype=np.int32, count=int(sizes.sum()))
+        ids = np.concatenate((self.ids, more))[expand(starts.ravel(), lengths.ravel())]
+        return ids, lengths.sum(axis=1)
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's ids end.
 
-        Each text is followed by ``end_id`` if one is given. Empty texts have no other id.
+        Each text is followed by ``end_id`` if one is given. Missing and empty texts have
+        no other id.
         """
-        tail = [] if end_id is None else [end_id]
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         if not self.words:
-            lists = [
-                np.array(e.ids + tail, dtype=np.int32)
-                for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)
-            ]
+            tail = [] if end_id is None else [end_id]
+            encoded = self.whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            lists = [np.array(e.ids + tail, dtype=np.int32) for e in encoded]
             ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
             return (np.concatenate(lists) if lists else np.empty(0, np.int32)), ends
         if len(self.places) > self.cache_words or self.chars > CACHE_CHARS:
             self._reset()
-        if not self.places:
-            # Place 0 is the end mark; no chunk holds a line feed.
-            self.places["\n"] = 0
-            self._store(0, [np.array(tail, dtype=np.int32)])
-        chunks: list[str] = []
-        counts = []
-        for text in texts:
-            own = text.replace("\n", " ").split(" ")
-            own.append("\n")
-            chunks += own
-            counts.append(len(own))
-        place = np.fromiter(map(self.places.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        self._learn()
-        lengths = self.lengths[place]
-        ids = self.ids[expand(self.starts[place], lengths)]
-        last = np.cumsum(counts) - 1
-        return ids, np.cumsum(lengths)[last] if len(last) else np.empty(0, np.int64)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        chunks = pc.list_flatten(lists).dictionary_encode()
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        table, lengths = self._chunk_ids(chunks.dictionary)
+        place = chunks.indices.to_numpy(zero_copy_only=False)
+        sizes = lengths[place]
+        ids = table[expand((np.cumsum(lengths) - lengths)[place], sizes)]
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum(counts)]
+        if end_id is not None:
+            ids = np.insert(ids, ends, end_id)
+            ends = ends + np.arange(1, len(ends) + 1)
+        return ids, ends
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, words: bool, end_id: int | None) -> WordEncoder:
-    """One encoder per worker process, vocabulary and end id."""
+def encoder(path: str, words: bool) -> WordEncoder:
+    """One encoder per worker process and vocabulary."""
     return WordEncoder(path, words)
