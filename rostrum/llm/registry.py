@@ -13,6 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 _MODULES = (
     "decontamination",
+    "lm_scoring",
     "quality",
     "toxicity",
     "order_minhash",
