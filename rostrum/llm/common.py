@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Text bytes that one task handles at a time; longer single texts are taken alone.
@@ -70,3 +71,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts."""
     return int(docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0)
+
+
+# A token after a text's last word; no word is a line feed.
+END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
+
+
+def word_hashes(texts: pa.Array, end: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every text's words, lower-cased for A-Z, and how many they are.
+
+    White space is ASCII's. ``end`` is a token put after every text's words. A missing
+    text counts as empty.
+    """
+    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
+    lists = pc.ascii_split_whitespace(texts)
+    words = pc.list_flatten(lists).dictionary_encode()
+    hashes = np.fromiter(
+        map(xxhash.xxh3_64_intdigest, words.dictionary.cast(pa.binary()).to_pylist()),
+        dtype=np.uint64,
+        count=len(words.dictionary),
+    )
+    parents = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    found = hashes[words.indices.to_numpy(zero_copy_only=False)]
+    # Splitting leaves an empty word before leading and after trailing white space.
+    filled = found != np.uint64(xxhash.xxh3_64_intdigest(b""))
+    parents, found = parents[filled], found[filled]
+    counts = np.bincount(parents, minlength=len(texts)).astype(np.int64)
+    if end is None:
+        return found, counts
+    return np.insert(found, np.cumsum(counts), end), counts + 1

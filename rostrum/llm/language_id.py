@@ -25,6 +25,8 @@ from rostrum.llm.registry import query
 from rostrum.session import materialize
 
 UNDETERMINED = "und"
+# Documents whose best language is less likely than this are rejected by the filter.
+LEAST_SCORE = 0.5
 LONGEST = 5
 # Least share of a language's words (of its n-grams of a length) that is remembered.
 MIN_SHARE = 2e-5
@@ -220,6 +222,20 @@ def identify(
     return docs.mapInArrow(predict, StructType([*docs.schema.fields, *added]))
 
 
+def keep_identified(
+    docs: DataFrame, text: str = "text", lang: str = "lang", least: float = LEAST_SCORE
+) -> DataFrame:
+    """The rows whose language is told with a score of ``least`` or more, as they were.
+
+    The model learns from all rows with a text and a language. Texts without letters go.
+    """
+    model = train(docs, text, lang)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    found = identify(plain, model, f"c{docs.columns.index(text)}")
+    kept = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return kept.select(plain.columns).toDF(*docs.columns)
+
+
 def held_out(key: str = "doc_id") -> Column:
     return remainder(F.col(key), 4) == 2
 

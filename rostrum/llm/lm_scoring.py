@@ -26,12 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rostrum.llm.common import mix64, remainder, sliced, table, text_bytes
+from rostrum.llm.common import END, mix64, remainder, sliced, table, text_bytes, word_hashes
+from rostrum.llm.packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 from rostrum.llm.registry import query
 from rostrum.session import materialize
 
@@ -42,51 +41,11 @@ STRENGTHS = (200.0, 20.0, 10.0)
 BLOCK_BYTES = 24 << 20
 BUCKET_BYTES = 12 << 20
 
-# The token after a text's last word; no word is a line feed.
-END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 # Bits of the hash of two and more words; a word's own hash has 64.
 BITS = 56
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Unsigned numbers, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    return pack(np.diff(values, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every text's words and its end mark, and how many they are."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
-    lists = pc.ascii_split_whitespace(texts)
-    words = pc.list_flatten(lists).dictionary_encode()
-    hashes = np.fromiter(
-        (xxhash.xxh3_64_intdigest(w) for w in words.dictionary.cast(pa.binary()).to_pylist()),
-        dtype=np.uint64,
-        count=len(words.dictionary),
-    )
-    parents = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-    found = hashes[words.indices.to_numpy(zero_copy_only=False)]
-    # Splitting leaves an empty word before leading and after trailing white space.
-    filled = found != np.uint64(xxhash.xxh3_64_intdigest(b""))
-    parents, found = parents[filled], found[filled]
-    counts = np.bincount(parents, minlength=len(texts))
-    return np.insert(found, np.cumsum(counts), END), counts + 1
-
-
 def ngram_hashes(words: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For 2, 3, ... words: the hash of those that end at a place, and where there are any."""
     place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -112,7 +71,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tupl
     """Word hashes of the batches in blocks of about ``limit`` bytes of text."""
     parts, size = [], 0
     for batch in sliced(batches, "text"):
-        parts.append((*word_hashes(batch.column("text")), batch.column("key"), batch.column("learn")))
+        parts.append((*word_hashes(batch.column("text"), END), batch.column("key"), batch.column("learn")))
         size += batch.column("text").nbytes
         if size >= limit:
             yield parts
@@ -144,7 +103,7 @@ def _requests(docs: DataFrame, order: int, buckets: int, block_bytes: int) -> Da
             yield _documents_row(block, keys, learn, lengths, counted[0][0], tokens)
             cuts = []
             for k, (hashes, _) in enumerate(counted):
-                edges = _edges(buckets, 64 if k == 0 else BITS)
+                edges = bucket_edges(buckets, 64 if k == 0 else BITS)
                 cuts.append(np.append(np.searchsorted(hashes, edges), len(hashes)))
             rows: dict[str, list] = {"bucket": [], "hashes": [], "counts": []}
             for b in range(buckets):
@@ -162,11 +121,6 @@ def _requests(docs: DataFrame, order: int, buckets: int, block_bytes: int) -> Da
     return materialize(docs.mapInArrow(run, schema), "ngrams")
 
 
-def _edges(buckets: int, bits: int) -> np.ndarray:
-    """The least hash of every bucket: equal ranges of all hashes."""
-    return np.array([(b << bits) // buckets for b in range(buckets)], dtype=np.uint64)
-
-
 _BINARIES = pa.list_(pa.binary())
 
 

@@ -21,6 +21,7 @@ _MODULES = (
     "language_id",
     "token_files",
     "packing",
+    "jaccard_join",
 )
 
 
