@@ -89,8 +89,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table below the shared folder and read it back: fixed rows, no lineage.
 
     Parquet instead of a checkpoint, so that later steps read only the columns they
-    use. The files stay until the shared folder is cleared.
+    use. The files stay until :func:`discard` or until the shared folder is cleared.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.scratch_path = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete what :func:`materialize` stored, once nothing reads it any more."""
+    for df in stored:
+        delete_path(df.sparkSession, df.scratch_path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(target, True)
