@@ -13,8 +13,14 @@ from rostrum.operators import batches, cleaning, sampling, select, splits
 from rostrum.operators import statistics as stats, validation
 from rostrum.operators.batches import DEFAULT_BATCH
 from rostrum.operators.features import with_topic_features
-from rostrum.operators.numbering import number_by_key, rows_at
-from rostrum.schema import HIGH_WEIGHT, MIN_TEXT_LENGTH, topic_columns
+from rostrum.operators.numbering import look_up
+from rostrum.schema import (
+    HIGH_WEIGHT,
+    MIN_TEXT_LENGTH,
+    nan_to_null,
+    to_spark_names,
+    topic_columns,
+)
 from rostrum.session import tune
 from rostrum.sources import readers, writers
 
@@ -23,8 +29,10 @@ from rostrum.sources import readers, writers
 class Corpus:
     """A speech table and the steps that led to it. Every step returns a new one.
 
-    Nothing runs until a result is asked for. Steps work on the current table:
-    filtering a sample filters the sample.
+    Row-wise steps (reading, filtering, cleaning, features) run when a result is asked
+    for. Samples, splits, look-ups and exact quantiles first run small jobs of their own
+    to find counts and borders. Steps work on the current table: filtering a sample
+    filters the sample.
     """
 
     df: DataFrame
@@ -61,8 +69,9 @@ class Corpus:
         sample_size: int | None = None,
         seed: int = sampling.DEFAULT_SEED,
     ) -> Corpus:
-        """As :meth:`load`, from a DataFrame."""
+        """As :meth:`load`, from a DataFrame; dotted names and NaN are taken in alike."""
         tune(df.sparkSession)
+        df = nan_to_null(to_spark_names(df))
         if filters:
             df = select.where_columns(df, filters)
         key = df
@@ -95,8 +104,11 @@ class Corpus:
         return self
 
     def rows(self, positions: int | slice | Sequence[int], order_by: Sequence[str] = ("doc_id",)):
-        """Rows by position in key order. For many look-ups number the table once."""
-        return rows_at(number_by_key(self.df, order_by), positions)
+        """Rows by position in key order; only the keys are numbered and stored.
+
+        For many look-ups number the table once and use ``rows_at``.
+        """
+        return look_up(self.df, positions, order_by)
 
     def sample(self, n: int = 5, seed: int | None = None) -> DataFrame:
         chosen = self.seed if seed is None else seed
@@ -138,6 +150,10 @@ class Corpus:
     def splits(self) -> DataFrame:
         return splits.prepare_splits(self.df, seed=self.seed)
 
+    def write_splits(self, path: str) -> dict[str, int]:
+        """Train, validation and test in the folders that ``load`` and ``read_splits`` expect."""
+        return writers.write_splits(self.splits(), path)
+
     def batches(self, batch_size: int = DEFAULT_BATCH, shuffle: bool = True) -> DataFrame:
         return batches.with_batches(self.df, batch_size, shuffle, self.seed)
 
@@ -184,7 +200,10 @@ class Corpus:
     def statistics(
         self, topic_analysis: bool = True, text_analysis: bool = True
     ) -> dict[str, DataFrame]:
-        """Lazy statistics by family. Persist the table before asking for many."""
+        """Statistics by family. Exact quantiles find their ranks by jobs of their own.
+
+        Persist the table before asking for many.
+        """
         df, has = self.df, set(self.df.columns)
         families = {
             "corpus_metrics": stats.corpus_metrics(df),

@@ -5,15 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F
-
-from rostrum.operators.numbering import (
-    MAX_CELL_ROWS,
-    ROW_ID,
-    hash_key,
-    number_by_key,
-    number_shuffled,
-)
+from pyspark.sql import DataFrame, functions as F
+
+from rostrum.operators.numbering import ROW_ID, hash_key, number_by_key, number_shuffled
 from rostrum.schema import topic_columns
 
 BATCH_ID = "batch_id"
@@ -46,29 +40,20 @@ def with_shard_batches(
     shuffle: bool = True,
     seed: int = 42,
     key: str = "doc_id",
-    max_shard_rows: int = MAX_CELL_ROWS,
 ) -> DataFrame:
     """Batches that never cross shards; rows are shuffled inside their shard.
 
-    A shard of ordinary size is numbered by one window; if any shard is too large
-    for one task, positions are counted over range partitions instead.
+    Rows are numbered over range partitions by shard and order, so a shard of any size
+    spreads over tasks; one row per shard, its first position, is joined on.
     """
     order = [hash_key(seed, key), F.col(key)] if shuffle else [F.col(key)]
-    sizes = df.groupBy(shard).agg(F.count("*").alias("__n"))
-    largest = sizes.agg(F.max("__n")).first()[0] or 0
-    if largest <= max_shard_rows:
-        tie = F.xxhash64(*df.columns)
-        placed = df.withColumn(
-            ROW_ID, F.row_number().over(Window.partitionBy(shard).orderBy(*order, tie)) - 1
-        )
-    else:
-        numbered = number_by_key(df, [F.col(shard), *order], name="__global")
-        starts = numbered.groupBy(F.col(shard).alias("__shard")).agg(
-            F.min("__global").alias("__start")
-        )
-        placed = numbered.join(starts, F.col(shard).eqNullSafe(F.col("__shard"))).withColumn(
-            ROW_ID, F.col("__global") - F.col("__start")
-        )
+    numbered = number_by_key(df, [F.col(shard), *order], name="__global")
+    starts = numbered.groupBy(F.col(shard).alias("__shard")).agg(
+        F.min("__global").alias("__start")
+    )
+    placed = numbered.join(starts, F.col(shard).eqNullSafe(F.col("__shard"))).withColumn(
+        ROW_ID, F.col("__global") - F.col("__start")
+    )
     return placed.select(
         shard,
         F.floor(F.col(ROW_ID) / batch_size).cast("long").alias(BATCH_ID),

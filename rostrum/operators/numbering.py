@@ -5,10 +5,7 @@ No step sorts the table in one task. Two ways lead to the same kind of result:
 * key order: range partitions, positions counted inside each, partition offsets
   added. Range bounds are sampled anew by every job, so the numbered partitions
   are written to the shared folder before their sizes are counted.
-* shuffled order: rows are ordered by a seeded hash of their key. The leading
-  hash digits cut the order into cells of even size without sampling, and a
-  window numbers each cell. If one key is so frequent that its cell is too large
-  for a task, the first way takes over.
+* shuffled order: the same, by a seeded hash of the key.
 """
 
 from __future__ import annotations
@@ -24,8 +21,6 @@ ROW_ID = "row_id"
 
 # Hash cells: 16^4 cells hold 1.5 GB each at 100 TB.
 CELL_DIGITS = 4
-# Rows one task numbers by a window; a cell above this counts as skewed.
-MAX_CELL_ROWS = 500_000
 
 _POSITION_MASK = (1 << 33) - 1
 
@@ -84,50 +79,27 @@ def number_by_key(
     offsets = sizes.select(
         "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
     )
-    numbered = placed.join(F.broadcast(offsets), "__part")
-    return numbered.select((F.col("__offset") + F.col("__pos")).alias(name), *df.columns)
+    joined = placed.join(F.broadcast(offsets), "__part")
+    numbered = joined.select((F.col("__offset") + F.col("__pos")).alias(name), *df.columns)
+    numbered.scratch_path = placed.scratch_path
+    return numbered
 
 
-@dataclass(frozen=True)
-class _Cells:
+def _cell_offsets(df: DataFrame, cell: Column) -> DataFrame:
     """Counts per hash cell with the number of rows in earlier cells."""
-
-    offsets: DataFrame
-    largest: int
-
-
-def _cells(df: DataFrame, cell: Column) -> _Cells:
     counts = df.groupBy(cell.alias("__cell")).agg(F.count("*").alias("__n"))
     # At most 16^CELL_DIGITS rows, whatever the size of the table.
     before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    return counts.select(
         "__cell", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
     )
-    offsets = offsets.checkpoint()
-    return _Cells(offsets, offsets.agg(F.max("__n")).first()[0] or 0)
 
 
 def number_shuffled(
-    df: DataFrame,
-    seed: int = 42,
-    key: str = "doc_id",
-    name: str = ROW_ID,
-    max_cell_rows: int = MAX_CELL_ROWS,
+    df: DataFrame, seed: int = 42, key: str = "doc_id", name: str = ROW_ID
 ) -> DataFrame:
     """Number rows in the order of ``md5(seed:key)``: a reproducible global shuffle."""
-    shared_dir(df.sparkSession)
-    hashed = hash_key(seed, key)
-    cells = _cells(df, hash_cell(hashed))
-    if cells.largest > max_cell_rows:
-        return number_by_key(df, [hashed, F.col(key)], name=name)
-    placed = df.withColumns({"__hash": hashed, "__tie": _row_tie(df)}).withColumn(
-        "__cell", hash_cell(F.col("__hash"))
-    )
-    in_cell = Window.partitionBy("__cell").orderBy("__hash", key, "__tie")
-    numbered = placed.withColumn("__pos", F.row_number().over(in_cell) - 1).join(
-        F.broadcast(cells.offsets.drop("__n")), "__cell"
-    )
-    return numbered.select((F.col("__offset") + F.col("__pos")).alias(name), *df.columns)
+    return number_by_key(df, [hash_key(seed, key), F.col(key)], name=name)
 
 
 @dataclass(frozen=True)
@@ -150,7 +122,6 @@ def first_shuffled(
     n: int,
     seed: int = 42,
     key: str = "doc_id",
-    max_tied_rows: int = MAX_CELL_ROWS,
 ) -> Border | None:
     """Border of the first n rows in the order of :func:`number_shuffled`.
 
@@ -164,7 +135,7 @@ def first_shuffled(
     hashed = hash_key(seed, key)
     cell = hash_cell(hashed)
     holds_nth = (F.col("__offset") < n) & (F.col("__offset") + F.col("__n") >= n)
-    at_cell = _cells(df, cell).offsets.filter(holds_nth).first()
+    at_cell = _cell_offsets(df, cell).filter(holds_nth).first()
     if at_cell is None:
         return None
     before = Window.partitionBy("__cell").orderBy("__hash").rowsBetween(
@@ -182,13 +153,7 @@ def first_shuffled(
     if nth["__n"] == left:
         return Border(hashed <= at, hashed > at)
     tied = df.filter(hashed == at)
-    if nth["__n"] > max_tied_rows:
-        numbered = number_by_key(tied, [key], name="__pos")
-    else:
-        order = Window.partitionBy("__hash").orderBy(key, "__tie")
-        numbered = tied.withColumns({"__hash": hashed, "__tie": _row_tie(tied)}).withColumn(
-            "__pos", F.row_number().over(order) - 1
-        )
+    numbered = number_by_key(tied, [key], name="__pos")
     edge = numbered.select(*df.columns, (F.col("__pos") < left).alias("__first"))
     return Border(hashed < at, hashed > at, edge)
 
@@ -196,9 +161,10 @@ def first_shuffled(
 def rows_at(numbered: DataFrame, positions: int | slice | Sequence[int] | DataFrame) -> DataFrame:
     """Rows of a numbered table by position.
 
-    A number, a slice or a list as in Python, negative positions from the end;
-    a DataFrame with a ``row_id`` column for very long lists. Rows come back as
-    a set: a position listed twice gives one row unless a DataFrame lists it.
+    A number, a slice or a list as in Python, negative positions from the end; a
+    position that the table does not have raises. A list gives its rows in its order, a
+    repeated position its row again. A DataFrame with a ``row_id`` column serves very
+    long lists; its positions are joined as they are.
     """
     if isinstance(positions, DataFrame):
         return numbered.join(positions.select(ROW_ID), ROW_ID)
@@ -224,7 +190,36 @@ def rows_at(numbered: DataFrame, positions: int | slice | Sequence[int] | DataFr
         stride = F.pmod(row - chosen[0], F.lit(abs(chosen.step)))
         return numbered.filter(row.between(low, high) & (stride == 0))
     listed = [positions] if isinstance(positions, int) else list(positions)
-    if any(p < 0 for p in listed):
-        total = numbered.count()
-        listed = [p + total if p < 0 else p for p in listed]
-    return numbered.filter(row.isin(listed))
+    total = numbered.count()
+    outside = [p for p in listed if not -total <= p < total]
+    if outside:
+        raise IndexError(f"no rows at positions {outside[:10]}, the table has {total}")
+    if not listed:
+        return numbered.limit(0)
+    places = [(i, p + total if p < 0 else p) for i, p in enumerate(listed)]
+    wanted = numbered.sparkSession.createDataFrame(places, f"__place long, {ROW_ID} long")
+    return numbered.join(F.broadcast(wanted), ROW_ID).orderBy("__place").drop("__place")
+
+
+def look_up(
+    df: DataFrame,
+    positions: int | slice | Sequence[int] | DataFrame,
+    order_by: Sequence[str] = ("doc_id",),
+) -> DataFrame:
+    """Rows by position in key order, with ``row_id``, without storing the table.
+
+    Keys and a hash of the row are numbered and stored; the rows with the keys found are
+    then filtered out of the table. Equal rows take the positions of each other.
+    """
+    keys = list(order_by)
+    tied = df.withColumn("__row", _row_tie(df))
+    narrow = tied.select(*keys, "__row")
+    found = rows_at(number_by_key(narrow, [*keys, "__row"]), positions)
+    found = found.withColumn("__place", F.monotonically_increasing_id())
+    match = F.lit(True)
+    for name in [*keys, "__row"]:
+        match = match & F.col(f"t.`{name}`").eqNullSafe(F.col(f"f.`{name}`"))
+    once = tied.dropDuplicates([*keys, "__row"])
+    rows = once.alias("t").join(found.alias("f"), match)
+    chosen = rows.select("f.__place", f"f.{ROW_ID}", *[F.col(f"t.`{c}`") for c in df.columns])
+    return chosen.orderBy("__place").drop("__place")

@@ -5,8 +5,7 @@ pass narrows down where the wanted ranks lie instead:
 
 1. count values per coarse cell (a logarithmic grid that follows the order of
    the values), combined on the map side;
-2. only where a cell with a wanted rank is still large: count its values per cell
-   of a linear grid;
+2. in the cells with a wanted rank, count values per cell of a linear grid;
 3. in the few cells with a wanted rank, count per distinct value and read the
    values at the ranks.
 
@@ -26,8 +25,6 @@ GRID_PER_E_FOLD = 64
 GRID_SCALE = 1e12
 FINE_CELLS = 4096
 NO_CELL = -(2**31)
-# Rows of a cell that the last pass counts by value; larger cells are refined.
-MAX_CELL_ROWS = 1_000_000
 
 
 def _coarse(value: Column) -> Column:
@@ -37,6 +34,8 @@ def _coarse(value: Column) -> Column:
     key would make the optimizer test the value's whole formula for NULL first.
     """
     size = F.log1p(F.abs(value) * GRID_SCALE) * GRID_PER_E_FOLD
+    # Beyond about 1e296 the scaled value is infinite; all these share the last cell.
+    size = F.least(size, F.lit(2.0**30))
     cell = F.floor(F.when(value < 0, -size).otherwise(size)).cast("int")
     return F.coalesce(cell, F.lit(NO_CELL))
 
@@ -44,6 +43,7 @@ def _coarse(value: Column) -> Column:
 def _fine(value: Column, low: Column, high: Column) -> Column:
     """Cell of a value on a linear grid over [low, high]."""
     share = (value - low) / F.when(high > low, high - low).otherwise(F.lit(1.0))
+    share = F.nanvl(share, F.lit(0.0))
     return F.least(F.lit(FINE_CELLS - 1), F.floor(share * FINE_CELLS).cast("int"))
 
 
@@ -91,12 +91,10 @@ def _descend(counts: DataFrame, targets: DataFrame, keys: list[str], cell: str)
     return found.withColumn("rank", F.col("rank") - F.col("start"))
 
 
-def _gathered(located: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
-    """Located ranks as a local table, and the rows of their largest cell."""
-    rows = located.select(*columns, "n").collect()
-    schema = located.select(*columns, "n").schema
-    local = located.sparkSession.createDataFrame(rows, schema)
-    return local.drop("n"), max((row["n"] for row in rows), default=0)
+def _gathered(located: DataFrame, columns: list[str]) -> DataFrame:
+    """Located ranks as a local table."""
+    rows = located.select(*columns)
+    return located.sparkSession.createDataFrame(rows.collect(), rows.schema)
 
 
 def exact_quantiles(
@@ -104,7 +102,6 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     group: str | None = None,
-    max_cell_rows: int = MAX_CELL_ROWS,
 ) -> DataFrame:
     """``(group, p, quantile)`` with linear interpolation; missing values are skipped.
 
@@ -122,22 +119,21 @@ def exact_quantiles(
         F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
     )
     coarse = coarse.filter(F.col("n") > 0)
-    targets, largest = _gathered(
+    targets = _gathered(
         _probe(coarse, g, probabilities), [*rank, "c", "f", "low", "high"]
     )
 
-    if largest > max_cell_rows:
-        cells = targets.select(g, "c", "low", "high").distinct()
-        values = (
-            values.drop("f")
-            .join(F.broadcast(cells), [g, "c"])
-            .withColumn("f", _fine(F.col("v"), F.col("low"), F.col("high")))
-            .drop("low", "high")
-        )
-        fine = values.groupBy(g, "c", "f").agg(F.count("*").alias("n"))
-        targets, _ = _gathered(
-            _descend(fine, targets.drop("f", "low", "high"), [g, "c"], "f"), [*rank, "c", "f"]
-        )
+    cells = targets.select(g, "c", "low", "high").distinct()
+    values = (
+        values.drop("f")
+        .join(F.broadcast(cells), [g, "c"])
+        .withColumn("f", _fine(F.col("v"), F.col("low"), F.col("high")))
+        .drop("low", "high")
+    )
+    fine = values.groupBy(g, "c", "f").agg(F.count("*").alias("n"))
+    targets = _gathered(
+        _descend(fine, targets.drop("f", "low", "high"), [g, "c"], "f"), [*rank, "c", "f"]
+    )
 
     cells = targets.select(g, "c", "f").distinct()
     hits = values.join(F.broadcast(cells), [g, "c", "f"])

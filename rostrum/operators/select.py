@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -90,7 +90,12 @@ def where_topic(df: DataFrame, topic: str, min_weight: float = HIGH_WEIGHT) -> D
     column = spark_name(topic)
     if column not in topic_columns(df):
         raise ValueError(f"topic {topic!r} not found")
-    return df.filter(F.col(column) >= min_weight)
+    return df.filter(_at_least(column, min_weight))
+
+
+def _at_least(column: str, weight: float) -> Column:
+    """NaN, which Spark ranks above all numbers, is no weight."""
+    return (F.col(column) >= weight) & ~F.isnan(column)
 
 
 def topic_subsets(
@@ -113,24 +118,26 @@ def topic_memberships(
     known = [spark_name(t) for t in topics if spark_name(t) in topic_columns(df)]
     if not known:
         raise ValueError(f"none of these topics found: {list(topics)}")
-    any_topic = reduce(lambda a, b: a | b, [F.col(t) >= min_weight for t in known])
+    any_topic = reduce(lambda a, b: a | b, [_at_least(t, min_weight) for t in known])
     long = df.filter(any_topic).select(key, *known).unpivot([key], known, "topic", "weight")
-    return long.filter(F.col("weight") >= min_weight)
+    return long.filter(_at_least("weight", min_weight))
 
 
-def split_by(df: DataFrame, column: str, max_parts: int = 10_000) -> dict[object, DataFrame]:
-    """One lazy subset per distinct value; NULL is a value of its own.
+def iterate_split(df: DataFrame, column: str) -> Iterator[tuple[object, DataFrame]]:
+    """One value and its lazy subset after another; NULL is a value of its own.
 
-    The values, not the rows, come to the driver, so a column with more than
-    ``max_parts`` values is an error. ``write.partitionBy(column)`` stores the
-    parts of any column.
+    The values are fetched partition by partition, so a column may have any number.
+    ``write.partitionBy(column)`` stores all parts in one scan.
     """
     if column not in df.columns:
         raise ValueError(f"no column {column!r}")
-    values = [row[0] for row in df.select(column).distinct().limit(max_parts + 1).collect()]
-    if len(values) > max_parts:
-        raise ValueError(f"{column!r} has more than {max_parts} values, use write.partitionBy")
-    return {v: df.filter(F.col(column).eqNullSafe(F.lit(v))) for v in values}
+    for row in df.select(column).distinct().toLocalIterator():
+        yield row[0], df.filter(F.col(column).eqNullSafe(F.lit(row[0])))
+
+
+def split_by(df: DataFrame, column: str) -> dict[object, DataFrame]:
+    """The subsets of :func:`iterate_split` by value, for a column of few values."""
+    return dict(iterate_split(df, column))
 
 
 def in_congress_range(df: DataFrame, first: int, last: int) -> DataFrame:

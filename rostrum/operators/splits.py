@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,11 +13,10 @@ from rostrum.schema import spark_name
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
 # Share and least size of the validation part, share of the
-# positional train part, rows above which an unprepared table is split at all.
+# positional train part.
 VALIDATION_SHARE = 0.1
 MIN_VALIDATION = 100
 TRAIN_SHARE = 0.8
-LARGE_TABLE = 50_000
 
 
 def split_by_flag(
@@ -36,6 +36,8 @@ def split_by_flag(
     train = df.filter(column == 1)
     total = train.count()
     n = min(max(min_validation, int(VALIDATION_SHARE * total)), total)
+    if 0 < total == n:
+        warnings.warn(f"all {total} train rows become validation", stacklevel=2)
     border = first_shuffled(train, n, seed, key)
     part = (
         F.when(column == 0, F.lit(TEST))
@@ -83,11 +85,14 @@ def split_for_release(
     flag: str = "training_set",
     order_by: Sequence[str] = ("doc_id",),
     seed: int = 42,
-    large: int = LARGE_TABLE,
+    whole: bool = False,
 ) -> DataFrame:
-    """Older rule: tables of at most ``large`` rows are all train; larger ones are
-    split by flag, without a least validation size, or else by position."""
-    if df.count() <= large:
+    """Older rule: split by flag, without a least validation size, or else by position.
+
+    With ``whole`` the table is not split and all of it is train. That is the caller's
+    choice; the size of the table never decides it.
+    """
+    if whole:
         return df.withColumn("split", F.lit(TRAIN))
     if spark_name(flag) in df.columns:
         return split_by_flag(df, flag, seed, order_by[0], min_validation=0)

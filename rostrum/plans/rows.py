@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rostrum.operators import batches, splits
-from rostrum.operators.numbering import number_by_key, rows_at
+from rostrum.operators.numbering import look_up
 from rostrum.plans.registry import as_long, query
 from rostrum.plans.speech_view import SQL_SPEECHES, speeches
 from rostrum.schema import TOPIC_COLUMNS
@@ -23,14 +23,15 @@ _NUMBERED = f"""WITH {SQL_SPEECHES}, numbered AS (
     f"""{_NUMBERED}
 SELECT CAST(row_id AS BIGINT) AS row_id, doc_id, congno, 'slice' AS kind FROM numbered
 WHERE row_id >= 10 AND row_id < 80 AND (row_id - 10) % 7 = 0
-UNION ALL SELECT CAST(row_id AS BIGINT), doc_id, congno, 'list' FROM numbered
-WHERE row_id IN (0, 3, 199, (SELECT count(*) - 1 FROM speeches))
+UNION ALL SELECT CAST(row_id AS BIGINT), doc_id, congno, 'list' FROM numbered JOIN (
+  SELECT unnest([0, 3, 199, (SELECT count(*) - 1 FROM speeches)]) AS position
+) ON row_id = position
 UNION ALL SELECT CAST(row_id AS BIGINT), doc_id, congno, 'single' FROM numbered WHERE row_id = 42""",
 )
 def row_lookup(spark, sf_dir):
-    numbered = number_by_key(speeches(spark, sf_dir, ["doc_id", "congno"]), ["doc_id"])
+    view = speeches(spark, sf_dir, ["doc_id", "congno"])
     kinds = {"slice": slice(10, 80, 7), "list": [0, 3, 199, -1], "single": 42}
-    found = [rows_at(numbered, p).withColumn("kind", F.lit(k)) for k, p in kinds.items()]
+    found = [look_up(view, p).withColumn("kind", F.lit(k)) for k, p in kinds.items()]
     return as_long(found[0].unionByName(found[1]).unionByName(found[2]), "row_id")
 
 
@@ -152,4 +153,4 @@ def positional_split(spark, sf_dir):
 @query("release_split", _flag_split_sql(0))
 def release_split(spark, sf_dir):
     view = speeches(spark, sf_dir, ["doc_id", "training_set"])
-    return splits.split_for_release(view, large=100).select("doc_id", "split")
+    return splits.split_for_release(view).select("doc_id", "split")

@@ -362,3 +362,18 @@ SELECT CAST(count_if(passed) AS BIGINT) AS passed_categories, CAST(count(*) AS B
 def validation_score(spark, sf_dir):
     report = validation.validation_report(speeches(spark, sf_dir))
     return rounded(validation.validation_score(report), "score")
+
+
+# Types of the view's columns, as the fixture describes them.
+_VIEW_TYPES = {c: "string" for c in VIEW_COLUMNS if c not in TOPIC_COLUMNS}
+_VIEW_TYPES |= {"congno": "bigint", "training_set": "int"} | {c: "double" for c in TOPIC_COLUMNS}
+
+
+@query(
+    "column_types",
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('{c}', '{t}')" for c, t in _VIEW_TYPES.items())
+    + """) AS v("column", type)""",
+)
+def column_types(spark, sf_dir):
+    return stats.column_types(speeches(spark, sf_dir)).select("column", "type")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rostrum.corpus import Corpus
 from rostrum.operators import cleaning, splits
+from rostrum.operators.batches import with_shard_batches
+from rostrum.operators.features import with_topic_features
 from rostrum.plans.registry import as_double, as_long, query, rounded
 from rostrum.plans.selection import STANDARD_COLUMNS, filter_counts_sql
 from rostrum.plans.rows import _NUMBERED, _flag_split_sql
@@ -21,7 +26,7 @@ from rostrum.plans.speech_view import (
 from rostrum.plans.statistics import _BASIC, _tall
 from rostrum.plans.topics import FEATURE_SQL, feature_columns
 from rostrum.schema import TOPIC_COLUMNS
-from rostrum.session import scratch_path
+from rostrum.session import filesystem_uri, make_folder, scratch_path
 from rostrum.sources import readers, writers
 from rostrum.streaming import shards as streaming
 
@@ -70,13 +75,59 @@ def roundtrip_jsonl(spark, sf_dir):
     return _rows(readers.read_corpus(spark, path))
 
 
+_FORMATS = {
+    "parquet": lambda df, path: writers.write_parquet(df, path, narrow=False),
+    "csv": writers.write_csv,
+    "json": writers.write_json_lines,
+}
+
+
+def _stored(df: DataFrame, kind: str) -> DataFrame:
+    """The table after a round trip through one format."""
+    path = scratch_path(df.sparkSession, "cleaned")
+    _FORMATS[kind](df, path)
+    return readers.read_corpus(df.sparkSession, path, kind)
+
+
+def _register_round_trips() -> None:
+    """Cleaned and featured tables keep the columns they were given, in every format."""
+    for kind in _FORMATS:
+
+        @query(f"roundtrip_features_{kind}", FEATURE_SQL)
+        def features(spark, sf_dir, kind=kind):
+            return feature_columns(_stored(with_topic_features(speeches(spark, sf_dir)), kind))
+
+        @query(f"roundtrip_cleaned_{kind}", _CLEANED_ROWS)
+        def cleaned(spark, sf_dir, kind=kind):
+            view = speeches(spark, sf_dir, _CLEAN_COLUMNS)
+            return _cleaned_rows(_stored(cleaning.clean(view), kind))
+
+
 @query(
     "export_arrow",
-    f"WITH {SQL_SPEECHES} SELECT CAST(count(*) AS BIGINT) AS documents FROM speeches",
+    f"""WITH {SQL_SPEECHES} SELECT doc_id, md5(text) AS text_md5, date, congno, legis_body
+FROM speeches""",
 )
 def export_arrow(spark, sf_dir):
-    files = writers.write_arrow(speeches(spark, sf_dir), scratch_path(spark, "arrow"))
-    return files.agg(F.sum("rows").alias("documents"))
+    columns = ["doc_id", "text", "date", "congno", "legis_body"]
+    view = speeches(spark, sf_dir, columns)
+    path = scratch_path(spark, "arrow")
+    files = writers.write_arrow(view.select(columns), path)
+    uris = files.select(F.concat(F.lit(filesystem_uri(spark, path)), F.lit("/"), F.element_at(F.split("path", "/"), -1)).alias("uri"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, ipc
+
+        for batch in batches:
+            for uri in batch.column("uri").to_pylist():
+                files, name = fs.FileSystem.from_uri(uri)
+                with files.open_input_file(name) as source:
+                    stored = ipc.open_file(source)
+                    for i in range(stored.num_record_batches):
+                        yield stored.get_batch(i)
+
+    rows = uris.mapInArrow(read, view.select(columns).schema)
+    return rows.select("doc_id", F.md5("text").alias("text_md5"), "date", "congno", "legis_body")
 
 
 def _integer_type(column: str) -> str:
@@ -153,16 +204,20 @@ FROM numbered GROUP BY 1""",
 def shard_files(spark, sf_dir):
     path = scratch_path(spark, "shards")
     writers.write_shards(speeches(spark, sf_dir, ["doc_id", "congno"]), path, 300)
-    stored = spark.read.parquet(path)
-    return stored.groupBy(F.col("shard_id").cast("long").alias("shard_id")).agg(
-        F.count_distinct("_metadata.file_path").alias("files"),
+    stored = readers.read_shards(spark, path)
+    number = F.regexp_extract("shard", "^shard_([0-9]+)[.]parquet$", 1).cast("long")
+    return stored.groupBy(number.alias("shard_id")).agg(
+        F.count_distinct("shard").alias("files"),
         F.count("*").alias("documents"),
         F.min("doc_id").alias("first_id"),
         F.max("doc_id").alias("last_id"),
     )
 
 
-@query("filtered_versions", filter_counts_sql({}) + " ORDER BY filter_name")
+@query(
+    "filtered_versions",
+    f"SELECT * FROM ({filter_counts_sql({})}) WHERE documents > 0 ORDER BY filter_name",
+)
 def filtered_versions(spark, sf_dir):
     view = speeches(spark, sf_dir, ["doc_id", *STANDARD_COLUMNS])
     written, _ = writers.write_filtered(view, scratch_path(spark, "filtered"))
@@ -172,20 +227,197 @@ def filtered_versions(spark, sf_dir):
         .withColumn("filter_name", F.lit(name))
         for name, entry in written.items()
     ]
-    return reduce(DataFrame.unionByName, counted)
+    none = spark.createDataFrame([], "documents long, filter_name string")
+    return reduce(DataFrame.unionByName, counted, none)
 
 
 @query("split_files", _flag_split_sql(100))
 def split_files(spark, sf_dir):
     root = scratch_path(spark, "mirror")
     parted = splits.prepare_splits(speeches(spark, sf_dir, ["doc_id", "training_set", "congno"]))
-    for split, pattern in readers.SPLIT_PATTERNS.items():
-        folder = pattern.removesuffix("*.parquet")
-        part = parted.filter(F.col("split") == split).drop("split")
-        part.write.mode("append").parquet(f"{root}/{folder}")
+    writers.write_splits(parted, root)
     return readers.read_splits(spark, root).select("doc_id", "split")
 
 
+# ---- several shards -------------------------------------------------------------------
+
+_SHARDED = f"""{_NUMBERED}, sharded AS (
+  SELECT printf('shard_%04d.parquet', CAST(row_id // 150 AS BIGINT)) AS shard, doc_id FROM numbered
+), placed AS (
+  SELECT shard, doc_id,
+    row_number() OVER (PARTITION BY shard ORDER BY md5('42:' || doc_id), doc_id) - 1 AS row_id
+  FROM sharded
+)
+SELECT shard, CAST(row_id // 32 AS BIGINT) AS batch_id, CAST(row_id AS BIGINT) AS row_id, doc_id
+FROM placed"""
+
+
+def _several_shards(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "shards")
+    writers.write_shards(speeches(spark, sf_dir, ["doc_id"]).select("doc_id"), path, 150)
+    return path
+
+
+@query("shards_read", _SHARDED)
+def shards_read(spark, sf_dir):
+    return with_shard_batches(readers.read_shards(spark, _several_shards(spark, sf_dir)))
+
+
+@query("shards_streamed", _SHARDED)
+def shards_streamed(spark, sf_dir):
+    directory, path = _several_shards(spark, sf_dir), scratch_path(spark, "stream")
+    schema = T.StructType.fromDDL("doc_id string")
+    stream = streaming.stream_shards(spark, directory, schema, files_per_trigger=2)
+    run = streaming.stream_shard_batches(stream, f"{path}/rows", f"{path}/checkpoint")
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/rows").drop("epoch")
+
+
+@query(
+    "shard_positions",
+    f"""{_NUMBERED}, named AS (
+  SELECT DISTINCT printf('shard_%04d.parquet', CAST(row_id // 150 AS BIGINT)) AS shard FROM numbered
+)
+SELECT shard, CAST(row_number() OVER (ORDER BY shard) - 1 AS BIGINT) AS position,
+  CAST(row_number() OVER (ORDER BY md5('7:' || shard), shard) - 1 AS BIGINT) AS shuffled FROM named""",
+)
+def shard_positions(spark, sf_dir):
+    path = _several_shards(spark, sf_dir)
+    shuffled = readers.shard_order(spark, path, shuffle=True, seed=7)
+    return readers.shard_order(spark, path).join(
+        shuffled.withColumnRenamed("position", "shuffled"), "shard"
+    )
+
+
+@query(
+    "shards_damaged",
+    f"""{_NUMBERED}, sized AS (
+  SELECT CAST(row_id // 150 AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS documents FROM numbered GROUP BY 1
+)
+SELECT printf('shard_%04d.parquet', n) AS shard, CASE WHEN n = 1 THEN 0 ELSE documents END AS documents,
+  n = 1 AS damaged FROM sized""",
+)
+def shards_damaged(spark, sf_dir):
+    """One shard loses its first bytes; it is reported, and none of its rows is read."""
+    path = _several_shards(spark, sf_dir)
+    uri = f"{filesystem_uri(spark, path)}/shard_0001.parquet"
+    files, name = pyarrow.fs.FileSystem.from_uri(uri)
+    with files.open_input_file(name) as source:
+        data = source.read()
+    with files.open_output_stream(name) as target:
+        target.write(b"\xff" * 64 + data[64:])
+    read = readers.read_shards(spark, path).groupBy("shard").agg(F.count("*").alias("documents"))
+    bad = readers.damaged_shards(spark, path).select("shard", F.lit(True).alias("bad"))
+    listed = readers.list_shards(spark, path).select("shard")
+    return listed.join(read, "shard", "left").join(bad, "shard", "left").select(
+        "shard",
+        F.coalesce("documents", F.lit(0)).alias("documents"),
+        F.coalesce("bad", F.lit(False)).alias("damaged"),
+    )
+
+
+# ---- checks and reports ---------------------------------------------------------------
+
+
+@query(
+    "source_checks",
+    f"""WITH {SQL_SPEECHES}
+SELECT 'documents' AS "check", CAST(count(*) AS VARCHAR) AS outcome FROM speeches
+UNION ALL SELECT 'unknown format', 'refused' UNION ALL SELECT 'no rows left', 'refused'
+UNION ALL SELECT 'no shards', 'refused' UNION ALL SELECT 'missing column', 'refused'""",
+)
+def source_checks(spark, sf_dir):
+    corpus = Corpus(speeches(spark, sf_dir, ["doc_id", "congno"]), "speeches", "train")
+    empty = scratch_path(spark, "none")
+    make_folder(spark, empty)
+
+    def outcome(check) -> str:
+        try:
+            check()
+        except ValueError:
+            return "refused"
+        return "passed"
+
+    checks = {
+        "unknown format": lambda: readers.read_corpus(spark, f"{sf_dir}/documents.xml"),
+        "no rows left": lambda: corpus.where({"congno": lambda c: c > 10_000}).require_non_empty(),
+        "no shards": lambda: readers.list_shards(spark, empty),
+        "missing column": lambda: readers.require_columns(corpus.df, "text"),
+    }
+    rows = [("documents", str(corpus.require_non_empty().count()))]
+    rows += [(name, outcome(check)) for name, check in checks.items()]
+    return spark.createDataFrame(rows, "check string, outcome string")
+
+
+@query(
+    "size_comparison",
+    """SELECT 'parquet' AS format, 'snappy' AS compression, true AS compared
+UNION ALL SELECT 'compressed_csv', 'gzip', false UNION ALL SELECT 'jsonlines', 'gzip', true""",
+)
+def size_comparison(spark, sf_dir):
+    view = speeches(spark, sf_dir, ["doc_id", "text", "congno"])
+    results = writers.write_all_formats(view, scratch_path(spark, "sizes"), create_shards=False)
+    base = results["compressed_csv"]["size_bytes"]
+    for entry in results["summary"]:
+        saved = entry["savings_vs_csv_percent"]
+        if saved is not None:
+            assert saved == round((1 - results[entry["format"]]["size_bytes"] / base) * 100, 1)
+    rows = [
+        (e["format"], e["compression"], e["savings_vs_csv_percent"] is not None)
+        for e in results["summary"]
+    ]
+    return spark.createDataFrame(rows, "format string, compression string, compared boolean")
+
+
+@query(
+    "processing_summary",
+    f"""WITH {SQL_CLEANED} SELECT 'load_dataset,clean_data,refresh_features' AS operations,
+  CAST(count(*) AS BIGINT) AS documents, false AS statistics,
+  CAST({len(TOPIC_COLUMNS)} AS BIGINT) AS topics FROM cleaned""",
+)
+def processing_summary(spark, sf_dir):
+    corpus = Corpus.of(speeches(spark, sf_dir), "speeches", "train").clean().refresh_features()
+    summary = corpus.processing_summary()
+    row = (
+        ",".join(summary["operations_performed"]),
+        summary["final_dataset_size"],
+        summary["statistics_available"],
+        summary["topic_columns_found"],
+    )
+    return spark.createDataFrame([row], "operations string, documents long, statistics boolean, topics long")
+
+
+@query(
+    "report_history",
+    f"""WITH {SQL_CLEANED}, sizes AS (SELECT count(*) AS n FROM cleaned), given AS (
+  SELECT count(*) AS n FROM documents
+)
+SELECT CAST(0 AS BIGINT) AS step, 'load_dataset' AS operation, CAST(NULL AS DOUBLE) AS before, CAST(NULL AS DOUBLE) AS after
+UNION ALL SELECT 1, 'clean_data', CAST(given.n AS DOUBLE), CAST(sizes.n AS DOUBLE) FROM given, sizes
+UNION ALL SELECT 2, 'info: documents', NULL, CAST(n AS DOUBLE) FROM sizes""",
+)
+def report_history(spark, sf_dir):
+    """What the report has stored: the history step by step, and the table information."""
+    path = scratch_path(spark, "report")
+    corpus = Corpus.of(speeches(spark, sf_dir), "speeches", "train").clean(counted=True)
+    corpus.write_report(path)
+    steps = spark.read.schema("step long, entry string").json(f"{path}/history")
+    field = lambda name: F.get_json_object("entry", f"$.{name}")
+    history = steps.select(
+        "step",
+        field("operation").alias("operation"),
+        field("original_size").cast("double").alias("before"),
+        field("final_size").cast("double").alias("after"),
+    )
+    info = spark.read.schema("documents long").json(f"{path}/info").select(
+        F.lit(2).cast("long").alias("step"),
+        F.lit("info: documents").alias("operation"),
+        F.lit(None).cast("double").alias("before"),
+        F.col("documents").cast("double").alias("after"),
+    )
+    return history.unionByName(info)
+
+
 @query("processing_report", _tall(SQL_SPEECHES, "speeches", _BASIC))
 def processing_report(spark, sf_dir):
     path = scratch_path(spark, "report")
@@ -196,6 +428,28 @@ def processing_report(spark, sf_dir):
     return rounded(stored, "value")
 
 
+_CLEAN_COLUMNS = ["doc_id", "text", "date", "congno", "legis_body", "training_set"]
+_CLEANED_ROWS = f"""WITH {SQL_CLEANED}
+SELECT doc_id, md5(text) AS text_md5, strftime(date, '%Y-%m-%d') AS date, congno, legis_body,
+  CAST(training_set AS BIGINT) AS training_set, CAST(year AS DOUBLE) AS year FROM cleaned"""
+
+
+def _cleaned_rows(stored: DataFrame) -> DataFrame:
+    rows = stored.select(
+        "doc_id",
+        F.md5("text").alias("text_md5"),
+        F.date_format("date", "yyyy-MM-dd").alias("date"),
+        "congno",
+        "legis_body",
+        "training_set",
+        "year",
+    )
+    return as_double(as_long(rows, "training_set"), "year")
+
+
+_register_round_trips()
+
+
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = T.StructType.fromDDL(TABLE_SCHEMAS["documents"])
     return streaming.stream_shards(spark, sf_dir, schema, 1, pattern="documents.parquet")
@@ -212,14 +466,9 @@ def stream_features(spark, sf_dir):
     return feature_columns(spark.read.parquet(f"{path}/rows"))
 
 
-_CLEAN_COLUMNS = ["doc_id", "text", "date", "congno", "legis_body", "training_set"]
-
-
 @query(
     "stream_clean",
-    f"""WITH {SQL_CLEANED}
-SELECT doc_id, md5(text) AS text_md5, strftime(date, '%Y-%m-%d') AS date, congno, legis_body,
-  CAST(training_set AS BIGINT) AS training_set, CAST(year AS DOUBLE) AS year FROM cleaned""",
+    _CLEANED_ROWS,
 )
 def stream_clean(spark, sf_dir):
     path = scratch_path(spark, "stream")
@@ -231,22 +480,7 @@ def stream_clean(spark, sf_dir):
         streaming.clean_stream(view, modes), f"{path}/rows", f"{path}/checkpoint"
     )
     run.awaitTermination()
-    stored = spark.read.parquet(f"{path}/rows")
-    return as_double(
-        as_long(
-            stored.select(
-                "doc_id",
-                F.md5("text").alias("text_md5"),
-                F.date_format("date", "yyyy-MM-dd").alias("date"),
-                "congno",
-                "legis_body",
-                "training_set",
-                "year",
-            ),
-            "training_set",
-        ),
-        "year",
-    )
+    return _cleaned_rows(spark.read.parquet(f"{path}/rows"))
 
 
 @query(

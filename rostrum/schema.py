@@ -79,6 +79,22 @@ SPEECH_SCHEMA = T.StructType(
 )
 
 
+# Types of the columns that cleaning and features add, for formats without types.
+DERIVED_COLUMNS = {
+    "dominant_topic": T.StringType(),
+    "max_topic_weight": T.DoubleType(),
+    "topic_entropy": T.DoubleType(),
+    "active_topic_count": T.IntegerType(),
+    "year": T.IntegerType(),
+    "month": T.IntegerType(),
+    "day_of_year": T.IntegerType(),
+    "decade": T.IntegerType(),
+}
+STORED_SCHEMA = T.StructType(
+    SPEECH_SCHEMA.fields + [T.StructField(n, t, True) for n, t in DERIVED_COLUMNS.items()]
+)
+
+
 def topic_columns(columns: DataFrame | Iterable[str]) -> list[str]:
     """Topic weight columns in table order."""
     names = columns.columns if isinstance(columns, DataFrame) else columns

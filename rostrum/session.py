@@ -104,8 +104,42 @@ def discard(*stored: DataFrame) -> None:
         delete_path(df.sparkSession, df.scratch_path)
 
 
+def _located(spark: SparkSession, path: str):
+    """The file system a path is of, and the path for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder of any file system Spark reaches."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system, target = _located(spark, path)
     system.delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, target = _located(spark, path)
+    return system.exists(target)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, target = _located(spark, path)
+    system.mkdirs(target)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    system, found = _located(spark, source)
+    if not system.rename(found, _located(spark, target)[1]):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def list_paths(spark: SparkSession, folder: str) -> list[str]:
+    """Files and folders right below a folder."""
+    system, target = _located(spark, folder)
+    return sorted(s.getPath().toString() for s in system.listStatus(target))
+
+
+def filesystem_uri(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark takes it for."""
+    system, target = _located(spark, path)
+    uri = system.makeQualified(target).toString()
+    return uri.replace("file:/", "file:///", 1) if not uri.startswith("file://") else uri

@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
-from rostrum.functions.predicates import FilterSpec
+from rostrum.functions.predicates import FilterSpec, standard_filters
 from rostrum.operators.numbering import ROW_ID, number_by_key
 from rostrum.operators.select import merged_filters
 from rostrum.schema import to_published_names
+from rostrum.session import (
+    delete_path,
+    discard,
+    filesystem_uri,
+    list_paths,
+    make_folder,
+    materialize,
+    move_path,
+    path_exists,
+    scratch_path,
+)
+from rostrum.sources.readers import SPLIT_PATTERNS
 
 SHARD_ROWS = 50_000
 MEBIBYTE = 1024**2
@@ -168,23 +181,42 @@ def with_shards(df: DataFrame, shard_rows: int = SHARD_ROWS, key: str = "doc_id"
 def write_shards(
     df: DataFrame, path: str, shard_rows: int = SHARD_ROWS, key: str = "doc_id"
 ) -> dict:
-    """One directory and one file per shard of exactly ``shard_rows`` rows."""
-    sharded = with_shards(df, shard_rows, key)
+    """One file per shard of exactly ``shard_rows`` rows, ``shard_0000.parquet`` and on.
+
+    The rows are range-partitioned and stored once for their numbers, and shuffled once
+    more by shard, so that each shard is written by one task. The files are then renamed;
+    their list comes back in order.
+    """
+    spark = df.sparkSession
+    numbered = number_by_key(df, [key])
+    shard = F.floor(F.col(ROW_ID) / shard_rows).cast("long")
+    staging = scratch_path(spark, "shards")
     (
-        sharded.repartition("shard_id")
-        .sortWithinPartitions("shard_id", ROW_ID)
+        numbered.withColumn("__shard", shard)
+        .repartition("__shard")
+        .sortWithinPartitions("__shard", ROW_ID)
         .drop(ROW_ID)
-        .write.mode("overwrite")
-        .option("compression", "snappy")
-        .partitionBy("shard_id")
-        .parquet(path)
+        .write.option("compression", "snappy")
+        .partitionBy("__shard")
+        .parquet(staging)
     )
-    size = stored_bytes(df.sparkSession, path)
-    shards = sharded.agg(F.max("shard_id")).first()[0]
-    count = 0 if shards is None else shards + 1
+    delete_path(spark, path)
+    make_folder(spark, path)
+    folders = sorted(
+        (int(f.rsplit("=", 1)[1]), f) for f in list_paths(spark, staging) if "__shard=" in f
+    )
+    names = []
+    for number, folder in folders:
+        (file,) = (f for f in list_paths(spark, folder) if f.endswith(".parquet"))
+        names.append(f"shard_{number:04d}.parquet")
+        move_path(spark, file, f"{path.rstrip('/')}/{names[-1]}")
+    delete_path(spark, staging)
+    discard(numbered)
+    size, count = stored_bytes(spark, path), len(names)
     return {
         "shard_directory": path,
         "num_shards": count,
+        "shard_files": names,
         "total_size_bytes": size,
         "total_size_mb": size / MEBIBYTE,
         "avg_shard_size_mb": size / count / MEBIBYTE if count else None,
@@ -197,23 +229,24 @@ _ARROW_FILES = "path string, rows bigint, bytes bigint"
 
 
 def write_arrow(df: DataFrame, path: str) -> DataFrame:
-    """One Arrow IPC file per partition; returns ``(path, rows, bytes)``.
+    """Arrow IPC files below ``path``; returns their list ``(path, rows, bytes)``.
 
-    Each task writes under a name of its own and renames it when complete, so a
-    repeated task replaces its file and never leaves half of one. ``path`` is a
-    URI or folder that the executors share. The files are written by the first
-    action on the result.
+    ``path`` is a folder that all executors reach, of Spark's default file system unless it
+    has a scheme. The files are written once, now: each task writes the file of its
+    partition under a name of its own and renames it when complete. A new folder takes the
+    place of ``path`` at the end, so nothing of an earlier run stays. One row per file
+    comes back to the driver.
     """
+    spark = df.sparkSession
+    staging = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    target = filesystem_uri(spark, staging)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        files, root = (
-            fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:")
-            else (fs.LocalFileSystem(), path)
-        )
+        files, root = fs.FileSystem.from_uri(target)
         files.create_dir(root, recursive=True)
         final = f"{root}/part-{context.partitionId():05d}.arrow"
         partial = f"{root}/_{context.partitionId():05d}-{context.taskAttemptId()}.tmp"
@@ -231,9 +264,18 @@ def write_arrow(df: DataFrame, path: str) -> DataFrame:
             return
         size = files.get_file_info(partial).size
         files.move(partial, final)
-        yield pa.RecordBatch.from_pydict({"path": [final], "rows": [rows], "bytes": [size]})
+        name = final.rsplit("/", 1)[1]
+        yield pa.RecordBatch.from_pydict({"path": [name], "rows": [rows], "bytes": [size]})
 
-    return df.mapInArrow(write, _ARROW_FILES)
+    manifest = df.mapInArrow(write, _ARROW_FILES).collect()
+    make_folder(spark, staging)
+    for name in list_paths(spark, staging):
+        if name.endswith(".tmp"):
+            delete_path(spark, name)
+    delete_path(spark, path)
+    move_path(spark, staging, path)
+    listed = [(f"{path.rstrip('/')}/{r['path']}", r["rows"], r["bytes"]) for r in manifest]
+    return spark.createDataFrame(listed, _ARROW_FILES)
 
 
 # ---- several outputs -----------------------------------------------------------------------
@@ -246,15 +288,21 @@ def write_all_formats(
     shard_rows: int = SHARD_ROWS,
     key: str = "doc_id",
 ) -> dict:
-    """Parquet, CSV, JSON lines and optionally shards, with a size comparison."""
+    """Parquet, CSV, JSON lines and optionally shards, with a size comparison.
+
+    The table is computed and stored once; every format is written from that copy, which
+    then goes.
+    """
     root = path.rstrip("/")
+    stored = materialize(df, "formats")
     results = {
-        "parquet": write_parquet(df, f"{root}/speeches.parquet"),
-        "compressed_csv": write_csv(df, f"{root}/speeches.csv.gz"),
-        "jsonlines": write_json_lines(df, f"{root}/speeches.jsonl.gz"),
+        "parquet": write_parquet(stored, f"{root}/speeches.parquet"),
+        "compressed_csv": write_csv(stored, f"{root}/speeches.csv.gz"),
+        "jsonlines": write_json_lines(stored, f"{root}/speeches.jsonl.gz"),
     }
     if create_shards:
-        results["shards"] = write_shards(df, f"{root}/shards", shard_rows, key)
+        results["shards"] = write_shards(stored, f"{root}/shards", shard_rows, key)
+    discard(stored)
     results["summary"] = compare_sizes(results)
     return results
 
@@ -262,30 +310,72 @@ def write_all_formats(
 def write_filtered(
     df: DataFrame, path: str, custom: Mapping[str, FilterSpec] | None = None
 ) -> tuple[dict, dict[str, str]]:
-    """Every non-empty named filter to ``speeches_<name>.parquet``.
+    """Every non-empty named filter to ``speeches_<name>.parquet``, in one scan.
 
-    Returns what was written, and the filters that failed with the reason. The
-    sets overlap, so each is a filter on the scan of its own; one scan up front
-    counts them all and tells which are empty.
+    Returns what was written, with each filter's definition, and the filters that failed
+    with the reason. A row goes to every filter it passes: the names of its filters are
+    exploded and the rows written by name. The sets are counted from what is stored.
     """
+    spark = df.sparkSession
     predicates, failed = merged_filters(df, custom)
-    root = path.rstrip("/")
-    counts = df.agg(*[F.count_if(p).alias(n) for n, p in predicates.items()]).first().asDict()
+    definitions = {**standard_filters(df.columns), **(custom or {})}
+    names = F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in predicates.items()]))
+    staging, root = scratch_path(spark, "filtered"), path.rstrip("/")
+    df.withColumn("__filter", F.explode(names)).write.partitionBy("__filter").parquet(staging)
+    make_folder(spark, root)
     written = {}
-    for name, predicate in predicates.items():
-        if not counts[name]:
+    for name in predicates:
+        folder = f"{staging}/__filter={name}"
+        if not path_exists(spark, folder):
             continue
         target = f"{root}/speeches_{name}.parquet"
-        df.filter(predicate).write.mode("overwrite").parquet(target)
-        size = stored_bytes(df.sparkSession, target)
+        delete_path(spark, target)
+        move_path(spark, folder, target)
         written[name] = {
-            "documents": counts[name],
+            "documents": spark.read.schema(df.schema).parquet(target).count(),
             "file_path": target,
-            "size_mb": size / MEBIBYTE,
+            "size_mb": stored_bytes(spark, target) / MEBIBYTE,
+            "filter": dict(definitions[name]),
         }
+    delete_path(spark, staging)
     return written, failed
 
 
+def write_splits(parted: DataFrame, path: str) -> dict[str, int]:
+    """Rows with a ``split`` column into the folders ``readers.read_split`` expects.
+
+    Train lies at the root, the other parts in folders of their own. One scan writes all
+    parts; returns the rows of each.
+    """
+    spark, root = parted.sparkSession, path.rstrip("/")
+    staging = scratch_path(spark, "splits")
+    parted.write.partitionBy("split").parquet(staging)
+    schema = parted.drop("split").schema
+    rows = {}
+    for split, pattern in SPLIT_PATTERNS.items():
+        folder = f"{root}/{pattern.removesuffix('*.parquet')}".rstrip("/")
+        make_folder(spark, folder)
+        for file in list_paths(spark, folder):
+            if file.endswith(".parquet"):
+                delete_path(spark, file)
+        source = f"{staging}/split={split}"
+        files = list_paths(spark, source) if path_exists(spark, source) else []
+        for file in files:
+            if file.endswith(".parquet"):
+                move_path(spark, file, f"{folder}/{file.rsplit('/', 1)[1]}")
+        if not files:
+            # A part without rows still has its columns.
+            empty = scratch_path(spark, "empty")
+            spark.createDataFrame([], schema).coalesce(1).write.parquet(empty)
+            for file in list_paths(spark, empty):
+                if file.endswith(".parquet"):
+                    move_path(spark, file, f"{folder}/{file.rsplit('/', 1)[1]}")
+            delete_path(spark, empty)
+        rows[split] = spark.read.schema(schema).parquet(f"{folder}/*.parquet").count()
+    delete_path(spark, staging)
+    return rows
+
+
 def write_report(
     spark: SparkSession,
     path: str,

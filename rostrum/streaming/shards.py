@@ -7,7 +7,7 @@ query checkpoint only remembers which files are done.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +16,7 @@ from rostrum.operators.batches import DEFAULT_BATCH, with_shard_batches
 from rostrum.operators.cleaning import clean
 from rostrum.operators.features import with_topic_features
 from rostrum.schema import nan_to_null, to_spark_names
+from rostrum.sources.readers import shard_name
 
 
 def stream_shards(
@@ -24,21 +25,24 @@ def stream_shards(
     schema: T.StructType,
     files_per_trigger: int | None = None,
     pattern: str = "*.parquet",
+    skip: Sequence[str] = (),
 ) -> DataFrame:
-    """Parquet shards as a stream with a ``shard`` column; unreadable ones are skipped.
+    """Parquet shards as a stream with a ``shard`` column, their path below the directory.
 
     ``files_per_trigger=1`` gives one shard per micro-batch. Without it a trigger
-    takes all new shards, which is what throughput wants.
+    takes all new shards, which is what throughput wants. A damaged shard stops the
+    stream, so that no half of one gets through; ``skip`` names shards to leave out as a
+    whole, as ``readers.damaged_shards`` lists them.
     """
-    reader = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("ignoreCorruptFiles", "true")
-    )
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if skip:
+        reader = reader.option("ignoreCorruptFiles", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    raw = reader.parquet(directory).select("*", F.col("_metadata.file_name").alias("shard"))
-    return nan_to_null(to_spark_names(raw))
+    name = shard_name(spark, directory, F.col("_metadata.file_path"))
+    raw = reader.parquet(directory).select("*", name.alias("shard"))
+    kept = raw.filter(~F.col("shard").isin(list(skip))) if skip else raw
+    return nan_to_null(to_spark_names(kept))
 
 
 def feature_stream(stream: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check import connect, difference
+from rostrum import plans
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = plans.queries(), plans.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -30,5 +31,10 @@ def test_query(spark, con, name):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
+def test_entry_has_them_all():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

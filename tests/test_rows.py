@@ -48,19 +48,17 @@ def test_key_order_does_not_depend_on_partitions(plain, partitions):
     assert rows(again.orderBy("row_id")) == expected
 
 
-@pytest.mark.parametrize("max_cell_rows", [1_000_000, 0])
-def test_shuffled_order(plain, max_cell_rows):
-    numbered = numbering.number_shuffled(plain, max_cell_rows=max_cell_rows)
+def test_shuffled_order(plain):
+    numbered = numbering.number_shuffled(plain)
     found = [r.doc_id for r in numbered.orderBy("row_id").collect()]
     assert found == sorted((str(i) for i in range(1000)), key=md5_key)
     assert positions(numbered) == list(range(1000))
 
 
-@pytest.mark.parametrize("max_cell_rows", [1_000_000, 100])
-def test_frequent_key_keeps_every_row_once(skewed, max_cell_rows):
+def test_frequent_key_keeps_every_row_once(skewed):
     for numbered in (
         numbering.number_by_key(skewed, ["doc_id"]),
-        numbering.number_shuffled(skewed, max_cell_rows=max_cell_rows),
+        numbering.number_shuffled(skewed),
     ):
         assert positions(numbered) == list(range(900))
         assert sorted(rows(numbered.drop("row_id"))) == sorted(rows(skewed))
@@ -96,6 +94,28 @@ def test_lookup(spark, plain):
     assert at(wanted) == [7, 8]
     with pytest.raises(TypeError):
         numbering.rows_at(numbered, "5")
+    listed = [r.row_id for r in numbering.rows_at(numbered, [9, 3, 9, -1]).collect()]
+    assert listed == [9, 3, 9, 999]
+    for outside in (1000, -1001, [0, 1000]):
+        with pytest.raises(IndexError):
+            numbering.rows_at(numbered, outside)
+    assert numbering.rows_at(numbered, []).count() == 0
+
+
+def test_look_up_stores_keys_alone(spark, plain, skewed, monkeypatch):
+    stored = []
+    materialize = numbering.materialize
+    monkeypatch.setattr(
+        numbering, "materialize", lambda df, name: stored.append(df.columns) or materialize(df, name)
+    )
+    expected = sorted(str(i) for i in range(1000))
+    found = numbering.look_up(plain, [5, 2, 5, -1]).collect()
+    assert [(r.row_id, r.doc_id) for r in found] == [(i, expected[i]) for i in (5, 2, 5, 999)]
+    assert all("v" not in columns for columns in stored)
+    # Equal rows take each other's places.
+    spread = numbering.look_up(skewed, slice(0, 900, 1)).collect()
+    assert sorted((r.doc_id, r.v) for r in spread) == sorted(rows(skewed))
+    assert [r.row_id for r in spread] == list(range(900))
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 100, 999, 1000, 2000])
@@ -111,9 +131,8 @@ def test_samples_depend_on_the_seed_only(plain):
 
 
 @pytest.mark.parametrize("n", [1, 150, 301, 600])
-@pytest.mark.parametrize("max_tied_rows", [1_000_000, 10])
-def test_border_is_exact_with_a_frequent_key(skewed, n, max_tied_rows):
-    border = numbering.first_shuffled(skewed, n, max_tied_rows=max_tied_rows)
+def test_border_is_exact_with_a_frequent_key(skewed, n):
+    border = numbering.first_shuffled(skewed, n)
     inside = skewed.filter(border.inside).count()
     outside = skewed.filter(border.outside).count()
     edge = {}
@@ -155,10 +174,9 @@ def test_columnar_batches_keep_row_order_and_missing_values(spark):
     assert dict(columnar.dtypes)["tw_a"] == "array<float>"
 
 
-@pytest.mark.parametrize("max_shard_rows", [1_000_000, 10])
-def test_batches_never_cross_shards(plain, max_shard_rows):
+def test_batches_never_cross_shards(plain):
     df = plain.withColumn("shard", F.when(F.col("v") < 300, "a").otherwise("b"))
-    batched = batches.with_shard_batches(df, batch_size=64, max_shard_rows=max_shard_rows)
+    batched = batches.with_shard_batches(df, batch_size=64)
     sizes = {(r.shard, r.batch_id): r["count"] for r in batched.groupBy("shard", "batch_id").count().collect()}
     assert sizes == {("a", 0): 64, ("a", 1): 64, ("a", 2): 22,
                      **{("b", i): 64 for i in range(13)}, ("b", 13): 18}
@@ -220,9 +238,10 @@ def test_positional_split(plain, skewed):
 
 
 def test_release_split(flagged, plain):
-    assert dict(rows(splits.split_for_release(flagged).groupBy("split").count())) == {"train": 3000}
-    large = splits.split_for_release(flagged, large=10)
-    assert dict(rows(large.groupBy("split").count()))["validation"] == 180
-    by_place = splits.split_for_release(plain, large=10)
+    whole = splits.split_for_release(flagged, whole=True)
+    assert dict(rows(whole.groupBy("split").count())) == {"train": 3000}
+    parted = splits.split_for_release(flagged)
+    assert dict(rows(parted.groupBy("split").count()))["validation"] == 180
+    by_place = splits.split_for_release(plain)
     assert dict(rows(by_place.groupBy("split").count())) == {"train": 800, "test": 200}
     assert splits.prepare_splits(plain).filter("split = 'test'").count() == 200

@@ -7,7 +7,9 @@ import gzip
 import json
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -133,14 +135,44 @@ def test_split_layout(spark, speeches, tmp_path):
 def test_shards_skip_unreadable_files(spark, speeches, tmp_path):
     directory = tmp_path / "shards"
     for i in range(3):
-        speeches.filter(f"substr(doc_id, 4) % 3 = {i}").coalesce(1).toPandas().to_parquet(
-            _made(directory) / f"shard_{i:04d}.parquet"
-        )
+        part = speeches.filter(f"substr(doc_id, 4) % 3 = {i}")
+        pa.parquet.write_table(part.toArrow(), _made(directory) / f"shard_{i:04d}.parquet")
     (directory / "shard_0009.parquet").write_bytes(b"not parquet at all")
     df = readers.read_shards(spark, str(directory), speeches.schema)
     assert df.count() == 100 and df.select("shard").distinct().count() == 3
-    skipped = readers.skipped_shards(spark, str(directory), df)
-    assert [r.shard for r in skipped.collect()] == ["shard_0009.parquet"]
+    skipped = readers.damaged_shards(spark, str(directory), speeches.schema)
+    assert [(r.shard, r.rows, r.readable) for r in skipped.collect()] == [("shard_0009.parquet", None, 0)]
+
+
+def damage(path: Path) -> None:
+    """Break a page of a Parquet file's third row group; the footer stays whole."""
+    at = pa.parquet.ParquetFile(path).metadata.row_group(2).column(0).data_page_offset
+    data = bytearray(path.read_bytes())
+    data[at : at + 40] = b"\xff" * 40
+    path.write_bytes(bytes(data))
+
+
+def test_a_damaged_shard_is_left_out_whole(spark, tmp_path):
+    directory = _made(tmp_path / "shards")
+    for i in range(3):
+        table = pa.table({"doc_id": [f"{i}-{j}" for j in range(3000)], "x": np.random.default_rng(i).random(3000)})
+        pa.parquet.write_table(table, directory / f"shard_{i:04d}.parquet", row_group_size=1000)
+    damage(directory / "shard_0001.parquet")
+    schema = T.StructType.fromDDL("doc_id string, x double")
+    listed = readers.damaged_shards(spark, str(directory), schema).collect()
+    assert [r.shard for r in listed] == ["shard_0001.parquet"]
+    assert listed[0].readable < listed[0].rows == 3000
+    whole = readers.read_shards(spark, str(directory), schema)
+    assert sorted(rows(whole.groupBy("shard").count())) == [
+        ("shard_0000.parquet", 3000), ("shard_0002.parquet", 3000)]
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        readers.read_shards(spark, str(directory), schema, skip_corrupt=False).agg(F.max("doc_id")).collect()
+    stream = streaming.stream_shards(spark, str(directory), schema, skip=["shard_0001.parquet"])
+    streaming.write_stream(stream, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    same(spark.read.parquet(str(tmp_path / "o")), whole)
+    strict = streaming.stream_shards(spark, str(directory), schema)
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        streaming.write_stream(strict, str(tmp_path / "p"), str(tmp_path / "d")).awaitTermination()
 
 
 def _made(directory: Path) -> Path:
@@ -183,9 +215,18 @@ def test_integer_narrowing(spark, low, high, wanted):
 def test_shard_files_are_full_but_the_last(spark, speeches, tmp_path):
     result = writers.write_shards(speeches, str(tmp_path / "sh"), 32)
     assert result["num_shards"] == 4 and result["avg_shard_size_mb"] > 0
-    stored = spark.read.parquet(str(tmp_path / "sh"))
-    per_file = stored.groupBy("shard_id", "_metadata.file_name").count()
-    assert sorted(rows(per_file.select("shard_id", "count"))) == [(0, 32), (1, 32), (2, 32), (3, 4)]
+    names = [f"shard_{i:04d}.parquet" for i in range(4)]
+    assert result["shard_files"] == names
+    stored = readers.read_shards(spark, str(tmp_path / "sh"))
+    assert sorted(rows(stored.groupBy("shard").count())) == list(zip(names, (32, 32, 32, 4)))
+    ordered = [r.doc_id for r in stored.orderBy("shard", "doc_id").collect()]
+    assert ordered == sorted(ordered)
+    order = rows(readers.shard_order(spark, str(tmp_path / "sh")).orderBy("position"))
+    assert order == [(name, i) for i, name in enumerate(names)]
+    shuffled = rows(readers.shard_order(spark, str(tmp_path / "sh"), shuffle=True, seed=3))
+    assert sorted(n for n, _ in shuffled) == names and sorted(p for _, p in shuffled) == [0, 1, 2, 3]
+    again = writers.write_shards(speeches.limit(40), str(tmp_path / "sh"), 32)
+    assert again["num_shards"] == 2 and readers.read_shards(spark, str(tmp_path / "sh")).count() == 40
     empty = writers.write_shards(speeches.limit(0), str(tmp_path / "empty"), 32)
     assert empty["num_shards"] == 0 and empty["avg_shard_size_mb"] is None
 
@@ -197,6 +238,9 @@ def test_arrow_files(speeches, tmp_path):
     tables = [pa.ipc.open_file(r["path"]).read_all() for r in listed]
     assert sorted(pa.concat_tables(tables)["doc_id"].to_pylist()) == [f"d{i:03d}" for i in range(100)]
     assert not list(target.glob("*.tmp"))
+    again = writers.write_arrow(speeches.limit(5).coalesce(1), str(target)).collect()
+    assert [r["rows"] for r in again] == [5] and len(list(target.glob("*"))) <= 2
+    assert not list(target.parent.glob("arrow-*"))
 
 
 def test_all_formats(speeches, tmp_path):
@@ -215,11 +259,54 @@ def test_filtered_versions(spark, speeches, tmp_path):
     assert "none" not in written and list(failed) == ["bad"]
     house = spark.read.parquet(written["house_only"]["file_path"])
     assert house.count() == written["house_only"]["documents"] == 34
+    assert written["house_only"]["filter"] == {"column": "legis_body", "value": "US House"}
+    again, _ = writers.write_filtered(speeches.limit(0), str(tmp_path / "f2"), custom)
+    assert again == {}
+
+
+def test_written_splits_are_read_back(spark, speeches, tmp_path):
+    parted = speeches.withColumn("split", F.expr("CASE WHEN doc_id < 'd050' THEN 'train' WHEN doc_id < 'd060' THEN 'test' END")).dropna(subset=["split"])
+    root = str(tmp_path / "splits")
+    for _ in range(2):
+        assert writers.write_splits(parted, root) == {"train": 50, "validation": 0, "test": 10}
+    train, validation, test = readers.load_splits(spark, root, lambda d: d.select("doc_id"))
+    assert (train.count(), validation.count(), test.count()) == (50, 0, 10)
+    assert train.columns == ["doc_id"]
+    assert {r.split for r in readers.read_splits(spark, root).select("split").collect()} == {"train", "test"}
+
+
+@pytest.mark.parametrize("kind", ["csv", "json", "parquet"])
+def test_cleaned_tables_keep_their_columns(spark, speeches, tmp_path, kind):
+    cleaned = with_topic_features(clean(speeches)).withColumns({"extra": F.lit(7), "note": F.lit("1a")})
+    path = str(tmp_path / "s")
+    write = {"csv": writers.write_csv, "json": writers.write_json_lines}.get(kind)
+    write(cleaned, path) if write else writers.write_parquet(cleaned, path, narrow=False)
+    stored = readers.read_corpus(spark, path, kind)
+    assert sorted(stored.columns) == sorted(cleaned.columns)
+    types = dict(stored.dtypes)
+    for name, kind_ in dict(cleaned.dtypes).items():
+        if name not in ("date", "extra"):
+            assert types[name] == kind_, name
+    assert types["extra"] in ("int", "bigint") and types["note"] == "string"
+    same(stored.select("doc_id", "year", "topic_entropy", "active_topic_count", "dominant_topic"),
+         cleaned.select("doc_id", "year", "topic_entropy", "active_topic_count", "dominant_topic"))
+
+
+def test_corpus_takes_dotted_names_and_nan_in(spark):
+    df = spark.createDataFrame(
+        [("a", float("nan"), 0.9), ("b", 0.5, 0.0)], "`doc.id` string, `tw.healthcare` double, `tw.economy` double")
+    corpus = Corpus.of(df)
+    assert corpus.topics == ["tw_healthcare", "tw_economy"]
+    assert [r.doc_id for r in corpus.where_topic("tw.healthcare").df.collect()] == ["b"]
+    assert [r.active_topic_count for r in corpus.df.orderBy("doc_id").collect()] == [1, 1]
+    from rostrum.operators.select import topic_memberships, where_topic
+    raw = spark.createDataFrame([("a", float("nan"))], "doc_id string, tw_healthcare double")
+    assert where_topic(raw, "tw_healthcare").count() == topic_memberships(raw).count() == 0
 
 
 def _write_shards(df, directory: Path):
     for i, part in enumerate(df.randomSplit([1.0, 1.0, 1.0], seed=1)):
-        part.toPandas().to_parquet(_made(directory) / f"shard_{i:04d}.parquet")
+        pa.parquet.write_table(part.toArrow(), _made(directory) / f"shard_{i:04d}.parquet")
     return str(directory)
 
 
