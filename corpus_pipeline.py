@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rostrum.llm.common import table
+from rostrum.llm.common import prepare, table
 from rostrum.llm.decontamination import decontaminate
 from rostrum.llm.jaccard_join import drop_near_duplicates
 from rostrum.llm.language_id import keep_identified
@@ -21,26 +21,29 @@ from rostrum.session import materialize
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier takes for good."""
-    return keep_good(docs, table(spark, sf_dir, "labels"))
+    return keep_good(docs, table(prepare(spark), sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
+    prepare(spark)
     return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of every group of near duplicates."""
+    prepare(spark)
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate(docs, table(prepare(spark), sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequence and offset of every piece of the kept documents."""
+    prepare(spark)
     return pack(docs, vocabulary_path())
 
 

@@ -11,8 +11,20 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rostrum.session import tune
+
 # Text bytes that one task handles at a time; longer single texts are taken alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+# Rows that Spark sends to Python at once, in place of its default of 10,000: documents
+# are long, and both sides hold a batch in memory.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set run-time options that long texts need, unless the user chose a value."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return tune(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,18 +43,28 @@ def remainder(key: Column, divisor: int) -> Column:
 
 
 def sliced(batches: Iterable[pa.RecordBatch], text: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each has at most ``limit`` bytes of text, or one row."""
+    """Join and cut Arrow batches to about ``limit`` bytes of text each; a longer text is alone."""
+    held, size = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0)
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(start, stop - start)
+            base = (ends[start - 1] if start else 0) - size
+            stop = max(start + (not held), int(np.searchsorted(ends, base + limit, side="right")))
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                size = int(ends[stop - 1]) - base
+            if stop < batch.num_rows:
+                yield _joined(held)
+                held, size = [], 0
             start = stop
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
 
 def texts_of(batch: pa.RecordBatch, text: str) -> list[str]:

@@ -38,7 +38,7 @@ ORDER = 2
 # Strength of the shorter context, for orders 2, 3, ...
 STRENGTHS = (200.0, 20.0, 10.0)
 # Text of a block of documents, and of the corpus per hash bucket.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
 
 # Bits of the hash of two and more words; a word's own hash has 64.

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.llm.common import sliced, table
 from rostrum.llm.registry import query
-from rostrum.llm.tokens import encoder, vocabulary_path
+from rostrum.llm.tokens import ENCODE_BYTES, encoder, vocabulary_path
 
 CAPACITY = 4096
 # Documents in a random group, on average.
@@ -88,7 +88,7 @@ def token_pieces(
     """Cut every document's ids into pieces of at most ``capacity``, with a random group."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", ENCODE_BYTES):
             ids, ends = encoder(vocabulary, words).encode(batch.column("text"), end_id)
             counts = np.diff(ends, prepend=0)
             pieces = -(-counts // capacity)

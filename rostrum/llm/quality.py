@@ -60,9 +60,14 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _sums(mask: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """How often the mask holds up to each end, since the end before."""
-    return np.diff(np.append(0, np.cumsum(mask))[np.append(0, ends)])
+def _sums(mask: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How often the mask holds in each of the consecutive stretches."""
+    found = np.zeros(len(sizes), dtype=np.int64)
+    filled = sizes > 0
+    starts = (np.cumsum(sizes) - sizes)[filled]
+    if len(starts):
+        found[filled] = np.add.reduceat(mask.view(np.uint8), starts, dtype=np.int64)
+    return found
 
 
 def _distinct(owner: np.ndarray, codes: np.ndarray, owners: int) -> np.ndarray:
@@ -76,13 +81,18 @@ def text_measures(texts: pa.Array) -> dict[str, np.ndarray]:
     """The measures of every text; NaN where a text has nothing to measure."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, n = np.cumsum(sizes), len(texts)
-    raw = np.frombuffer(b"".join(texts.to_pandas().str.encode("utf-8").tolist()), dtype=np.uint8)
-    ink = sizes - _sums(_SPACE[raw], ends)
-    letters = _sums(_LETTER[raw], ends)
-    words = pc.utf8_split_whitespace(texts)
-    counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    codes = pc.list_flatten(words).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    n = len(texts)
+    begin = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset] if n else 0
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[begin : begin + sizes.sum()]
+    ink = sizes - _sums(_SPACE[raw], sizes)
+    letters = _sums(_LETTER[raw], sizes)
+    # A text of white space alone is split into one empty word.
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
+    words = pc.list_flatten(lists)
+    filled = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    parents = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[filled]
+    counts = np.bincount(parents, minlength=n).astype(np.int64)
+    codes = words.dictionary_encode().indices.to_numpy(zero_copy_only=False)[filled]
     owner = np.repeat(np.arange(n), counts)
     place = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
     stretches = -(-counts // STRETCH)
@@ -95,10 +105,10 @@ def text_measures(texts: pa.Array) -> dict[str, np.ndarray]:
     own_lines = _distinct(np.repeat(np.arange(n), line_counts), line_codes, n)
     with np.errstate(divide="ignore", invalid="ignore"):
         return {
-            "symbols": _sums(_SYMBOLS[raw], ends) / ink,
-            "exclaimed": _sums(_EXCLAIMED[raw], ends) / ink,
-            "capitals": _sums(_UPPER[raw], ends) / letters,
-            "digits": _sums(_DIGIT[raw], ends) / ink,
+            "symbols": _sums(_SYMBOLS[raw], sizes) / ink,
+            "exclaimed": _sums(_EXCLAIMED[raw], sizes) / ink,
+            "capitals": _sums(_UPPER[raw], sizes) / letters,
+            "digits": _sums(_DIGIT[raw], sizes) / ink,
             "fresh": fresh / counts,
             "word_length": ink / np.where(ink > 0, counts, 0),
             "repeated_lines": 1 - own_lines / line_counts,

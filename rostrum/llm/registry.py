@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rostrum.llm.common import prepare
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -29,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query and, where there is one, its SQL text."""
 
     def register(function: Query) -> Query:
-        _QUERIES[name] = function
+        _QUERIES[name] = lambda spark, sf_dir: function(prepare(spark), sf_dir)
         if sql is not None:
             _ORACLES[name] = sql
         return function

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rostrum.llm.common import sliced, table, text_bytes
 from rostrum.llm.registry import query
-from rostrum.llm.tokens import encoder, vocabulary_path
+from rostrum.llm.tokens import ENCODE_BYTES, encoder, vocabulary_path
 from rostrum.session import scratch_path
 
 # Text of one file, and of one Parquet row group and page within it.
@@ -62,7 +62,7 @@ def write_token_files(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", ENCODE_BYTES):
             ids, ends = encoder(vocabulary, words).encode(batch.column("text"), end_id)
             counts = np.diff(ends, prepend=0)
             yield pa.record_batch(

@@ -16,6 +16,8 @@ from rostrum.llm.common import expand
 # anew; bounds its memory.
 CACHE_WORDS = 400_000
 CACHE_CHARS = 16 << 20
+# Text that is encoded at a time; more of it repeats more words.
+ENCODE_BYTES = 8 << 20
 
 # Latin letters, each with a lower case of one letter and alike under NFC.
 _LATIN = r"^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+$"
