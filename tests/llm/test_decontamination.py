@@ -51,7 +51,7 @@ def test_equals_brute_force(spark, documents, tables, slice_bytes):
     docs, items = tables
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     plain = documents(docs).drop("hits")
-    found = judge(find_hits(plain, benchmark, width=4, slice_bytes=slice_bytes))
+    found = judge(plain, benchmark, width=4, slice_bytes=slice_bytes)
     rows = [(r.doc_id, r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in found.collect()]
     assert sorted(rows, key=repr) == brute(docs, items, 4)
 
@@ -73,10 +73,15 @@ def test_removes_documents_or_spans(spark, documents):
 def test_empty_tables_and_taken_names(spark, documents):
     nothing = spark.createDataFrame([], "item_id long, text string")
     docs = documents([(1, "some text")])
-    assert [(r.n_hit, r.contaminated) for r in judge(find_hits(docs.drop("hits"), nothing)).collect()] == [(0, False)]
+    assert [(r.n_hit, r.contaminated) for r in judge(docs, nothing).collect()] == [(0, False)]
     assert decontaminate(documents([]), nothing).collect() == []
     with pytest.raises(ValueError, match="hits"):
         find_hits(docs, nothing)
+    with pytest.raises(ValueError, match="n_hit"):
+        judge(docs.withColumnRenamed("score", "n_hit"), nothing)
+    benchmark = spark.createDataFrame([(1, "some")], "item_id long, text string")
+    (row,) = find_hits(docs.drop("hits"), benchmark).collect()
+    assert [tuple(h) for h in row.hits] == [("1", 0, 1)]
 
 
 def test_words():
