@@ -7,8 +7,10 @@ Missing values are skipped throughout.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rostrum.functions import parsing, text as tx, topics as tf
@@ -124,40 +126,86 @@ def active_topic_distribution(df: DataFrame, k: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("documents"), "active_topic_count").limit(k)
 
 
+_PAIR_SUMS = (
+    "i int, j int, n long, mean_a double, mean_b double, square_a double, square_b double, "
+    "product double"
+)
+# A column whose variance is below this share of its mean square is constant but for
+# rounding.
+_CONSTANT = 1e-13
+
+
+def _pair_sums(columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per Arrow batch and pair of columns: rows with both, means, centred sums."""
+    first, second = np.triu_indices(columns, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            values = values.astype(np.float64)
+            there = np.isfinite(values)
+            some = there.any(axis=0)
+            # Centred on the batch's means, so that little cancels within it.
+            shift = np.where(some, np.where(there, values, 0).sum(axis=0) / np.maximum(there.sum(axis=0), 1), 0)
+            x = np.where(there, values - shift, 0.0)
+            m = there.astype(np.float64)
+            n = (m.T @ m)[first, second]
+            keep = n > 0
+            i, j, n = first[keep], second[keep], n[keep]
+            sum_a, sum_b = (x.T @ m)[i, j], (x.T @ m)[j, i]
+            squares = (x * x).T @ m
+            yield pa.record_batch(
+                {
+                    "i": pa.array(i, pa.int32()),
+                    "j": pa.array(j, pa.int32()),
+                    "n": pa.array(n.astype(np.int64)),
+                    "mean_a": pa.array(sum_a / n + shift[i]),
+                    "mean_b": pa.array(sum_b / n + shift[j]),
+                    "square_a": pa.array(squares[i, j] - sum_a * sum_a / n),
+                    "square_b": pa.array(squares[j, i] - sum_b * sum_b / n),
+                    "product": pa.array((x.T @ x)[i, j] - sum_a * sum_b / n),
+                }
+            )
+
+    return run
+
+
 def topic_correlations(df: DataFrame, k: int | None = 10) -> DataFrame:
     """Strongest Pearson correlations among all topic pairs, descending.
 
     Each pair uses the documents that have both weights. A constant topic has no
-    correlation and is left out. Rows are multiplied by the number of pairs, but
-    never leave their task: only one partial row per pair and task is shuffled.
+    correlation and is left out. Every Arrow batch of weights gives one row per pair,
+    from a few matrix products; these are merged, so nothing grows with pairs times
+    documents.
     """
     cols = topic_columns(df)
-    places = range(len(cols))
-    pairs = ", ".join(f"struct({i} AS i, {j} AS j)" for i in places for j in places if i < j)
-    some_weight = F.coalesce(*cols).isNotNull()
-    weights = df.filter(some_weight).select(F.array(*cols).alias("w"))
-    paired = weights.select("w", F.expr(f"explode(array({pairs})) AS pair")).select(
-        F.col("pair.i").alias("i"),
-        F.col("pair.j").alias("j"),
-        F.get("w", F.col("pair.i")).alias("a"),
-        F.get("w", F.col("pair.j")).alias("b"),
+    weights = df.filter(F.coalesce(*cols).isNotNull()).select(*[F.col(c).cast("double") for c in cols])
+    sums = weights.mapInArrow(_pair_sums(len(cols)), _PAIR_SUMS)
+    n, a, b = F.col("n"), F.col("mean_a"), F.col("mean_b")
+    merged = sums.groupBy("i", "j").agg(
+        F.sum("n").alias("n"),
+        F.sum(n * a).alias("a"),
+        F.sum(n * b).alias("b"),
+        F.sum(F.col("square_a") + n * a * a).alias("aa"),
+        F.sum(F.col("square_b") + n * b * b).alias("bb"),
+        F.sum(F.col("product") + n * a * b).alias("ab"),
     )
-    moments = (
-        paired.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("i", "j")
-        .agg(
-            F.covar_pop("a", "b").alias("cov"),
-            F.var_pop("a").alias("var_a"),
-            F.var_pop("b").alias("var_b"),
-        )
+    merged = merged.select(
+        "i",
+        "j",
+        (F.col("aa") - F.col("a") * F.col("a") / n).alias("var_a"),
+        (F.col("bb") - F.col("b") * F.col("b") / n).alias("var_b"),
+        (F.col("ab") - F.col("a") * F.col("b") / n).alias("cov"),
+        (_CONSTANT * F.col("aa")).alias("least_a"),
+        (_CONSTANT * F.col("bb")).alias("least_b"),
     )
-    scale = F.sqrt(F.col("var_a") * F.col("var_b"))
+    varies = (F.col("var_a") > F.col("least_a")) & (F.col("var_b") > F.col("least_b"))
     names = F.array(*[F.lit(c) for c in cols])
-    result = moments.select(
+    result = merged.filter(varies).select(
         F.get(names, F.col("i")).alias("topic_a"),
         F.get(names, F.col("j")).alias("topic_b"),
-        F.when(scale > 0, F.col("cov") / scale).alias("correlation"),
-    ).filter(F.col("correlation").isNotNull())
+        (F.col("cov") / F.sqrt(F.col("var_a") * F.col("var_b"))).alias("correlation"),
+    )
     ordered = result.orderBy(F.desc("correlation"), "topic_a", "topic_b")
     return ordered if k is None else ordered.limit(k)
 
