@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
-from collections.abc import Iterable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rostrum.session import tune
 
+# Where the C library is glibc, freed memory is kept by the process unless it is asked for.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
 # Text bytes that one task handles at a time; longer single texts are taken alone.
 BATCH_BYTES = 4 << 20
+# The same where words are only hashed or counted and repeats save little.
+HASH_BYTES = 2 << 20
 # Rows that Spark sends to Python at once, in place of its default of 10,000: documents
 # are long, and both sides hold a batch in memory.
 BATCH_ROWS = 1000
@@ -61,6 +69,26 @@ def sliced(batches: Iterable[pa.RecordBatch], text: str, limit: int = BATCH_BYTE
             start = stop
     if held:
         yield _joined(held)
+    give_back_memory()
+
+
+def give_back_memory() -> None:
+    """Return freed memory to the system: worker processes live on after their task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def freeing(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The function of a group, giving memory back after every group."""
+
+    def run(group: pa.Table) -> pa.Table:
+        result = function(group)
+        give_back_memory()
+        return result
+
+    return run
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -9,16 +9,16 @@ bounded size which are applied one after another.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
-from rostrum.llm.common import mix64, sliced, table, texts_of
+from rostrum.llm.common import mix64, sliced, table
 from rostrum.llm.registry import query
 from rostrum.session import materialize, shared_dir
 
@@ -36,6 +36,9 @@ _FOLD = bytes(
     for b in range(256)
 )
 _HIT = "struct<item:string,start:int,stop:int>"
+_ARROW_HITS = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+_JUDGED = "n_words long, n_hit long, item_ids array<string>, contaminated boolean, clean_text string"
+_VERDICT = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.string())
 
 
 def words_of(text: str) -> list[bytes]:
@@ -104,8 +107,10 @@ def find_windows(windows: Windows, docs: list[list[bytes]]) -> list[list[tuple[s
     return found
 
 
-def _slices(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in lists of bounded text size; each is collected on its own."""
+def _slices(
+    benchmark: DataFrame, item: str, text: str, limit: int
+) -> Iterator[Callable[[], list[tuple[str, str]]]]:
+    """The items in lists of about ``limit`` bytes; each is collected when it is called for."""
     rows = benchmark.select(
         F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("item"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
@@ -114,7 +119,7 @@ def _slices(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[
     count = max(1, -(-size // limit))
     for k in range(count):
         part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
-        yield [(r["item"], r["text"]) for r in part.collect()]
+        yield lambda part=part: [(r["item"], r["text"]) for r in part.collect()]
 
 
 def find_hits(
@@ -129,38 +134,96 @@ def find_hits(
 ) -> DataFrame:
     """The documents, all columns kept, with an array of hits: item, first word, last + 1.
 
-    ``column`` must not be a column of ``docs``. A missing or empty text has no words
-    and no hits; items without words never hit; a missing item id counts as ''. Repeated
+    A column of that name is replaced. A missing or empty text has no words and no hits;
+    items without words never hit; a missing item id counts as ''. Repeated
     rows are judged one by one. With an empty benchmark nothing hits.
     """
+    return _search(docs, benchmark, text, item, item_text, width, slice_bytes, column)
+
+
+def judge(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    width: int = WINDOW,
+    slice_bytes: int = SLICE_BYTES,
+    min_share: float = MIN_SHARE,
+) -> DataFrame:
+    """The documents with ``n_words``, ``n_hit``, ``item_ids``, ``contaminated``, ``clean_text``.
+
+    ``contaminated``: at least one word is hit and at least ``min_share`` of all.
+    ``clean_text``: the text without the hit spans; the text itself if there is none.
+    Columns of these names are replaced; rows, texts and items are taken as by
+    :func:`find_hits`.
+    """
+    docs = docs.drop(*(part.split()[0] for part in _JUDGED.split(", ")))
+    share = Fraction(str(min_share))
+    return _search(docs, benchmark, text, item, item_text, width, slice_bytes, "__hits", share)
+
+
+def _search(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str,
+    item: str,
+    item_text: str,
+    width: int,
+    slice_bytes: int,
+    column: str,
+    share: Fraction | None = None,
+) -> DataFrame:
+    """Hits of one slice of the benchmark after another; the last pass judges them, too."""
     spark = docs.sparkSession
-    if column in docs.columns:
-        raise ValueError(f"documents have a column {column!r}; name another for the hits")
-    empty = spark.createDataFrame([], f"hits array<{_HIT}>")
-    schema = StructType([*docs.schema.fields, StructField(column, empty.schema[0].dataType)])
-    hit = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+    docs = docs.drop(column)
+    hits_field = spark.createDataFrame([], f"`{column}` array<{_HIT}>").schema.fields
+    with_hits = StructType([*docs.schema.fields, *hits_field])
+    judged = StructType([*docs.schema.fields, *spark.createDataFrame([], _JUDGED).schema.fields])
     out = docs.withColumn(column, F.lit(None).cast(f"array<{_HIT}>"))
-    slices = _slices(benchmark, item, item_text, slice_bytes)
-    for number, items in enumerate(slices):
+    slices = list(_slices(benchmark, item, item_text, slice_bytes))
+    for number, collect in enumerate(slices):
         if number:
             out = materialize(out, "hits")
-        windows = spark.sparkContext.broadcast(index_windows(items, width))
+        windows = spark.sparkContext.broadcast(index_windows(collect(), width))
+        last = share is not None and number == len(slices) - 1
 
-        def scan(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
+        def scan(
+            batches: Iterator[pa.RecordBatch], windows=windows, last=last
+        ) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, text):
-                found = find_windows(windows.value, [words_of(t) for t in texts_of(batch, text)])
+                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                words = [words_of(t or "") for t in texts]
                 place = batch.schema.get_field_index(column)
                 before = batch.column(place)
                 hits = [
                     [*(old or ()), *({"item": i, "start": a, "stop": b} for i, a, b in new)]
-                    for old, new in zip(before.to_pylist(), found, strict=True)
+                    for old, new in zip(before.to_pylist(), find_windows(windows.value, words), strict=True)
                 ]
-                yield batch.set_column(place, column, pa.array(hits, type=hit))
-
-        out = out.mapInArrow(scan, schema)
+                if last:
+                    rows = [_verdict(t, len(w), h, share) for t, w, h in zip(texts, words, hits, strict=True)]
+                    kept = [i for i in range(batch.num_columns) if i != place]
+                    columns = [batch.column(i) for i in kept]
+                    names = [batch.schema.names[i] for i in kept] + judged.names[len(kept) :]
+                    columns += [
+                        pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(_VERDICT)
+                    ]
+                    yield pa.record_batch(columns, names=names)
+                else:
+                    yield batch.set_column(place, column, pa.array(hits, type=_ARROW_HITS))
+
+        out = out.mapInArrow(scan, judged if last else with_hits)
     return out
 
 
+def _verdict(text: str | None, n: int, hits: list[dict], share: Fraction) -> tuple:
+    spans = _covered(hits)
+    n_hit = sum(stop - start for start, stop in spans)
+    enough = n_hit * share.denominator >= n * share.numerator
+    items = sorted({h["item"] for h in hits})
+    return n, n_hit, items, n_hit > 0 and enough, _without(text, spans) if spans else text
+
+
 def _covered(hits: list[dict]) -> list[tuple[int, int]]:
     """Hit word ranges, merged and in order."""
     merged: list[list[int]] = []
@@ -186,44 +249,6 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def judge(found: DataFrame, text: str = "text", column: str = "hits", min_share: float = MIN_SHARE) -> DataFrame:
-    """Adds ``n_words``, ``n_hit``, ``item_ids``, ``contaminated`` and ``clean_text``.
-
-    ``contaminated``: at least one word is hit and at least ``min_share`` of all.
-    ``clean_text``: the text without the hit spans; the text itself if there is none.
-    """
-    added = "n_words long, n_hit long, item_ids array<string>, contaminated boolean, clean_text string"
-    taken = {part.split()[0] for part in added.split(", ")} & set(found.columns)
-    if taken:
-        raise ValueError(f"documents have columns {sorted(taken)}; rename them first")
-    kinds = found.sparkSession.createDataFrame([], added).schema
-    share = Fraction(str(min_share))
-    schema = StructType([f for f in found.schema.fields if f.name != column] + kinds.fields)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text):
-            rows: dict[str, list] = {name: [] for name in kinds.names}
-            hits = batch.column(batch.schema.get_field_index(column)).to_pylist()
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for content, own in zip(texts, hits, strict=True):
-                n = len(words_of(content or ""))
-                spans = _covered(own or [])
-                n_hit = sum(stop - start for start, stop in spans)
-                rows["n_words"].append(n)
-                rows["n_hit"].append(n_hit)
-                rows["item_ids"].append(sorted({h["item"] for h in own or ()}))
-                enough = n_hit * share.denominator >= n * share.numerator
-                rows["contaminated"].append(n_hit > 0 and enough)
-                rows["clean_text"].append(_without(content, spans) if spans else content)
-            kept = [name for name in batch.schema.names if name != column]
-            columns = {name: batch.column(name) for name in kept}
-            types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.string())
-            arrays = [pa.array(rows[k], type=t) for k, t in zip(kinds.names, types, strict=True)]
-            yield pa.record_batch([*columns.values(), *arrays], names=[*columns, *kinds.names])
-
-    return found.mapInArrow(measure, schema)
-
-
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -244,7 +269,7 @@ def decontaminate(
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     content = f"c{names.index(text)}"
-    judged = judge(find_hits(plain, benchmark, content, item, item_text, width), content, "hits", min_share)
+    judged = judge(plain, benchmark, content, item, item_text, width, min_share=min_share)
     if remove == "documents":
         kept = judged.filter(~F.col("contaminated"))
     else:
@@ -299,7 +324,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document is benchmark text, and whether it is contaminated."""
     shared_dir(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = judge(find_hits(docs, table(spark, sf_dir, "benchmark")))
+    judged = judge(docs, table(spark, sf_dir, "benchmark"))
     return judged.select(
         "doc_id",
         "n_words",

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rostrum.llm.common import END, mix64, remainder, sliced, table, text_bytes, word_hashes
+from rostrum.llm.common import END, HASH_BYTES, freeing, mix64, remainder, sliced, table, text_bytes, word_hashes
 from rostrum.llm.packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 from rostrum.llm.registry import query
 from rostrum.session import materialize
@@ -38,7 +38,7 @@ ORDER = 2
 # Strength of the shorter context, for orders 2, 3, ...
 STRENGTHS = (200.0, 20.0, 10.0)
 # Text of a block of documents, and of the corpus per hash bucket.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
 
 # Bits of the hash of two and more words; a word's own hash has 64.
@@ -70,7 +70,7 @@ def _counted(hashes: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.nd
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple]]:
     """Word hashes of the batches in blocks of about ``limit`` bytes of text."""
     parts, size = [], 0
-    for batch in sliced(batches, "text"):
+    for batch in sliced(batches, "text", HASH_BYTES):
         parts.append((*word_hashes(batch.column("text"), END), batch.column("key"), batch.column("learn")))
         size += batch.column("text").nbytes
         if size >= limit:
@@ -169,6 +169,7 @@ def _request_rows(block: int, rows: dict[str, list], key: pa.DataType) -> pa.Rec
 def _answers(requests: DataFrame) -> DataFrame:
     """Corpus counts for every block and bucket, and the bucket's share of N and V once."""
 
+    @freeing
     def run(group: pa.Table) -> pa.Table:
         blocks = group["block"].to_pylist()
         hashes, counts = group["hashes"].to_pylist(), group["counts"].to_pylist()
@@ -276,6 +277,7 @@ def score_texts(
     sums = answers.agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
     total, distinct = sums["total"] or 0, sums["distinct"] or 0
 
+    @freeing
     def run(group: pa.Table) -> pa.Table:
         own = group.filter(pc.is_null(group["bucket"]))
         replies = group.filter(pc.is_valid(group["bucket"])).sort_by("bucket")["counts"].to_pylist()

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from rostrum.llm.common import remainder, sliced, table
+from rostrum.llm.common import HASH_BYTES, remainder, sliced, table
 from rostrum.llm.registry import query
 from rostrum.session import materialize
 
@@ -141,15 +141,12 @@ def _meta_bins(source: Column, lang: Column, n_chars: Column) -> Column:
 
 
 def _with_bins(docs: DataFrame, text: str, source: str, lang: str, n_chars: str) -> DataFrame:
-    """All rows and columns with ``text_bins`` and ``meta_bins``."""
-    taken = {"text_bins", "meta_bins"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"documents have columns {sorted(taken)}; rename them first")
+    """All rows and columns with ``text_bins`` and ``meta_bins``, which no column is named."""
     added = docs.sparkSession.createDataFrame([], "text_bins array<int>").schema.fields
     schema = StructType([*docs.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, HASH_BYTES):
             bins = _text_bins(batch.column(batch.schema.get_field_index(text)))
             offsets = np.arange(len(bins) + 1, dtype=np.int32) * bins.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bins.ravel()))

@@ -14,10 +14,10 @@ from rostrum.llm.common import expand
 
 # Distinct words, and characters of them, that a worker remembers before it starts
 # anew; bounds its memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 CACHE_CHARS = 16 << 20
 # Text that is encoded at a time; more of it repeats more words.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 
 # Latin letters, each with a lower case of one letter and alike under NFC.
 _LATIN = r"^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+$"
