@@ -96,10 +96,9 @@ def likeness(one: np.ndarray, other: np.ndarray) -> float:
 def fingerprints(docs: DataFrame, text: str = "text", column: str = "fingerprint") -> DataFrame:
     """Adds the fingerprint as hexadecimal text; all rows and columns stay.
 
-    A missing text counts as empty. ``column`` must not be a column of ``docs``.
+    A missing text counts as empty. A column of that name is replaced.
     """
-    if column in docs.columns:
-        raise ValueError(f"documents have a column {column!r}; name another")
+    docs = docs.drop(column)
     schema = docs.withColumn(column, F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

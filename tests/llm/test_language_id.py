@@ -55,8 +55,9 @@ def test_odd_texts(spark, model):
     assert [found[i][0] for i in (3, 4, 5, 7)] == ["en", "fr", "en", "en"]
     assert found[3] == found[7]
     assert all(0 <= s <= 1 for _, s in found.values())
-    with pytest.raises(ValueError, match="taken"):
-        identify(rows.withColumnRenamed("lang", "score"), model)
+    replaced = identify(rows.withColumnRenamed("lang", "Score"), model)
+    assert replaced.columns == ["doc_id", "text", "lang_pred", "score"]
+    assert {r.doc_id: (r.lang_pred, r.score) for r in replaced.collect()} == found
 
 
 def test_nothing_to_learn_from(spark):

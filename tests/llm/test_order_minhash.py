@@ -110,5 +110,5 @@ def test_fingerprints_keep_columns(documents):
     assert found.columns == [*docs.columns, "fingerprint"]
     prints = {(r.doc_id, r.fingerprint) for r in found.collect()}
     assert prints == {(1, fingerprint("some text").tobytes().hex()), (2, fingerprint("").tobytes().hex())}
-    with pytest.raises(ValueError, match="name another"):
-        fingerprints(docs, column="score")
+    replaced = fingerprints(docs, column="score")
+    assert {(r.doc_id, r.score) for r in replaced.collect()} == prints

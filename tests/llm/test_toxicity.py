@@ -60,8 +60,9 @@ def test_odd_rows_and_columns(spark, documents, model):
     rows = found.collect()
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert len({r.score for r in rows if not r.text}) == 1
-    with pytest.raises(ValueError, match="name another"):
-        score(docs, model)
+    replaced = score(docs, model)
+    assert sorted(replaced.columns) == sorted(docs.columns)
+    assert sorted(r.score for r in replaced.collect()) == sorted(r.score for r in rows)
 
 
 def test_nothing_to_learn_from(spark, documents):
