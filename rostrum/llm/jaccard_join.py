@@ -9,10 +9,10 @@ document has are nobody's and are dropped first, and with them all documents tha
 few others. What the index finds is verified by the exact overlap.
 
 Equal sets become one class at once. In each bucket only a hub is compared with the other
-members, the hub changing from round to round while it pays, and links merge classes into
-components; then all members of a bucket that are still apart are compared. Links within a
-component need no check, as components are what is asked for, and no link between
-components is lost.
+members, another one in each round, and links merge classes into components; then all
+members of a bucket that are still apart are compared. Links within a component need no
+check, as components are what is asked for, and no link between components is lost. Sizes
+and bitmaps of the sets rule most other pairs out within the join.
 """
 
 from __future__ import annotations
@@ -27,23 +27,28 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rostrum.llm.common import mix64, sliced, table, text_bytes, word_hashes
+from rostrum.llm.common import HASH_BYTES, freeing, mix64, sliced, table, text_bytes, word_hashes
 from rostrum.llm.packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 from rostrum.llm.registry import query
-from rostrum.session import materialize
+from rostrum.session import discard, materialize
 
 SHINGLE = 3
 # Two sets are linked if the overlap is at least this many hundredths of the union.
 PERCENT = 90
 # A token of more documents than this is frequent and indexed in pairs.
-RARE_DOCUMENTS = 64
+RARE_DOCUMENTS = 256
 # Text of a block of documents, and of the corpus per hash bucket.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
 # Bits of a token in the index and in overlaps; sizes of sets are counted with 64.
 BITS = 48
 # Hubs are tried in this many rounds at most before the rest is compared.
-HUB_ROUNDS = 4
+HUB_ROUNDS = 3
+
+# Bits of a set's bitmap, in longs of 64. A token flips one bit, so two sets differ in at
+# least as many tokens as their bitmaps in bits.
+BITMAP = 8
+_MAPS = [f"map{i}" for i in range(BITMAP)]
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BINARIES = pa.list_(pa.binary())
@@ -99,7 +104,7 @@ def _sets(docs: DataFrame, size: int, buckets: int, block_bytes: int) -> DataFra
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
         keys, sets, taken = [], [], 0
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", HASH_BYTES):
             sets += shingle_sets(batch.column("text"), size)
             keys.append(batch.column("key"))
             taken += batch.column("text").nbytes
@@ -150,6 +155,7 @@ def _sets(docs: DataFrame, size: int, buckets: int, block_bytes: int) -> DataFra
 def _answers(sets: DataFrame) -> DataFrame:
     """For every block and bucket, which of its tokens other documents have, and how many."""
 
+    @freeing
     def run(group: pa.Table) -> pa.Table:
         own = [unpack_sorted(t) for t in group["tokens"].to_pylist()]
         counts = np.concatenate([unpack(c) for c in group["counts"].to_pylist()])
@@ -159,7 +165,14 @@ def _answers(sets: DataFrame) -> DataFrame:
         for tokens in own:
             of = sums[place[at : at + len(tokens)]]
             kept = np.flatnonzero(of > 1)
-            shared.append([pack(np.array([len(tokens)])), pack_sorted(kept.astype(np.uint64)), pack_sorted(tokens[kept]), pack(of[kept])])
+            shared.append(
+                [
+                    pack(np.array([len(tokens)])),
+                    pack_sorted(kept.astype(np.uint64)),
+                    pack_sorted(tokens[kept]),
+                    pack(of[kept]),
+                ]
+            )
             at += len(tokens)
         return pa.table(
             {
@@ -176,6 +189,7 @@ def _answers(sets: DataFrame) -> DataFrame:
 def _documents(sets: DataFrame, kind: str, percent: int) -> DataFrame:
     """Stored ``key, n, digest, tokens, documents``; tokens (rare first) where links are possible."""
 
+    @freeing
     def run(group: pa.Table) -> pa.Table:
         own = group.filter(pc.is_null(group["bucket"]))
         replies = group.filter(pc.is_valid(group["bucket"])).sort_by("bucket")["shared"].to_pylist()
@@ -220,36 +234,56 @@ def _documents(sets: DataFrame, kind: str, percent: int) -> DataFrame:
     return materialize(found, "documents")
 
 
+def _bitmap(tokens: np.ndarray) -> np.ndarray:
+    bits = np.bincount((mix64(tokens) >> np.uint64(55)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
 def _signatures(classes: DataFrame, percent: int, rare: int) -> DataFrame:
-    """Index entries ``signature, digest, n`` of every class's extended prefix."""
+    """Index entries of every class's extended prefix.
+
+    Besides ``signature, digest, n``: ``own``, tokens that no other document has, and the
+    bitmap of the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("digest", "n", "tokens", "documents"))
             for digest, n, tokens, documents in zip(*columns, strict=True):
-                own = np.frombuffer(tokens, dtype="<u8")
+                shared = np.frombuffer(tokens, dtype="<u8")
                 count = np.frombuffer(documents, dtype="<i8")
-                # The n - len(own) tokens nobody else has come first in the order.
-                length = max(0, n - required(n, percent) + 2 - (n - len(own)))
-                own, count = own[:length], count[:length]
-                singles = mix64(own[count <= rare] + np.uint64(1))
-                frequent = np.sort(own[count > rare])
+                alone = n - len(shared)
+                # Tokens that nobody else has come first in the order.
+                length = max(0, n - required(n, percent) + 2 - alone)
+                prefix, count = shared[:length], count[:length]
+                singles = mix64(prefix[count <= rare] + np.uint64(1))
+                frequent = np.sort(prefix[count > rare])
                 first, second = np.triu_indices(len(frequent), 1)
                 pairs = mix64(mix64(frequent[first]) * _FACTOR + frequent[second])
                 found = np.concatenate((singles, pairs)).view(np.int64)
+                fixed = [pa.scalar(digest, pa.binary()), pa.scalar(n), pa.scalar(alone)]
+                fixed += [pa.scalar(int(m)) for m in _bitmap(shared)]
                 yield pa.record_batch(
-                    {
-                        "signature": pa.array(found),
-                        "digest": pa.repeat(pa.scalar(digest, pa.binary()), len(found)),
-                        "n": pa.repeat(pa.scalar(n, pa.int64()), len(found)),
-                    }
+                    [pa.array(found), *(pa.repeat(value, len(found)) for value in fixed)],
+                    names=["signature", "digest", "n", "own", *_MAPS],
                 )
 
+    maps = ", ".join(f"{m} long" for m in _MAPS)
     return classes.select("digest", "n", "tokens", "documents").mapInArrow(
-        run, "signature long, digest binary, n long"
+        run, f"signature long, digest binary, n long, own long, {maps}"
     )
 
 
+def _may_link(percent: int, left: str, right: str) -> Column:
+    """False only for pairs whose sizes and bitmaps rule a link out."""
+    total = F.col(f"{left}.n") + F.col(f"{right}.n")
+    differ = F.col(f"{left}.own") + F.col(f"{right}.own")
+    for m in _MAPS:
+        differ = differ + F.bit_count(F.col(f"{left}.{m}").bitwiseXOR(F.col(f"{right}.{m}")))
+    fits = 100 * F.least(f"{left}.n", f"{right}.n") >= percent * F.greatest(f"{left}.n", f"{right}.n")
+    return fits & ((100 + percent) * (total - differ) >= 2 * percent * total)
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose exact overlap is large enough."""
     tokens = classes.select("digest", "n", "tokens")
@@ -296,10 +330,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("digest"), F.col("v").alias("component")).union(tops)
 
 
-def _length_fits(percent: int, n: str, m: str) -> Column:
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) if percent else F.lit(True)
-
-
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -321,7 +351,9 @@ def near_duplicates(
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     buckets = max(1, -(-text_bytes(docs, text) // bucket_bytes))
     kind = rows.schema["key"].dataType.simpleString()
-    found = _documents(_sets(rows, size, buckets, block_bytes), kind, percent)
+    sets = _sets(rows, size, buckets, block_bytes)
+    found = _documents(sets, kind, percent)
+    discard(sets)
     classes = materialize(
         found.filter("tokens IS NOT NULL").groupBy("digest").agg(
             F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("documents").alias("documents")
@@ -329,45 +361,21 @@ def near_duplicates(
         "classes",
     )
     index = _signatures(classes, percent, rare)
-    counts = index.groupBy("signature").agg(F.count("*").alias("members"))
-    index = materialize(
-        index.join(counts.filter("members > 1"), "signature").drop("members"), "index"
-    )
+    counts = index.groupBy("signature").agg(F.count("*").alias("members")).filter("members > 1")
+    index = materialize(index.join(counts.select("signature"), "signature"), "index")
     links, component = None, None
     for number in range(hub_rounds):
-        open_index = index if component is None else _still_apart(index, component)
-        if component is None:
-            open_index = open_index.withColumn("component", F.col("digest"))
-        order = F.xxhash64("digest", F.lit(number))
-        hubs = open_index.groupBy("signature").agg(
-            F.min(F.struct(order.alias("o"), "digest", "n", "component")).alias("hub")
-        )
-        hubs = hubs.select(
-            "signature",
-            F.col("hub.digest").alias("hub"),
-            F.col("hub.n").alias("m"),
-            F.col("hub.component").alias("hub_component"),
-        )
-        pairs = (
-            open_index.join(hubs, "signature")
-            .filter((F.col("component") != F.col("hub_component")) & _length_fits(percent, "n", "m"))
-            .select(F.col("digest").alias("a"), F.col("hub").alias("b"))
-            .distinct()
-        )
-        new = materialize(_linked(pairs, classes, percent), "links")
+        apart = _apart(index, component)
+        order = F.xxhash64("digest", "signature", F.lit(number))
+        chosen = F.min_by(F.struct("digest", "n", "own", "component", *_MAPS), F.struct(order, "digest"))
+        hubs = apart.groupBy("signature").agg(chosen.alias("hub")).select("signature", "hub.*")
+        new = materialize(_linked(_pairs(apart, hubs, percent, "l.digest != r.digest"), classes, percent), "links")
         if new.isEmpty():
             break
         links = new if links is None else links.union(new)
         component = materialize(components(links), "components")
-    apart = index.withColumn("component", F.col("digest")) if component is None else _still_apart(index, component)
-    left, right = apart.alias("l"), apart.alias("r")
-    pairs = (
-        left.join(right, "signature")
-        .filter("l.digest < r.digest AND l.component != r.component")
-        .filter(100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n"))
-        .select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b"))
-        .distinct()
-    )
+    apart = _apart(index, component)
+    pairs = _pairs(apart, apart, percent, "l.digest < r.digest")
     new = materialize(_linked(pairs, classes, percent), "links")
     links = new if links is None else links.union(new)
     component = components(links)
@@ -382,8 +390,10 @@ def near_duplicates(
     )
 
 
-def _still_apart(index: DataFrame, component: DataFrame) -> DataFrame:
-    """Entries of buckets whose members are in several components."""
+def _apart(index: DataFrame, component: DataFrame | None) -> DataFrame:
+    """Entries of buckets whose members are in several components, with these."""
+    if component is None:
+        return index.withColumn("component", F.col("digest"))
     named = index.join(component, "digest", "left").withColumn(
         "component", F.coalesce("component", "digest")
     )
@@ -391,6 +401,18 @@ def _still_apart(index: DataFrame, component: DataFrame) -> DataFrame:
     return named.join(ends.filter("low != high").select("signature"), "signature")
 
 
+def _pairs(entries: DataFrame, others: DataFrame, percent: int, which: str) -> DataFrame:
+    """Distinct pairs ``a, b`` of a bucket that are apart and may be linked."""
+    met = entries.alias("l").join(
+        others.alias("r"),
+        (F.col("l.signature") == F.col("r.signature"))
+        & F.expr(which)
+        & (F.col("l.component") != F.col("r.component"))
+        & _may_link(percent, "l", "r"),
+    )
+    return met.select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b")).distinct()
+
+
 def drop_near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
