@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -111,38 +112,47 @@ class Model:
     scores: np.ndarray
     longest: int
 
-    def unseen(self, word: str) -> np.ndarray | None:
+    def _backoff(self, word: str) -> list[int]:
+        """The known n-grams of the greatest length that has any."""
         marked = f" {word} "
-        for size in range(min(self.longest, len(marked)), 0, -1):
-            known = [
-                k
-                for i in range(len(marked) - size + 1)
-                if (k := self.grams.get(marked[i : i + size])) is not None
-            ]
-            # The mark of a word's end alone tells nothing.
-            if known and (size > 1 or len(known) > 2):
-                return self.scores[known].mean(axis=0)
-        return None
+        get = self.grams.get
+        for size in range(min(self.longest, len(marked)), 1, -1):
+            grams = (marked[i : i + size] for i in range(len(marked) - size + 1))
+            if known := [k for k in map(get, grams) if k is not None]:
+                return known
+        # The marks of a word's ends alone tell nothing.
+        return [k for k in map(get, word) if k is not None]
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """One row per word: its log frequencies, or 0 where nothing of it is known."""
+        found = np.zeros((len(words), len(self.languages)))
+        place = np.fromiter((self.words.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        found[place >= 0] = self.scores[place[place >= 0]]
+        unseen = np.flatnonzero(place < 0)
+        known = [self._backoff(words[i]) for i in unseen.tolist()]
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
+        if sizes.sum():
+            flat = np.fromiter(chain.from_iterable(known), dtype=np.int64, count=int(sizes.sum()))
+            some, sizes = unseen[sizes > 0], sizes[sizes > 0]
+            sums = np.add.reduceat(self.scores[flat], np.cumsum(sizes) - sizes, axis=0)
+            found[some] = sums / sizes[:, None]
+        return found
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and its probability for every text."""
         words, counts = _words(texts)
+        if not self.languages:
+            return [UNDETERMINED] * len(counts), np.zeros(len(counts))
         distinct = words.dictionary_encode()
-        table_ = np.zeros((len(distinct.dictionary) + 1, len(self.languages)))
-        for i, word in enumerate(distinct.dictionary.to_pylist()):
-            place = self.words.get(word)
-            row = self.scores[place] if place is not None else self.unseen(word)
-            if row is not None:
-                table_[i] = row - row.mean()
+        table_ = self.word_scores(distinct.dictionary.to_pylist())
+        table_ -= table_.mean(axis=1, keepdims=True)
         place = distinct.indices.to_numpy(zero_copy_only=False)
         ends = np.cumsum(counts)
         sums = np.zeros((len(counts), len(self.languages)))
         for k in range(len(self.languages)):
             running = np.append(0.0, np.cumsum(table_[place, k]))
             sums[:, k] = running[ends] - running[ends - counts]
-        best = sums.argmax(axis=1) if len(self.languages) else np.zeros(len(counts), dtype=int)
-        if not len(self.languages):
-            return [UNDETERMINED] * len(counts), np.zeros(len(counts))
+        best = sums.argmax(axis=1)
         odds = np.power(10.0, np.maximum(sums - sums.max(axis=1, keepdims=True), -300))
         score = np.where(counts > 0, 1 / odds.sum(axis=1), 0.0)
         names = [self.languages[b] if n else UNDETERMINED for b, n in zip(best, counts, strict=True)]
@@ -204,10 +214,9 @@ def identify(
     """Adds the language and its probability; all rows and other columns stay.
 
     A text without letters, empty or missing gets ``und`` and 0. Ties go to the first
-    language in alphabetic order. The names of the added columns must be free.
+    language in alphabetic order. Columns that have the names of the added ones are replaced.
     """
-    if {lang, score} & set(docs.columns):
-        raise ValueError("the names of the added columns are taken; choose others")
+    docs = docs.drop(lang, score)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     added = spark.createDataFrame([], f"`{lang}` string, `{score}` double").schema.fields
