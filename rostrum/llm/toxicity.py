@@ -36,14 +36,20 @@ TRAINING_TEXT = 64 << 10
 # standard deviations more of the toxic ones than chance gives, and so many times their share.
 LEAST_TEXTS, LEAST_DEVIATIONS, LEAST_RATIO = 5, 6.0, 20
 OWN_BYTES, COMMON_BYTES = 8 << 10, 8000
+# Windows of ordinary texts that zstandard's trainer sees.
+SAMPLES = 60_000
 LARGEST = 6
 
 # A-Z in lower case, other letters' bytes as they are, anything else separates words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+def _words(text: str) -> list[bytes]:
+    return text.encode().translate(_FOLD).split()
+
+
 def windows_of(text: str, size: int = WINDOW) -> list[bytes]:
-    words = text.encode().translate(_FOLD).split()
+    words = _words(text)
     return [b" ".join(words[i : i + size]) for i in range(0, len(words), size)]
 
 
@@ -104,11 +110,12 @@ def score_text(model: Model, text: str) -> float:
     return float(1 / (1 + np.exp(-(weights[0] + weights[1:] @ np.array(features(model, text))))))
 
 
-def _unlike(texts: list[list[bytes]], seeds: int = 6) -> list[int]:
+def _unlike(texts: list[str], seeds: int = 6) -> list[int]:
     """Places of texts that share none of their smallest word-pair hashes with one before."""
     seen: list[set[int]] = [set() for _ in range(seeds)]
     kept = []
-    for i, words in enumerate(texts):
+    for i, text in enumerate(texts):
+        words = _words(text)
         pairs = {a + b" " + b for a, b in zip(words, words[1:], strict=False)} or set(words)
         smallest = [min((zlib.crc32(p, s) for p in pairs), default=0) for s in range(seeds)]
         if not any(value in own for value, own in zip(smallest, seen, strict=True)):
@@ -118,12 +125,12 @@ def _unlike(texts: list[list[bytes]], seeds: int = 6) -> list[int]:
     return kept
 
 
-def _toxic_words(texts: list[list[bytes]], labels: list[int]) -> list[bytes]:
+def _toxic_words(texts: list[str], labels: list[int]) -> list[bytes]:
     """Words far more frequent in unlike toxic texts, the most telling first."""
     counts = (Counter(), Counter())
     totals = [0, 0]
     for i in _unlike(texts):
-        counts[labels[i]].update(set(texts[i]))
+        counts[labels[i]].update(set(_words(texts[i])))
         totals[labels[i]] += 1
     ordinary, toxic = totals
     ranked = []
@@ -162,18 +169,20 @@ def fit(texts: list[str], labels: list[int], size: int = WINDOW, seed: int = 42)
     """Dictionaries and curve from labelled texts; None unless both labels occur."""
     if len(set(labels)) < 2:
         return None
-    words = [t.encode().translate(_FOLD).split() for t in texts]
-    toxic = _toxic_words(words, labels)
+    toxic = _toxic_words(texts, labels)
     common: Counter = Counter()
-    samples = []
-    for own, label in zip(words, labels, strict=True):
-        if not label:
-            common.update(own)
-            samples += [b" ".join(own[i : i + size]) for i in range(0, len(own), size)]
+    samples: list[bytes] = []
+    picked = random.Random(seed)
+    ordinary = [t for t, label in zip(texts, labels, strict=True) if not label]
+    each = max(1, SAMPLES // max(1, len(ordinary)))
+    for text in ordinary:
+        common.update(_words(text))
+        windows = windows_of(text, size)
+        samples += picked.sample(windows, min(each, len(windows)))
     frequent = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:4000]]
-    random.Random(seed).shuffle(samples)
+    picked.shuffle(samples)
     try:
-        trained = zstandard.train_dictionary(2 * COMMON_BYTES, samples[:60_000]).as_bytes()
+        trained = zstandard.train_dictionary(2 * COMMON_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too little text for the trainer
         trained = b" ".join(samples)
     lead = b" ".join(frequent[:16])
@@ -223,10 +232,9 @@ def score(
     """Adds the toxicity score, 0 to 1; all rows and other columns stay.
 
     A missing text counts as empty and gets the score of a text without windows. Without
-    a model the score is 0. ``column`` must not be a column of ``docs``.
+    a model the score is 0. A column of that name is replaced.
     """
-    if column in docs.columns:
-        raise ValueError(f"documents have a column {column!r}; name another")
+    docs = docs.drop(column)
     if model is None:
         return docs.withColumn(column, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
