@@ -18,6 +18,9 @@ from rostrum.llm.quality import keep_good
 from rostrum.llm.tokens import vocabulary_path
 from rostrum.session import materialize
 
+# Near duplicates share at least this many hundredths of their shingles of so many words.
+SHINGLE, PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier takes for good."""
@@ -33,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of every group of near duplicates."""
     prepare(spark)
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, size=SHINGLE, percent=PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

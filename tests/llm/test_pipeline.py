@@ -10,6 +10,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 from test_decontamination import brute as brute_hits
+from test_jaccard_join import brute as brute_components
 from test_jaccard_join import shingles
 from tokenizers import Tokenizer
 
@@ -90,6 +91,24 @@ def test_every_stage_does_its_part(spark, tmp_path):
         assert at == len(tokens)
 
 
+def test_near_duplicates_by_five_words_and_four_fifths(spark, tmp_path):
+    """Copies between 80 and 90 % go, those below stay."""
+    rows = []
+    for k in range(6):
+        words = [f"w{k}x{i}" for i in range(100)]
+        rows.append((10 * k, " ".join(words)))
+        rows.append((10 * k + 1, " ".join([*words, *[f"more{k}x{i}" for i in range(10 + 4 * k)]])))
+        changed = [f"new{k}x{i}" if i % 40 == 20 and i < 40 * (k % 3 + 1) else w for i, w in enumerate(words)]
+        rows.append((10 * k + 2, " ".join(changed)))
+    schema = "doc_id long, text string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    expected = {i for i, _, component in brute_components(rows, 5, 80) if i == component}
+    assert 6 < len(expected) < 12
+    found = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted(r.doc_id for r in found.collect()) == sorted(expected)
+
+
 def test_run_is_the_stages_in_a_row(spark):
     docs = corpus_pipeline.table(spark, SF, "documents")
     for _, stage in corpus_pipeline.STAGES:
