@@ -29,10 +29,6 @@ MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.7
 DEFAULT = "allow"
 
-# Tokens a URL gives at most. It bounds the mined combinations: each one is in a
-# MIN_SUPPORT share of the labelled URLs, each of which has 2 ** TOKENS combinations.
-TOKENS = 7
-
 
 def _before(text: Column, marks: str) -> Column:
     """The text up to the first of the marks, or all of it."""
@@ -74,7 +70,7 @@ def listed_rule(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
 
 
 def url_tokens() -> Column:
-    """At most seven tokens of a URL, from ``__url``, ``host`` and ``path``.
+    """At most seven tokens of a URL's outline, from ``__url``, ``host`` and ``path``.
 
     Scheme, top level and registered domain, first host label, first path segment, shape
     of the rest of the path (digits as one 0, letters as they are) and the kind of what
@@ -100,6 +96,30 @@ def url_tokens() -> Column:
     )
 
 
+def part_tokens() -> Column:
+    """A token of every host label but the top level, path segment and query key.
+
+    The first path segment is told apart from later ones. Empty parts give no token.
+    """
+    labels = F.split("host", r"\.")
+    segments = F.split("path", "/")
+    asked = F.regexp_extract(F.col("__url"), r"^[^?#]*\?([^#]*)", 1)
+    keys = F.transform(F.split(asked, "&"), lambda pair: _before(pair, "="))
+    later = F.slice(segments, 3, F.greatest(F.size(segments), F.lit(1)))
+
+    def named(kind: str, parts: Column) -> Column:
+        return F.transform(F.filter(parts, lambda part: part != ""), lambda part: F.concat(F.lit(kind), part))
+
+    return F.array_distinct(
+        F.concat(
+            named("label=", F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0)))),
+            named("segment=", F.slice(segments, 2, 1)),
+            named("later=", later),
+            F.when(F.col("host") != "", named("key=", keys)).otherwise(F.array().cast("array<string>")),
+        )
+    )
+
+
 def mine_rules(
     labelled: DataFrame,
     min_support: float = MIN_SUPPORT,
@@ -126,19 +146,29 @@ def mine_rules(
     short = rules.select(
         F.col("tokens").alias("fewer"), F.col("verdict").alias("same"), F.col("confidence").alias("no_less")
     )
-    # Every proper part of a rule's tokens (at most 2 ** TOKENS) is looked up by equality.
-    parts = rules.filter(F.size("tokens") > 1).withColumn(
+
+    def needed(some: DataFrame, parts: DataFrame) -> DataFrame:
+        needless = (
+            parts.join(short, "fewer")
+            .filter((F.col("same") == F.col("verdict")) & (F.col("no_less") >= F.col("confidence")))
+            .select("tokens", "verdict")
+            .distinct()
+        )
+        return some.join(needless, ["tokens", "verdict"], "left_anti")
+
+    # Parts of a rule's tokens are looked up by equality: first those without one token,
+    # which most rules fall to, then every proper part of the rules that are left.
+    longer = rules.filter(F.size("tokens") > 1)
+    less_one = longer.withColumn("left_out", F.explode("tokens")).withColumn(
+        "fewer", F.expr("filter(tokens, t -> t != left_out)")
+    )
+    left = materialize(needed(rules, less_one), "rules")
+    parts = left.filter(F.size("tokens") > 2).withColumn(
         "subset",
-        F.expr("explode(sequence(1, shiftleft(1, size(tokens)) - 2))"),
+        F.expr("explode(sequence(1L, shiftleft(1L, size(tokens)) - 2))"),
     )
     parts = parts.withColumn("fewer", F.expr("filter(tokens, (t, i) -> getbit(subset, i) = 1)"))
-    needless = (
-        parts.join(short, "fewer")
-        .filter((F.col("same") == F.col("verdict")) & (F.col("no_less") >= F.col("confidence")))
-        .select("tokens", "verdict")
-        .distinct()
-    )
-    kept = rules.join(needless, ["tokens", "verdict"], "left_anti")
+    kept = materialize(needed(left, parts), "rules")
     counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count()
     rarest = (
         kept.select("tokens", F.explode("tokens").alias("token"))
@@ -186,7 +216,7 @@ def filter_urls(
     urls = split_urls(pages.select(F.col(f"`{key}`"), F.col(f"`{url}`").alias("__raw")), "__raw")
     rule, verdict = listed_rule(rules)
     known = urls.withColumns(
-        {"rule": rule, "listed": verdict, "tokens": F.array_sort(url_tokens())}
+        {"rule": rule, "listed": verdict, "tokens": F.array_sort(F.array_union(url_tokens(), part_tokens()))}
     ).drop("__raw", "__url")
     known = materialize(known, "urls")
     labelled = known.filter("listed IS NOT NULL").withColumnRenamed("listed", "verdict")

@@ -13,6 +13,7 @@ from rostrum.llm.url_rules import (
     filter_urls,
     listed_rule,
     mine_rules,
+    part_tokens,
     split_urls,
     url_tokens,
 )
@@ -80,6 +81,32 @@ def test_tokens_are_few_and_distinct(spark):
         assert len(tokens) == len(set(tokens)) <= 7
 
 
+def test_every_label_segment_and_key_is_a_token(spark):
+    urls = ["http://m.casino-win.example.com/en/bets/new/?a=1&ref&ref=x#b&c=1", "http://www.foo.co.uk", "x?y", None]
+    pages = split_urls(spark.createDataFrame([(u,) for u in urls], "url string"))
+    found = [set(tokens) for (tokens,) in pages.select(part_tokens()).collect()]
+    labels = {"label=m", "label=casino-win", "label=example"}
+    parts = {"segment=en", "later=bets", "later=new", "key=a", "key=ref"}
+    assert found == [labels | parts, {"label=www", "label=foo", "label=co"}, set(), set()]
+
+
+def test_inner_labels_later_segments_and_keys_decide(spark):
+    """Unlisted hosts that differ from each other in one inner part only."""
+    rules = [("listed.com", "/", "allow")]
+    bad = ["http://m.{}.example.org/", "http://example.org/a/{}/", "http://example.org/?q=1&{}=1"]
+    urls = []
+    for n, shape in enumerate(bad):
+        for k in range(20):
+            rules.append((f"h{n}x{k}.net", "/", "block"))
+            rules.append((f"g{n}x{k}.net", "/", "allow"))
+            spam, ham = (shape.format(word).replace("example.org", f"{host}{n}x{k}.net") for word, host in (("spam", "h"), ("ham", "g")))
+            urls += [spam, ham]
+    asked = [shape.format(word) for shape in bad for word in ("spam", "ham")]
+    pages = spark.createDataFrame(list(enumerate([*asked, *urls])), "page_id long, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in filter_urls(pages, rules, min_support=0.05).collect()}
+    assert [found[i] for i in range(6)] == [(None, "block"), (None, "allow")] * 3
+
+
 def test_mined_rules_equal_brute_force(spark):
     baskets = [({"a", "b"}, "block"), ({"a", "b", "c"}, "block"), ({"a", "c"}, "allow"), ({"a"}, "allow"), ({"b", "c"}, "block"), ({"d"}, "allow")] * 5
     rows = [(sorted(t), v) for t, v in baskets]
