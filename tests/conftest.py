@@ -27,7 +27,3 @@ def spark(tmp_path_factory) -> SparkSession:
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
-
-
-def rows(df) -> list[tuple]:
-    return [tuple(r) for r in df.collect()]

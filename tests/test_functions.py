@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from collected import rows
 from rostrum.functions import parsing, predicates, text as tx, topics as tf
 from rostrum.operators import cleaning, select
 from rostrum.operators.features import explode_top_topics, refresh_features, with_topic_features

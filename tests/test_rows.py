@@ -7,7 +7,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from collected import rows
 from rostrum.operators import batches, numbering, sampling, splits
 
 

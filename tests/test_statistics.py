@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from collected import rows
 from rostrum.operators import statistics as stats, validation
 from rostrum.operators.features import with_topic_features
 from rostrum.operators.quantiles import approximate_quantiles, counted_quantile, exact_quantiles, with_ranks

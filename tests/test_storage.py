@@ -13,7 +13,7 @@ import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from conftest import rows
+from collected import rows
 from rostrum import Corpus, SPEECH_SCHEMA
 from rostrum.operators.batches import with_shard_batches
 from rostrum.operators.cleaning import clean
