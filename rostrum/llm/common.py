@@ -123,6 +123,22 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0)
 
 
+# Up to this many bytes of text, blocks and buckets keep their sizes.
+FAN_OUT_BYTES = 32 << 30
+
+
+def fan_out(total: int, block: int, bucket: int) -> tuple[int, int, int]:
+    """Bytes of a block, bytes of a bucket, and the number of buckets for ``total`` bytes.
+
+    Every block may send a row to every bucket, so with fixed sizes the rows would grow with
+    the square of the text. Beyond ``FAN_OUT_BYTES`` both sizes grow with the square root
+    instead: rows then grow with the text, and at 1 TB a task holds six times as much.
+    """
+    factor = max(1.0, (total / FAN_OUT_BYTES) ** 0.5)
+    block, bucket = int(block * factor), int(bucket * factor)
+    return block, bucket, max(1, -(-total // bucket))
+
+
 # A token after a text's last word; no word is a line feed.
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 

@@ -8,26 +8,38 @@ small, or its members share two frequent tokens among their rarest. Tokens that
 document has are nobody's and are dropped first, and with them all documents that have too
 few others. What the index finds is verified by the exact overlap.
 
-Equal sets become one class at once. In each bucket only a hub is compared with the other
-members, another one in each round, and links merge classes into components; then all
-members of a bucket that are still apart are compared. Links within a component need no
-check, as components are what is asked for, and no link between components is lost. Sizes
-and bitmaps of the sets rule most other pairs out within the join.
+Equal sets become one class at once. Components are what is asked for, so links within a
+component need no check. Most are found from a dozen min-hash bands per class: of its
+bands' hubs, each class is compared with one per round, and links merge classes. The index
+is then cut down to the buckets whose members are in several components. These get rounds
+of hubs as well; at last all members of a bucket that are still apart are compared, where
+sizes and bitmaps of the sets rule most pairs out within the join. No link between
+components is lost, and nothing grows with the square of a group that hubs can merge.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from rostrum.llm.common import HASH_BYTES, freeing, mix64, sliced, table, text_bytes, word_hashes
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+
+from rostrum.llm.common import (
+    HASH_BYTES,
+    expand,
+    fan_out,
+    freeing,
+    mix64,
+    sliced,
+    table,
+    text_bytes,
+    word_hashes,
+)
 from rostrum.llm.packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 from rostrum.llm.registry import query
 from rostrum.session import discard, materialize
@@ -44,6 +56,14 @@ BUCKET_BYTES = 12 << 20
 BITS = 48
 # Hubs are tried in this many rounds at most before the rest is compared.
 HUB_ROUNDS = 3
+# Min-hash bands of a class, each of two hashes. Two sets with four fifths in common meet in
+# one of them but for 5 cases in a million; the index finds those.
+BANDS = 12
+# The tokens of a prefix are paired within groups. A set has one group for this many tokens,
+# so that the pairs of a prefix grow with its length, not with its square.
+GROUP_TOKENS = 64
+# Index entries that a task hands over at once.
+ENTRIES_AT_ONCE = 1 << 16
 
 # Bits of a set's bitmap, in longs of 64. A token flips one bit, so two sets differ in at
 # least as many tokens as their bitmaps in bits.
@@ -186,8 +206,13 @@ def _answers(sets: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, shared array<binary>")
 
 
-def _documents(sets: DataFrame, kind: str, percent: int) -> DataFrame:
-    """Stored ``key, n, digest, tokens, documents``; tokens (rare first) where links are possible."""
+def _documents(sets: DataFrame, kind: str, percent: int, rare: int) -> DataFrame:
+    """Stored ``id, key, n, digest, tokens, rare, odd``.
+
+    Tokens, from rare to frequent, are there where links are possible; the first ``rare``
+    of them are in at most that many documents. ``odd`` of the set's tokens are in less
+    than half as many documents as its median token: what a copy changed, if it is one.
+    """
 
     @freeing
     def run(group: pa.Table) -> pa.Table:
@@ -204,34 +229,39 @@ def _documents(sets: DataFrame, kind: str, percent: int) -> DataFrame:
             before += int(unpack(length)[0])
         ends = np.cumsum(sizes)
         lists: list[bytes | None] = []
-        of_lists: list[bytes | None] = []
+        rares: list[int] = []
+        odds: list[int] = []
         for begin, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
             n = end - begin
             places = np.cumsum(steps[begin:end])
+            # A token that nobody else has is not in the answers and counts 0.
+            middle = np.partition(counts[places], n // 2)[n // 2] if n else 0
+            odds.append(int(np.count_nonzero(2 * counts[places] < middle)))
             places = places[counts[places] > 1]
             if n and len(places) >= required(n, percent):
                 order = np.lexsort((tokens[places], counts[places]))
                 lists.append(tokens[places][order].tobytes())
-                of_lists.append(counts[places][order].astype("<i8").tobytes())
+                rares.append(int(np.count_nonzero(counts[places] <= rare)))
             else:
                 lists.append(None)
-                of_lists.append(None)
+                rares.append(0)
         return pa.table(
             {
                 "key": pc.list_flatten(own["keys"]).combine_chunks(),
                 "n": pa.array(sizes),
                 "digest": pc.list_flatten(own["digests"]).combine_chunks(),
                 "tokens": pa.array(lists, pa.binary()),
-                "documents": pa.array(of_lists, pa.binary()),
+                "rare": pa.array(rares, pa.int64()),
+                "odd": pa.array(odds, pa.int64()),
             }
         )
 
     rows = sets.filter("bucket IS NULL").select("block", "bucket", "keys", "sizes", "digests", "places")
     met = rows.unionByName(_answers(sets), allowMissingColumns=True)
     found = met.groupBy("block").applyInArrow(
-        run, f"key {kind}, n long, digest binary, tokens binary, documents binary"
+        run, f"key {kind}, n long, digest binary, tokens binary, rare long, odd long"
     )
-    return materialize(found, "documents")
+    return materialize(found.withColumn("id", F.monotonically_increasing_id()), "documents")
 
 
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -239,39 +269,102 @@ def _bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
-def _signatures(classes: DataFrame, percent: int, rare: int) -> DataFrame:
-    """Index entries of every class's extended prefix.
+_BAND_FACTORS = mix64(np.arange(1, 2 * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _bands(classes: DataFrame) -> DataFrame:
+    """``signature, id, odd``: a class's min-hash bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.empty((batch.num_rows, BANDS), dtype=np.uint64)
+            for i, tokens in enumerate(batch.column("tokens").to_pylist()):
+                own = mix64(np.frombuffer(tokens, dtype="<u8"))
+                least = np.array([(own * f).min() for f in _BAND_FACTORS]).reshape(BANDS, 2)
+                found[i] = mix64(least[:, 0] * _FACTOR + least[:, 1])
+            ids, odd = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("id", "odd"))
+            yield pa.record_batch(
+                [pa.array(found.ravel().view(np.int64)), pa.array(ids), pa.array(odd)], ["signature", "id", "odd"]
+            )
+
+    return classes.select("id", "odd", "tokens").mapInArrow(run, "signature long, id long, odd long")
+
 
-    Besides ``signature, digest, n``: ``own``, tokens that no other document has, and the
-    bitmap of the others.
+def token_groups(n: int) -> int:
+    """Groups in which the tokens of a set of ``n`` are paired: a power of two."""
+    return 1 << max(0, (n // GROUP_TOKENS).bit_length() - 1)
+
+
+def signatures(tokens: np.ndarray, n: int, rare: int, percent: int) -> np.ndarray:
+    """Index entries of a set of ``n`` tokens, of which ``tokens`` are not its alone.
+
+    Two linked sets share G + 1 tokens among the first n - required + G + 1 of each. One of
+    these is rare, or two of them fall into the same of G groups. G depends on the size; a
+    set of a size that may be linked with smaller ones of fewer groups has the entries of
+    those groups, too.
     """
+    most, least = token_groups(n), token_groups(required(n, percent))
+    # Tokens that nobody else has come first in the order.
+    free = n - required(n, percent) + 1 - (n - len(tokens))
+    found = [mix64(tokens[: max(0, min(rare, free + most))] + np.uint64(1))]
+    groups = least
+    while groups <= most:
+        frequent = tokens[rare : max(rare, free + groups)]
+        group = mix64(frequent) & np.uint64(groups - 1)
+        order = np.lexsort((frequent, group))
+        frequent, group = frequent[order], group[order]
+        size = np.bincount(group.astype(np.int64), minlength=groups)
+        ends = np.cumsum(size)
+        # Every token is paired with those after it in its group.
+        later = np.repeat(ends, size) - np.arange(len(frequent)) - 1
+        first = np.repeat(np.arange(len(frequent)), later)
+        second = expand(np.arange(len(frequent)) + 1, later)
+        salt = mix64(np.array([groups], dtype=np.uint64))
+        found.append(mix64((mix64(frequent[first]) ^ salt) * _FACTOR + frequent[second]))
+        groups *= 2
+    return np.concatenate(found).view(np.int64)
+
+
+def _index(classes: DataFrame, percent: int) -> DataFrame:
+    """``signature, id, odd, component``: index entries of every class's extended prefix."""
+    names = ["signature", "id", "odd", "component"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("digest", "n", "tokens", "documents"))
-            for digest, n, tokens, documents in zip(*columns, strict=True):
-                shared = np.frombuffer(tokens, dtype="<u8")
-                count = np.frombuffer(documents, dtype="<i8")
-                alone = n - len(shared)
-                # Tokens that nobody else has come first in the order.
-                length = max(0, n - required(n, percent) + 2 - alone)
-                prefix, count = shared[:length], count[:length]
-                singles = mix64(prefix[count <= rare] + np.uint64(1))
-                frequent = np.sort(prefix[count > rare])
-                first, second = np.triu_indices(len(frequent), 1)
-                pairs = mix64(mix64(frequent[first]) * _FACTOR + frequent[second])
-                found = np.concatenate((singles, pairs)).view(np.int64)
-                fixed = [pa.scalar(digest, pa.binary()), pa.scalar(n), pa.scalar(alone)]
-                fixed += [pa.scalar(int(m)) for m in _bitmap(shared)]
-                yield pa.record_batch(
-                    [pa.array(found), *(pa.repeat(value, len(found)) for value in fixed)],
-                    names=["signature", "digest", "n", "own", *_MAPS],
-                )
+            columns = (batch.column(c).to_pylist() for c in ("id", "odd", "component", "n", "rare", "tokens"))
+            parts: list[tuple] = []
+            held = 0
+            for i, odd, component, n, rare, tokens in zip(*columns, strict=True):
+                entries = signatures(np.frombuffer(tokens, dtype="<u8"), n, rare, percent)
+                parts.append((entries, *(np.full(len(entries), v) for v in (i, odd, component))))
+                held += len(entries)
+                if held >= ENTRIES_AT_ONCE:
+                    yield pa.record_batch([pa.array(np.concatenate(p)) for p in zip(*parts)], names)
+                    parts, held = [], 0
+            if parts:
+                yield pa.record_batch([pa.array(np.concatenate(p)) for p in zip(*parts)], names)
+
+    return classes.select("id", "odd", "component", "n", "rare", "tokens").mapInArrow(
+        run, "signature long, id long, odd long, component long"
+    )
+
+
+def _profiles(classes: DataFrame) -> DataFrame:
+    """``id, n, own`` (tokens that no other document has) and the bitmap of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(t, dtype="<u8") for t in batch.column("tokens").to_pylist()]
+            maps = np.array([_bitmap(t) for t in tokens], dtype=np.int64).reshape(len(tokens), BITMAP)
+            n = batch.column("n").to_numpy(zero_copy_only=False)
+            own = n - np.array([len(t) for t in tokens], dtype=np.int64)
+            yield pa.record_batch(
+                [batch.column("id"), batch.column("n"), pa.array(own), *(pa.array(maps[:, k]) for k in range(BITMAP))],
+                names=["id", "n", "own", *_MAPS],
+            )
 
     maps = ", ".join(f"{m} long" for m in _MAPS)
-    return classes.select("digest", "n", "tokens", "documents").mapInArrow(
-        run, f"signature long, digest binary, n long, own long, {maps}"
-    )
+    return classes.select("id", "n", "tokens").mapInArrow(run, f"id long, n long, own long, {maps}")
 
 
 def _may_link(percent: int, left: str, right: str) -> Column:
@@ -286,8 +379,9 @@ def _may_link(percent: int, left: str, right: str) -> Column:
 
 def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose exact overlap is large enough."""
-    tokens = classes.select("digest", "n", "tokens")
+    tokens = classes.select("id", "n", "tokens")
     both = pairs.join(tokens.toDF("a", "n_a", "tokens_a"), "a").join(tokens.toDF("b", "n_b", "tokens_b"), "b")
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,11 +394,11 @@ def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
             yield out.filter(pa.array(kept, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.filter(100 * least >= percent * most).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``digest, component`` (the least digest) for everything that has a link.
+    """Stored ``id, component`` (the least id) for all that have a link, but the least.
 
     Large-star and small-star steps, each a minimum per node, until nothing changes; the
     links shrink to one star per component.
@@ -314,20 +408,95 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("least"))
-        least = least.select("u", F.least("u", "least").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Stored, so that a node of very many links can be split when it is joined.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = both.join(least.select("u", F.least("u", "m").alias("m")), "u")
+        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u != v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array("u", "v")).alias("x"), "m")
-        small = small.filter("x != m").distinct()
-        edges = materialize(small.select(F.col("x").alias("u"), F.col("m").alias("v")), "edges")
-        sums = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sums == before:
+        small = small.filter("x != m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
+        seen = Observation()
+        hashes = F.xxhash64("u", "v").cast("decimal(38,0)")
+        new = materialize(small.observe(seen, F.count("*").alias("n"), F.sum(hashes).alias("sum")), "edges")
+        discard(edges, least)
+        edges = new
+        if seen.get == before:
+            return _named(edges, "id", "component")
+        before = seen.get
+
+
+def _named(stored: DataFrame, *names: str) -> DataFrame:
+    """A stored table under other column names, which can still be discarded."""
+    found = stored.toDF(*names)
+    found.scratch_path = stored.scratch_path
+    return found
+
+
+def _with_component(table: DataFrame, stars: DataFrame | None) -> DataFrame:
+    """The table with the component of its ``id``; without a link, this is the id."""
+    plain = table.drop("component")
+    if stars is None:
+        return plain.withColumn("component", F.col("id"))
+    return plain.join(stars, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _merged(
+    entries: DataFrame, classes: DataFrame, stars: DataFrame | None, percent: int, rounds: int
+) -> DataFrame | None:
+    """Components after rounds in which each class is compared with one of its buckets' hubs.
+
+    A bucket's hub is the member with the fewest odd tokens, in another order of equals in
+    each round: of a group of copies, the one nearest to what they are copies of, which
+    most of them are linked to. A class takes the hub it shares most buckets with in the
+    first round and any of its hubs in later ones; hubs in its own component don't count.
+    """
+    for number in range(rounds):
+        named = _with_component(entries, stars)
+        rank = F.struct("odd", F.xxhash64("id", F.lit(number)).alias("rank"), "id", "component")
+        hubs = named.groupBy("signature").agg(F.min(rank).alias("hub"))
+        hubs = hubs.select("signature", F.col("hub.id").alias("b"), F.col("hub.component").alias("of"))
+        hubs = materialize(hubs, "hubs")
+        met = named.join(hubs, "signature").filter("component != of")
+        shared = met.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"))
+        order = F.xxhash64("a", "b", F.lit(number))
+        best = F.struct(*([] if number else ["shared"]), order.alias("order"), "b")
+        pairs = shared.groupBy("a").agg(F.max(best).alias("best")).select("a", F.col("best.b").alias("b"))
+        new = materialize(_linked(pairs, classes, percent), "links")
+        discard(hubs)
+        if new.isEmpty():
+            discard(new)
             break
-        before = sums
-    tops = edges.select(F.col("v").alias("digest"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("digest"), F.col("v").alias("component")).union(tops)
+        before = stars
+        if before is not None:
+            star = before.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            stars = components(new.union(star))
+            discard(before, new)
+        else:
+            stars = components(new)
+            discard(new)
+    return stars
+
+
+def _apart(entries: DataFrame) -> DataFrame:
+    """Stored entries of the buckets whose members are in several components."""
+    ends = entries.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = materialize(ends.filter("low != high").select("signature"), "mixed")
+    found = materialize(entries.join(mixed, "signature", "left_semi"), "apart")
+    discard(mixed)
+    return found
+
+
+def _pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of a bucket that are apart and may be linked."""
+    met = entries.alias("l").join(
+        entries.alias("r"),
+        (F.col("l.signature") == F.col("r.signature"))
+        & (F.col("l.id") < F.col("r.id"))
+        & (F.col("l.component") != F.col("r.component"))
+        & _may_link(percent, "l", "r"),
+    )
+    return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -346,71 +515,53 @@ def near_duplicates(
     A text of fewer words than ``size`` is one shingle; a text without words, or missing,
     has none and is linked with nothing. Rows with equal texts are linked, whatever their
     keys; a row with a missing key takes part, and a component of such rows alone has a
-    missing id. Other columns are not read. An empty table gives no rows.
+    missing id. Other columns are not read. An empty table gives no rows. ``percent`` must
+    be above 50.
     """
+    if percent <= 50:
+        raise ValueError("sets that share one token only may be linked at 50 % or less")
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    buckets = max(1, -(-text_bytes(docs, text) // bucket_bytes))
+    block_bytes, bucket_bytes, buckets = fan_out(text_bytes(docs, text), block_bytes, bucket_bytes)
     kind = rows.schema["key"].dataType.simpleString()
     sets = _sets(rows, size, buckets, block_bytes)
-    found = _documents(sets, kind, percent)
+    stored = _documents(sets, kind, percent, rare)
     discard(sets)
+    found = materialize(stored.select("key", "n", "digest"), "keys")
+    filled = stored.filter("n > 0").groupBy("digest")
+    named = materialize(filled.agg(F.min("id").alias("id"), F.min("key").alias("least")), "named")
     classes = materialize(
-        found.filter("tokens IS NOT NULL").groupBy("digest").agg(
-            F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("documents").alias("documents")
-        ),
+        stored.filter("tokens IS NOT NULL")
+        .select("id", "n", "tokens", "rare", "odd")
+        .join(named.select("id"), "id", "left_semi"),
         "classes",
     )
-    index = _signatures(classes, percent, rare)
-    counts = index.groupBy("signature").agg(F.count("*").alias("members")).filter("members > 1")
-    index = materialize(index.join(counts.select("signature"), "signature"), "index")
-    links, component = None, None
-    for number in range(hub_rounds):
-        apart = _apart(index, component)
-        order = F.xxhash64("digest", "signature", F.lit(number))
-        chosen = F.min_by(F.struct("digest", "n", "own", "component", *_MAPS), F.struct(order, "digest"))
-        hubs = apart.groupBy("signature").agg(chosen.alias("hub")).select("signature", "hub.*")
-        new = materialize(_linked(_pairs(apart, hubs, percent, "l.digest != r.digest"), classes, percent), "links")
-        if new.isEmpty():
-            break
-        links = new if links is None else links.union(new)
-        component = materialize(components(links), "components")
-    apart = _apart(index, component)
-    pairs = _pairs(apart, apart, percent, "l.digest < r.digest")
-    new = materialize(_linked(pairs, classes, percent), "links")
-    links = new if links is None else links.union(new)
-    component = components(links)
-    named = found.select("key", "n", "digest").join(component, "digest", "left").withColumn(
-        "component", F.when(F.col("n") > 0, F.coalesce("component", "digest"))
-    )
-    least = named.filter("n > 0").groupBy("component").agg(F.min("key").alias("least"))
-    linked = named.filter("n > 0").join(least, "component").select("key", "n", "least")
-    alone = named.filter("n = 0").select("key", "n", F.col("key").alias("least"))
+    discard(stored)
+    bands = materialize(_bands(classes), "bands")
+    stars = _merged(bands, classes, None, percent, hub_rounds)
+    discard(bands)
+    index = materialize(_index(_with_component(classes, stars), percent), "index")
+    apart = _apart(index)
+    discard(index)
+    if not apart.isEmpty():
+        stars = _merged(apart, classes, stars, percent, hub_rounds)
+        rest = _apart(_with_component(apart, stars))
+        wide = materialize(rest.join(_profiles(classes), "id"), "wide")
+        new = materialize(_linked(_pairs(wide, percent), classes, percent), "links")
+        if not new.isEmpty():
+            old = [] if stars is None else [stars.select(F.col("id").alias("a"), F.col("component").alias("b"))]
+            stars = components(reduce(DataFrame.union, old, new))
+        discard(rest, wide, new)
+    discard(apart, classes)
+    # Both sides of these joins are stored, so that a hot component or text can be split.
+    members = materialize(_with_component(named, stars).select("digest", "component", "least"), "members")
+    tops = materialize(members.groupBy("component").agg(F.min("least").alias("top")), "tops")
+    answer = materialize(members.join(tops, "component").select("digest", "top"), "answer")
+    discard(named, members, tops)
+    linked = found.filter("n > 0").join(answer, "digest").select("key", "n", "top")
+    alone = found.filter("n = 0").select("key", "n", F.col("key").alias("top"))
     return linked.union(alone).select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id")
-    )
-
-
-def _apart(index: DataFrame, component: DataFrame | None) -> DataFrame:
-    """Entries of buckets whose members are in several components, with these."""
-    if component is None:
-        return index.withColumn("component", F.col("digest"))
-    named = index.join(component, "digest", "left").withColumn(
-        "component", F.coalesce("component", "digest")
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("top").alias("component_id")
     )
-    ends = named.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return named.join(ends.filter("low != high").select("signature"), "signature")
-
-
-def _pairs(entries: DataFrame, others: DataFrame, percent: int, which: str) -> DataFrame:
-    """Distinct pairs ``a, b`` of a bucket that are apart and may be linked."""
-    met = entries.alias("l").join(
-        others.alias("r"),
-        (F.col("l.signature") == F.col("r.signature"))
-        & F.expr(which)
-        & (F.col("l.component") != F.col("r.component"))
-        & _may_link(percent, "l", "r"),
-    )
-    return met.select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b")).distinct()
 
 
 def drop_near_duplicates(
@@ -418,17 +569,22 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """One row of each component, the one with the least key; all columns as they were.
 
-    Rows without words all stay. Of rows with equal keys in a component the first one read
-    stays; a missing key is the least. ``docs`` must be read from files, in the same order
-    each time.
+    Rows without words all stay. Of rows with equal keys in a component one stays, always
+    the same; a missing key is the least. ``docs`` must be read from Parquet files without
+    a shuffle: rows are told apart by file and position in it, which hold however the files
+    are split among tasks.
     """
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    plain = plain.withColumn("row", F.monotonically_increasing_id())
+    place = docs.metadataColumn("_metadata")
+    plain = docs.select(
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)),
+        F.xxhash64(place["file_path"]).alias("file"),
+        place["row_index"].alias("place"),
+    )
     name, content = (f"c{docs.columns.index(c)}" for c in (key, text))
-    ranked = plain.select(F.struct(F.col(name).alias("key"), "row").alias("rank"), content)
+    ranked = plain.select(F.struct(F.col(name).alias("key"), "file", "place").alias("rank"), content)
     found = near_duplicates(ranked, "rank", content, size, percent)
-    stay = found.filter("n_shingles = 0 OR component_id <=> rank").select("rank.row")
-    return plain.join(stay, "row", "left_semi").drop("row").toDF(*docs.columns)
+    stay = found.filter("n_shingles = 0 OR component_id <=> rank").select("rank.file", "rank.place")
+    return plain.join(stay, ["file", "place"], "left_semi").drop("file", "place").toDF(*docs.columns)
 
 
 _SQL = r"""

@@ -29,7 +29,18 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rostrum.llm.common import END, HASH_BYTES, freeing, mix64, remainder, sliced, table, text_bytes, word_hashes
+from rostrum.llm.common import (
+    END,
+    HASH_BYTES,
+    fan_out,
+    freeing,
+    mix64,
+    remainder,
+    sliced,
+    table,
+    text_bytes,
+    word_hashes,
+)
 from rostrum.llm.packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 from rostrum.llm.registry import query
 from rostrum.session import materialize
@@ -270,7 +281,7 @@ def score_texts(
         F.col(f"`{text}`").alias("text"),
         F.coalesce(F.lit(True) if learn is None else learn, F.lit(False)).alias("learn"),
     )
-    buckets = max(1, -(-text_bytes(docs, text) // bucket_bytes))
+    block_bytes, bucket_bytes, buckets = fan_out(text_bytes(docs, text), block_bytes, bucket_bytes)
     kind = rows.schema["key"].dataType.simpleString()
     requests = _requests(rows, order, buckets, block_bytes)
     answers = _answers(requests)
