@@ -24,6 +24,9 @@ _MODULES = (
     "token_files",
     "packing",
     "jaccard_join",
+    "alignment",
+    "exact_search",
+    "prefix_trie",
 )
 
 

@@ -144,6 +144,6 @@ def test_entry_lists_the_queries():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
     assert {"pipeline"} | {n for n in names if n.startswith("op")} <= names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert set(entry.oracle_sql()) <= names
     assert F is not None and "corpus_pipeline" in sys.modules
