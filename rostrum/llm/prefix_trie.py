@@ -432,7 +432,7 @@ u AS (
   SELECT f.p[1:d] AS p, d AS depth, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves
   FROM f, unnest(generate_series(0, f.depth)) AS g(d) GROUP BY 1, 2
 )
-SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves,
+SELECT f.conv_id, f.depth, CAST(q.conv_id AS DOUBLE) AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves,
   CAST(u.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
 FROM f JOIN u ON u.depth = f.depth AND u.p = f.p
 LEFT JOIN n q ON q.depth = f.depth - 1 AND q.p = f.p[1:f.depth - 1]
