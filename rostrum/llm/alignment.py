@@ -24,6 +24,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,18 +71,21 @@ class Aligner:
         self.first.encode_special_tokens = True
         letters = _byte_letters()
         vocabulary = self.first.get_vocab()
-        self.first_bytes: list[bytes | None] = [None] * (max(vocabulary.values()) + 1)
+        # A special token has no bytes of a text.
+        self.first_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             if all(c in letters for c in token):
                 self.first_bytes[i] = bytes(letters[c] for c in token)
         self.second = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
-        self.second_bytes: list[bytes | None] = []
+        self.second_bytes: list[bytes] = []
         for i, piece in enumerate(pieces):
             byte = re.fullmatch(r"<0x([0-9A-F]{2})>", piece) if self.second.is_byte(i) else None
             self.second_bytes.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
+        self.first_sizes, self.second_sizes = (np.array([*map(len, x)]) for x in (self.first_bytes, self.second_bytes))
+        self.decimal = [*map(str, range(max(len(self.first_bytes), len(self.second_bytes))))]
         # A piece that crosses from a letter or mark to a blank would undo the cut into units.
-        crossing = [t for t in (*self.first_bytes, *self.second_bytes) if t and re.search(rb"[^ \t-\r\x1c-\x1f\x85\xa0] ", t)]
+        crossing = [t for t in (*self.first_bytes, *self.second_bytes) if re.search(rb"[^ \t-\r\x1c-\x1f\x85\xa0] ", t)]
         self.cuts = not crossing
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
@@ -126,50 +130,74 @@ class _Units:
         self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(count, dtype=np.int64) for _ in range(4))
         self.valid = np.zeros(count, dtype=bool)
         self.spelled = np.full(count, "", dtype=object)
-        links: list[np.ndarray] = []
+        links: list[np.ndarray] = [np.empty(0, dtype=np.uint64)]
         for start in range(0, count, UNITS_AT_ONCE):
             part = units[start : start + UNITS_AT_ONCE]
-            firsts, seconds = tools.encode(part)
-            good = []
-            for k, (unit, a, b) in enumerate(zip(part, firsts, seconds, strict=True)):
-                wanted = b" " + unit.encode()
-                a_bytes, b_bytes = [tools.first_bytes[i] for i in a], [tools.second_bytes[i] for i in b]
-                if None not in a_bytes and b"".join(a_bytes) == wanted and b"".join(b_bytes) == wanted:
-                    good.append(k)
-            self.valid[start + np.array(good, dtype=np.int64)] = True
-            links.append(self._align(tools, start, firsts, seconds, good))
-        self.links = np.concatenate(links) if links else np.empty(0, dtype=np.uint64)
-
-    def _align(self, tools: Aligner, start: int, firsts: list, seconds: list, good: list[int]) -> np.ndarray:
+            sides = tools.encode(part)
+            good = _given_back(tools, part, *sides)
+            at = start + good
+            self.valid[at] = True
+            if len(good) < len(part):
+                sides = tuple([ids[k] for k in good.tolist()] for ids in sides)
+            if len(good):
+                links.append(self._align(tools, at, *sides))
+        self.links = np.concatenate(links)
+
+    def _align(self, tools: Aligner, at: np.ndarray, firsts: list[list[int]], seconds: list[list[int]]) -> np.ndarray:
         """Counts and spellings of the units; returns their linked pairs, unit after unit."""
-        if not good:
-            return np.empty(0, dtype=np.uint64)
-        at = start + np.array(good)
-        a_sizes, b_sizes = (np.array([len(ids[k]) for k in good]) for ids in (firsts, seconds))
-        a, b = (np.concatenate([np.array(ids[k], dtype=np.int64) for k in good]) for ids in (firsts, seconds))
-        a_ends = np.cumsum(np.array([len(t or b"") for t in tools.first_bytes])[a])
-        b_ends = np.cumsum(np.array([len(t or b"") for t in tools.second_bytes])[b])
+        a_sizes, b_sizes = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (firsts, seconds))
+        a, b = _flat(firsts), _flat(seconds)
+        a_ends, b_ends = np.cumsum(tools.first_sizes[a]), np.cumsum(tools.second_sizes[b])
         a_label, b_label, first, last = group_ends(a_ends, b_ends)
-        a_unit, b_unit = np.repeat(np.arange(len(good)), a_sizes), np.repeat(np.arange(len(good)), b_sizes)
+        a_unit, b_unit = np.repeat(np.arange(len(at)), a_sizes), np.repeat(np.arange(len(at)), b_sizes)
         terminal = np.flatnonzero(b_label == np.arange(len(b)))
         degree = last - first + 1
         self.n_a[at], self.n_b[at] = a_sizes, b_sizes
-        self.n_groups[at] = np.bincount(b_unit[terminal], minlength=len(good))
-        self.n_links[at] = np.bincount(a_unit, weights=degree, minlength=len(good)).astype(np.int64)
-        a_group, b_group = (np.searchsorted(terminal, label) for label in (a_label, b_label))
-        a_cuts = np.append(np.searchsorted(a_group, np.arange(len(terminal))), len(a)).tolist()
-        b_cuts = np.append(np.searchsorted(b_group, np.arange(len(terminal))), len(b)).tolist()
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups = [
-            ",".join(a_text[a_cuts[g] : a_cuts[g + 1]]) + "|" + ",".join(b_text[b_cuts[g] : b_cuts[g + 1]])
-            for g in range(len(terminal))
-        ]
-        ends = np.cumsum(self.n_groups[at]).tolist()
-        for k, (begin, end) in zip(at.tolist(), zip([0, *ends], ends), strict=False):
-            self.spelled[k] = ";".join(groups[begin:end])
+        self.n_groups[at] = np.bincount(b_unit[terminal], minlength=len(at))
+        self.n_links[at] = np.bincount(a_unit, weights=degree, minlength=len(at)).astype(np.int64)
+        # All tokens by group, those of A first; what follows each tells where groups and units end.
+        group = np.concatenate([np.searchsorted(terminal, label) for label in (a_label, b_label)])
+        order = np.argsort(2 * group + np.repeat([0, 1], [len(a), len(b)]), kind="stable")
+        ids, group = np.concatenate((a, b))[order].tolist(), group[order]
+        side, unit = order >= len(a), np.concatenate((a_unit, b_unit))[order]
+        mark = np.where(side[1:] != side[:-1], 1, 0)
+        mark[group[1:] != group[:-1]] = 2
+        mark[unit[1:] != unit[:-1]] = 3
+        marks = [",|;\n"[k] for k in mark.tolist()]
+        spelled = [""] * (2 * len(ids) - 1)
+        spelled[::2], spelled[1::2] = [tools.decimal[i] for i in ids], marks
+        self.spelled[at] = "".join(spelled).split("\n")
         return (np.repeat(a, degree).astype(np.uint64) << np.uint64(32)) | b[expand(first, degree)].astype(np.uint64)
 
 
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int64)
+
+
+def _given_back(tools: Aligner, units: list[str], firsts: list[list[int]], seconds: list[list[int]]) -> np.ndarray:
+    """Places of the units that both tokenizers give back byte for byte, after a blank."""
+    wanted = [b" " + u.encode() for u in units]
+    sizes = np.fromiter(map(len, wanted), np.int64, len(wanted))
+    whole, same = b"".join(wanted), True
+    for lists, spelled, lengths in (
+        (firsts, tools.first_bytes, tools.first_sizes),
+        (seconds, tools.second_bytes, tools.second_sizes),
+    ):
+        ids = _flat(lists)
+        ends = np.append(0, np.cumsum(lengths[ids]))[np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))]
+        same = same and np.array_equal(ends, np.cumsum(sizes)) and b"".join([spelled[i] for i in ids.tolist()]) == whole
+    if same:
+        return np.arange(len(units))
+    return np.array(
+        [
+            k
+            for k, (unit, a, b) in enumerate(zip(wanted, firsts, seconds, strict=True))
+            if b"".join([tools.first_bytes[i] for i in a]) == unit == b"".join([tools.second_bytes[i] for i in b])
+        ],
+        dtype=np.int64,
+    )
+
+
 def _cut(texts: pa.Array, cuts: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct units of the texts, the units of all texts in order, and how many each text has.
 
@@ -210,7 +238,8 @@ def _cut(texts: pa.Array, cuts: bool) -> tuple[list[str], np.ndarray, np.ndarray
 
 def _distinct(owner: np.ndarray, value: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct combinations of an owner and a value below ``values``."""
-    joined = np.unique(owner.astype(np.int64) * values + value)
+    joined = np.sort(owner.astype(np.int64) * values + value)
+    joined = joined[np.append(True, joined[1:] != joined[:-1])[: len(joined)]]
     return joined // values, joined % values
 
 

@@ -243,12 +243,12 @@ def top_products(
     blocks = candidates.withColumn("block", F.floor(F.col("number") / candidate_rows))
     asking = number_by_key(blocks.filter("asks").drop("asks", "block"), ["number"], name="place")
     queries = asking.withColumn("query_block", F.floor(F.col("place") / query_rows)).drop("place")
-    sizes = materialize(queries.groupBy("query_block").agg(F.min("length").alias("least")), "query_blocks")
+    asked = queries.select(F.lit(0).cast("long").alias("block"), "query_block").distinct()
+    opening = materialize(asked, "pairs")
     longest = materialize(blocks.groupBy("block").agg(F.max("length").alias("longest")), "blocks")
 
     open_queries = queries.withColumns({"reach": F.lit(None).cast("double"), "reach_key": F.lit(None).cast("long")})
-    pairs = sizes.select(F.lit(0).cast("long").alias("block"), "query_block")
-    first = materialize(_meet(blocks.filter("block = 0"), open_queries, pairs, rotation, k), "first")
+    first = materialize(_meet(blocks, open_queries, opening, rotation, k), "first")
     reach = _ranked(first, k).filter(F.col("rank") == k).select(
         F.col("query").alias("number"),
         F.col("score").cast("double").alias("reach"),
@@ -270,7 +270,7 @@ def top_products(
     result = materialize(
         best.join(named, "query").select("query_id", "rank", F.col("key").alias("vec_id"), "score"), "found"
     )
-    discard(stored, candidates, asking, sizes, longest, first, bounded, rest)
+    discard(stored, candidates, asking, opening, longest, first, bounded, rest)
     return result
 
 
