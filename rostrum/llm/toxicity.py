@@ -32,13 +32,14 @@ WINDOW = 8
 # Labelled rows that are learned from, and the longest text among them: what the driver holds.
 TRAINING_ROWS = 12_000
 TRAINING_TEXT = 64 << 10
-# A word belongs to the toxic dictionary if at least so many unlike texts have it, so many
+# A word belongs to the toxic dictionary if at least so many texts have it, so many
 # standard deviations more of the toxic ones than chance gives, and so many times their share.
-LEAST_TEXTS, LEAST_DEVIATIONS, LEAST_RATIO = 5, 6.0, 20
+LEAST_TEXTS, LEAST_DEVIATIONS, LEAST_RATIO = 5, 10.0, 10
 OWN_BYTES, COMMON_BYTES = 8 << 10, 8000
 # Windows of ordinary texts that zstandard's trainer sees.
 SAMPLES = 60_000
-LARGEST = 6
+# A window counts as toxic from so many bytes saved on.
+LEAST_SAVED = 3
 
 # A-Z in lower case, other letters' bytes as they are, anything else separates words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -86,23 +87,24 @@ def _compressors(model: Model) -> tuple[zstandard.ZstdCompressor, zstandard.Zstd
     return pair[0], pair[1]
 
 
-def features(model: Model, text: str) -> list[float]:
-    """The largest savings of the text's windows, how many are large, and its length.
+def savings(model: Model, windows: list[bytes]) -> np.ndarray:
+    """Bytes that the toxic dictionary saves on every window.
 
     The lead, which both dictionaries hold, makes every window long enough for zstandard
     to code it instead of storing it.
     """
     toxic, ordinary = _compressors(model)
+    framed = [model.lead + b" " + window + b" " for window in windows]
+    return np.array([len(ordinary.compress(f)) - len(toxic.compress(f)) for f in framed], dtype=np.int64)
+
+
+def features(model: Model, text: str) -> list[float]:
+    """The three largest savings, how many windows save enough and their share, the length."""
     windows = windows_of(text, model.size)
-    saved = sorted(
-        (
-            len(ordinary.compress(framed)) - len(toxic.compress(framed))
-            for framed in (model.lead + b" " + window + b" " for window in windows)
-        ),
-        reverse=True,
-    )[:LARGEST]
-    most = [*saved, 0, 0, 0]
-    return [*most[:3], sum(s >= 3 for s in saved), float(np.log1p(len(windows)))]
+    saved = np.sort(savings(model, windows))[::-1]
+    most = [*saved[:3].tolist(), 0, 0, 0][:3]
+    many = int(np.count_nonzero(saved >= LEAST_SAVED))
+    return [*map(float, most), float(np.log1p(many)), many / max(1, len(saved)), float(np.log1p(len(saved)))]
 
 
 def score_text(model: Model, text: str) -> float:
@@ -110,28 +112,34 @@ def score_text(model: Model, text: str) -> float:
     return float(1 / (1 + np.exp(-(weights[0] + weights[1:] @ np.array(features(model, text))))))
 
 
-def _unlike(texts: list[str], seeds: int = 6) -> list[int]:
-    """Places of texts that share none of their smallest word-pair hashes with one before."""
-    seen: list[set[int]] = [set() for _ in range(seeds)]
-    kept = []
+def _groups(texts: list[str], seeds: int = 6) -> list[int]:
+    """For every text the first one it is a near copy of, or itself.
+
+    Near copies have most of their smallest word-pair hashes in common with one text; texts
+    that merely share a passage have not.
+    """
+    first: list[dict[int, int]] = [{} for _ in range(seeds)]
+    of = []
     for i, text in enumerate(texts):
         words = _words(text)
         pairs = {a + b" " + b for a, b in zip(words, words[1:], strict=False)} or set(words)
         smallest = [min((zlib.crc32(p, s) for p in pairs), default=0) for s in range(seeds)]
-        if not any(value in own for value, own in zip(smallest, seen, strict=True)):
-            kept.append(i)
-        for value, own in zip(smallest, seen, strict=True):
-            own.add(value)
-    return kept
+        met = Counter(own[value] for own, value in zip(first, smallest, strict=True) if value in own)
+        like, times = max(met.items(), key=lambda x: (x[1], -x[0]), default=(i, 0))
+        of.append(like if 3 * times >= 2 * seeds else i)
+        for own, value in zip(first, smallest, strict=True):
+            own.setdefault(value, of[-1])
+    return of
 
 
 def _toxic_words(texts: list[str], labels: list[int]) -> list[bytes]:
-    """Words far more frequent in unlike toxic texts, the most telling first."""
+    """Words far more frequent in toxic texts, the most telling first; near copies count once."""
     counts = (Counter(), Counter())
     totals = [0, 0]
-    for i in _unlike(texts):
-        counts[labels[i]].update(set(_words(texts[i])))
-        totals[labels[i]] += 1
+    for i, first in enumerate(_groups(texts)):
+        if i == first:
+            counts[labels[i]].update(set(_words(texts[i])))
+            totals[labels[i]] += 1
     ordinary, toxic = totals
     ranked = []
     for word, n in counts[1].items():
@@ -203,10 +211,11 @@ def train(
     max_rows: int = TRAINING_ROWS,
     max_text: int = TRAINING_TEXT,
 ) -> Model | None:
-    """Fit on about ``max_rows`` labelled rows at most, chosen by a hash of their key.
+    """Fit on at most ``max_rows`` labelled texts, chosen by a hash of their key.
 
     Rows without text, key or a label of 0 or 1, and texts over ``max_text`` bytes, are
-    not learned from; a key with several labels counts as toxic if one says so.
+    not learned from; a key, or a text of several rows, with several labels counts as toxic
+    if one says so. Equal texts count once, so a repeated row weighs no more than another.
     """
     known = (
         labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label"))
@@ -220,7 +229,10 @@ def train(
     rows = (
         texts.filter(F.octet_length("text") <= max_text)
         .join(F.broadcast(chosen), "key")
-        .orderBy("key", "text")
+        .groupBy(F.sha2("text", 256).alias("digest"))
+        .agg(F.max("label").alias("label"), F.min("text").alias("text"))
+        .orderBy("digest")
+        .limit(max_rows)
         .collect()
     )
     return fit([r["text"] for r in rows], [r["label"] for r in rows])

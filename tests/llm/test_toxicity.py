@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rostrum.llm.toxicity import features, fit, score, score_text, train, windows_of
+from rostrum.llm.toxicity import _compressors, _groups, features, fit, score, score_text, train, windows_of
 
 VOCABULARY = ["".join(random.Random(i).choices("abcdefgh", k=6)) for i in range(300)]
 
@@ -43,10 +44,60 @@ def test_dictionaries_differ_in_their_first_part_alone(model):
 
 def test_toxic_windows_save_bytes(model):
     saved = features(model, "wretched vermin scoundrel")
-    assert saved[0] >= 5 and saved[1:4] == [0, 0, 1]
+    assert saved[0] >= 5 and saved[1:] == pytest.approx([0, 0, math.log(2), 1, math.log(2)])
     assert features(model, "")[:4] == [0, 0, 0, 0]
 
 
+def test_features_count_all_windows(model):
+    """Every window is compressed for itself and counts, however many there are."""
+
+    def plain(text):
+        toxic, ordinary = _compressors(model)
+        saved = []
+        for window in windows_of(text, model.size):
+            framed = model.lead + b" " + window + b" "
+            saved.append(len(ordinary.compress(framed)) - len(toxic.compress(framed)))
+        many = sum(s >= 3 for s in saved)
+        most = sorted(saved, reverse=True) + [0, 0, 0]
+        return [*most[:3], math.log1p(many), many / max(1, len(saved)), math.log1p(len(saved))]
+
+    rng = random.Random(7)
+    words = rng.choices(VOCABULARY, k=8000)
+    few = [*words[:-24], *["vermin"] * 24]
+    many = ["wretched vermin scoundrel" if i % 8 == 0 else w for i, w in enumerate(words)]
+    for text in ("", "one", " ".join(words), " ".join(few), " ".join(many), "vermin " * 20000):
+        assert features(model, text) == pytest.approx(plain(text))
+    assert features(model, " ".join(many))[3] > features(model, " ".join(few))[3] + 3
+
+
+def test_near_copies_are_one_group():
+    rng = random.Random(2)
+    base = rng.choices(VOCABULARY, k=400)
+    other = [*rng.choices(VOCABULARY, k=400), *base[:40]]
+    copy = [*base[:200], "changed", *base[201:]]
+    assert _groups([" ".join(t) for t in (base, other, copy, base, [])]) == [0, 1, 0, 0, 4]
+
+
+def test_a_repeated_row_is_learned_from_once(spark, monkeypatch):
+    from rostrum.llm import toxicity
+
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: taken.append((texts, labels)))
+    rows = [(1, "hot text")] * 3000 + [(1, f"other text {i}") for i in range(40)] + [(2, "plain"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0)], "doc_id long, toxic int")
+    train(docs, labels)
+    train(docs, labels, max_rows=7)
+    (texts, labels), (some, _) = taken
+    assert len(texts) == 42 and labels.count(0) == 1 and len(some) <= 7
+
+
+def test_empty_table(spark, documents, model):
+    empty = documents([]).drop("score")
+    assert score(empty, model).collect() == []
+    assert train(empty, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) is None
+
+
 def test_unseen_texts(model):
     found, labels = texts(300, 2)
     right = sum((score_text(model, t) >= 0.5) == bool(y) for t, y in zip(found, labels, strict=True))
