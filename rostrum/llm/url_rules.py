@@ -2,7 +2,9 @@
 
 Listed rules (host, path, verdict) decide the URLs they fit and so label them. Spark's
 FP-growth mines token combinations that go with a verdict; rules short of support or
-confidence, and rules that a shorter one makes needless, go. A URL that no listed rule
+confidence, and rules that a shorter one makes needless, go. What would multiply rules
+without changing a verdict is not mined: a token that always goes with one verdict is a rule
+by itself, and tokens that always occur together are mined as one. A URL that no listed rule
 fits is judged by the mined rules it contains, which an inverted index from each rule's
 rarest token finds.
 """
@@ -70,7 +72,7 @@ def listed_rule(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
 
 
 def url_tokens() -> Column:
-    """At most seven tokens of a URL's outline, from ``__url``, ``host`` and ``path``.
+    """Tokens of a URL's outline, from ``__url``, ``host`` and ``path``.
 
     Scheme, top level and registered domain, first host label, first path segment, shape
     of the rest of the path (digits as one 0, letters as they are) and the kind of what
@@ -120,6 +122,53 @@ def part_tokens() -> Column:
     )
 
 
+def _token_classes(labelled: DataFrame, total: int, min_support: float) -> DataFrame:
+    """Stored ``token, support, low, high, class`` of the tokens that have the support.
+
+    ``low`` and ``high`` are the first and last verdict of the token's rows. Tokens of the
+    same rows have the same class, the first of them.
+    """
+    row = F.monotonically_increasing_id()
+    marked = labelled.select(row.alias("row"), "verdict", F.explode("tokens").alias("token"))
+    found = marked.groupBy("token").agg(
+        F.count("*").alias("n"),
+        F.min("verdict").alias("low"),
+        F.max("verdict").alias("high"),
+        F.bit_xor(F.xxhash64("row")).alias("rows"),
+        F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("others"),
+    )
+    frequent = materialize(found.filter(F.col("n") >= min_support * total), "tokens")
+    classes = frequent.groupBy("n", "rows", "others").agg(F.min("token").alias("class"))
+    return materialize(
+        frequent.join(classes, ["n", "rows", "others"]).select(
+            "token", (F.col("n") / max(1, total)).alias("support"), "low", "high", "class"
+        ),
+        "classes",
+    )
+
+
+def _of_tokens(rules: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Rules on classes as rules on tokens: one for every choice of a token of each class."""
+    members = tokens.groupBy("class").agg(F.collect_list("token").alias("members"))
+    named = rules.withColumn("rule", F.monotonically_increasing_id())
+    listed = (
+        named.select("rule", "verdict", "confidence", "support", F.explode("tokens").alias("class"))
+        .join(members, "class")
+        .groupBy("rule", "verdict", "confidence", "support")
+        .agg(F.collect_list("members").alias("lists"))
+    )
+    choices = F.aggregate(
+        "lists",
+        F.array(F.array().cast("array<string>")),
+        lambda chosen, own: F.flatten(
+            F.transform(chosen, lambda some: F.transform(own, lambda one: F.array_append(some, one)))
+        ),
+    )
+    return listed.withColumn("tokens", F.explode(choices)).select(
+        F.array_sort("tokens").alias("tokens"), "verdict", "confidence", "support"
+    )
+
+
 def mine_rules(
     labelled: DataFrame,
     min_support: float = MIN_SUPPORT,
@@ -131,16 +180,32 @@ def mine_rules(
     rule on fewer of its tokens has the same verdict and no less confidence. No labelled
     row gives no rule.
     """
+    total = labelled.count()
+    tokens = _token_classes(labelled, total, min_support)
+    # Rules of a token that always goes with one verdict: no longer rule can be surer.
+    sure = tokens.filter("low = high").select(
+        F.array("token").alias("tokens"), F.col("low").alias("verdict"), F.lit(1.0).alias("confidence"), "support"
+    )
+    mixed = tokens.filter("low != high")
+    # At most (tokens of a row) / min_support tokens are frequent.
+    baskets = (
+        labelled.select(F.monotonically_increasing_id().alias("row"), "verdict", F.explode("tokens").alias("token"))
+        .join(F.broadcast(mixed.select("token", "class")), "token")
+        .groupBy("row", "verdict")
+        .agg(F.collect_set("class").alias("tokens"))
+    )
     said = F.concat(F.lit("verdict="), F.col("verdict"))
-    baskets = labelled.select(F.array_append("tokens", said).alias("items"))
-    model = FPGrowth(minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    baskets = materialize(baskets.select(F.array_append("tokens", said).alias("items")), "baskets")
+    some = max(1, baskets.count())
+    support = min(1.0, min_support * total / some)
+    model = FPGrowth(minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(
         F.element_at("consequent", 1).startswith("verdict=")
     ).select(
         F.array_sort("antecedent").alias("tokens"),
         F.substring_index(F.element_at("consequent", 1), "=", -1).alias("verdict"),
         "confidence",
-        "support",
+        (F.col("support") * some / max(1, total)).alias("support"),
     )
     rules = materialize(rules, "rules")
     short = rules.select(
@@ -168,7 +233,7 @@ def mine_rules(
         F.expr("explode(sequence(1L, shiftleft(1L, size(tokens)) - 2))"),
     )
     parts = parts.withColumn("fewer", F.expr("filter(tokens, (t, i) -> getbit(subset, i) = 1)"))
-    kept = materialize(needed(left, parts), "rules")
+    kept = materialize(_of_tokens(needed(left, parts), mixed).unionByName(sure), "rules")
     counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count()
     rarest = (
         kept.select("tokens", F.explode("tokens").alias("token"))
