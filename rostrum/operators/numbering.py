@@ -209,7 +209,8 @@ def look_up(
     """Rows by position in key order, with ``row_id``, without storing the table.
 
     Keys and a hash of the row are numbered and stored; the rows with the keys found are
-    then filtered out of the table. Equal rows take the positions of each other.
+    then filtered out of the table, where they lie, before anything is shuffled. Equal rows
+    take the positions of each other. ``operators.positions`` serves many look-ups.
     """
     keys = list(order_by)
     tied = df.withColumn("__row", _row_tie(df))
@@ -219,7 +220,12 @@ def look_up(
     match = F.lit(True)
     for name in [*keys, "__row"]:
         match = match & F.col(f"t.`{name}`").eqNullSafe(F.col(f"f.`{name}`"))
-    once = tied.dropDuplicates([*keys, "__row"])
+    wanted = found.select(*keys, "__row").distinct()
+    if not isinstance(positions, (slice, DataFrame)):
+        # As many rows as the list has positions.
+        wanted = F.broadcast(wanted)
+    held = tied.alias("t").join(wanted.alias("f"), match, "left_semi")
+    once = held.dropDuplicates([*keys, "__row"])
     rows = once.alias("t").join(found.alias("f"), match)
     chosen = rows.select("f.__place", f"f.{ROW_ID}", *[F.col(f"t.`{c}`") for c in df.columns])
     return chosen.orderBy("__place").drop("__place")

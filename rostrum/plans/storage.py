@@ -13,6 +13,7 @@ from rostrum.corpus import Corpus
 from rostrum.operators import cleaning, splits
 from rostrum.operators.batches import with_shard_batches
 from rostrum.operators.features import with_topic_features
+from rostrum.operators.positions import build_index
 from rostrum.plans.registry import as_double, as_long, query, rounded
 from rostrum.plans.selection import STANDARD_COLUMNS, filter_counts_sql
 from rostrum.plans.rows import _NUMBERED, _flag_split_sql
@@ -27,7 +28,7 @@ from rostrum.plans.statistics import _BASIC, _tall
 from rostrum.plans.topics import FEATURE_SQL, feature_columns
 from rostrum.schema import TOPIC_COLUMNS
 from rostrum.session import filesystem_uri, make_folder, scratch_path
-from rostrum.sources import readers, writers
+from rostrum.sources import readers, shard_source, writers
 from rostrum.streaming import shards as streaming
 
 _ROWS = f"""SELECT doc_id, bonica_rid, bill_id, page_id, md5(text) AS text_md5,
@@ -258,6 +259,15 @@ def _several_shards(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _damage(spark: SparkSession, path: str) -> None:
+    """Overwrite the first bytes of a file."""
+    files, name = pyarrow.fs.FileSystem.from_uri(filesystem_uri(spark, path))
+    with files.open_input_file(name) as source:
+        data = source.read()
+    with files.open_output_stream(name) as target:
+        target.write(b"\xff" * 64 + data[64:])
+
+
 @query("shards_read", _SHARDED)
 def shards_read(spark, sf_dir):
     return with_shard_batches(readers.read_shards(spark, _several_shards(spark, sf_dir)))
@@ -300,12 +310,7 @@ SELECT printf('shard_%04d.parquet', n) AS shard, CASE WHEN n = 1 THEN 0 ELSE doc
 def shards_damaged(spark, sf_dir):
     """One shard loses its first bytes; it is reported, and none of its rows is read."""
     path = _several_shards(spark, sf_dir)
-    uri = f"{filesystem_uri(spark, path)}/shard_0001.parquet"
-    files, name = pyarrow.fs.FileSystem.from_uri(uri)
-    with files.open_input_file(name) as source:
-        data = source.read()
-    with files.open_output_stream(name) as target:
-        target.write(b"\xff" * 64 + data[64:])
+    _damage(spark, f"{path}/shard_0001.parquet")
     read = readers.read_shards(spark, path).groupBy("shard").agg(F.count("*").alias("documents"))
     bad = readers.damaged_shards(spark, path).select("shard", F.lit(True).alias("bad"))
     listed = readers.list_shards(spark, path).select("shard")
@@ -316,6 +321,65 @@ def shards_damaged(spark, sf_dir):
     )
 
 
+@query(
+    "indexed_lookup",
+    f"""{_NUMBERED}
+SELECT CAST(row_id AS BIGINT) AS row_id, doc_id, 'slice' AS kind FROM numbered
+WHERE row_id >= 10 AND row_id < 180 AND (row_id - 10) % 7 = 0
+UNION ALL SELECT CAST(row_id AS BIGINT), doc_id, 'list' FROM numbered JOIN (
+  SELECT unnest([0, 3, 3, 149, 150, 199, (SELECT count(*) - 1 FROM speeches)]) AS position
+) ON row_id = position
+UNION ALL SELECT CAST(row_id AS BIGINT), doc_id, 'single' FROM numbered WHERE row_id = 42""",
+)
+def indexed_lookup(spark, sf_dir):
+    """Rows by position from shards and their index, which names the files to open."""
+    index = build_index(spark, _several_shards(spark, sf_dir))
+    kinds = {"slice": slice(10, 180, 7), "list": [0, 3, 3, 149, 150, 199, -1], "single": 42}
+    found = [index.rows_at(p).select("row_id", "doc_id", F.lit(k).alias("kind")) for k, p in kinds.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    "shards_in_order",
+    f"""{_NUMBERED}, sharded AS (
+  SELECT printf('shard_%04d.parquet', CAST(row_id // 150 AS BIGINT)) AS shard, doc_id FROM numbered
+), named AS (
+  SELECT shard, row_number() OVER (ORDER BY md5('7:' || shard), shard) - 1 AS position
+  FROM (SELECT DISTINCT shard FROM sharded)
+), placed AS (
+  SELECT shard, doc_id,
+    row_number() OVER (PARTITION BY shard ORDER BY md5('7:' || doc_id), doc_id) - 1 AS row_id FROM sharded
+)
+SELECT shard, CAST(position AS BIGINT) AS position, CAST(position AS BIGINT) AS delivered,
+  CAST(row_id // 32 AS BIGINT) AS batch_id, CAST(row_id AS BIGINT) AS row_id, doc_id
+FROM placed JOIN named USING (shard)""",
+)
+def shards_in_order(spark, sf_dir):
+    """Batches of shards in shuffled order; the partition that delivers a shard is its position."""
+    shards = shard_source.read_in_order(spark, _several_shards(spark, sf_dir), shuffle=True, seed=7)
+    batched = shard_source.batches_in_order(shards, seed=7)
+    return batched.withColumn("delivered", F.spark_partition_id().cast("long"))
+
+
+@query(
+    "shards_read_once",
+    f"""{_NUMBERED}, sized AS (
+  SELECT CAST(row_id // 150 AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS documents FROM numbered GROUP BY 1
+)
+SELECT printf('shard_%04d.parquet', n) AS shard, n AS position,
+  CASE WHEN n = 1 THEN 0 ELSE documents END AS documents, n = 1 AS damaged FROM sized""",
+)
+def shards_read_once(spark, sf_dir):
+    """One pass gives the rows of sound shards and tells which one is damaged."""
+    path = _several_shards(spark, sf_dir)
+    _damage(spark, f"{path}/shard_0001.parquet")
+    shards = shard_source.read_in_order(spark, path)
+    return shards.groupBy("shard", "position").agg(
+        F.count_if(F.col("damage").isNull()).alias("documents"),
+        (F.count("damage") > 0).alias("damaged"),
+    )
+
+
 # ---- checks and reports ---------------------------------------------------------------
 
 
