@@ -378,9 +378,16 @@ def _may_link(percent: int, left: str, right: str) -> Column:
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose exact overlap is large enough."""
+    """Stored pairs ``a, b`` whose exact overlap is large enough.
+
+    Pairs, and the tokens of the classes they name second, are stored first: few are sent to
+    the tasks that read the classes, and the classes' tokens are shuffled only for many.
+    """
+    pairs = materialize(pairs, "pairs")
     tokens = classes.select("id", "n", "tokens")
-    both = pairs.join(tokens.toDF("a", "n_a", "tokens_a"), "a").join(tokens.toDF("b", "n_b", "tokens_b"), "b")
+    second = tokens.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
+    second = materialize(second, "second")
+    both = pairs.join(tokens.toDF("a", "n_a", "tokens_a"), "a").join(second.toDF("b", "n_b", "tokens_b"), "b")
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +401,10 @@ def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
             yield out.filter(pa.array(kept, pa.bool_()))
 
-    return both.filter(100 * least >= percent * most).mapInArrow(run, "a long, b long")
+    fits = both.filter(100 * least >= percent * most)
+    found = materialize(fits.mapInArrow(run, "a long, b long"), "links")
+    discard(pairs, second)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -462,7 +472,7 @@ def _merged(
         order = F.xxhash64("a", "b", F.lit(number))
         best = F.struct(*([] if number else ["shared"]), order.alias("order"), "b")
         pairs = shared.groupBy("a").agg(F.max(best).alias("best")).select("a", F.col("best.b").alias("b"))
-        new = materialize(_linked(pairs, classes, percent), "links")
+        new = _linked(pairs, classes, percent)
         discard(hubs)
         if new.isEmpty():
             discard(new)
@@ -546,7 +556,7 @@ def near_duplicates(
         stars = _merged(apart, classes, stars, percent, hub_rounds)
         rest = _apart(_with_component(apart, stars))
         wide = materialize(rest.join(_profiles(classes), "id"), "wide")
-        new = materialize(_linked(_pairs(wide, percent), classes, percent), "links")
+        new = _linked(_pairs(wide, percent), classes, percent)
         if not new.isEmpty():
             old = [] if stars is None else [stars.select(F.col("id").alias("a"), F.col("component").alias("b"))]
             stars = components(reduce(DataFrame.union, old, new))
