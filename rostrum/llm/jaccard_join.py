@@ -43,6 +43,7 @@ from rostrum.llm.common import (
 from rostrum.llm.packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 from rostrum.llm.registry import query
 from rostrum.session import discard, materialize
+from rostrum.sources.writers import stored_bytes
 
 SHINGLE = 3
 # Two sets are linked if the overlap is at least this many hundredths of the union.
@@ -62,6 +63,8 @@ BANDS = 12
 # The tokens of a prefix are paired within groups. A set has one group for this many tokens,
 # so that the pairs of a prefix grow with its length, not with its square.
 GROUP_TOKENS = 64
+# Hubs whose stored tokens take no more than this are sent to all tasks; more are shuffled.
+BROADCAST_BYTES = 32 << 20
 # Index entries that a task hands over at once.
 ENTRIES_AT_ONCE = 1 << 16
 
@@ -387,7 +390,10 @@ def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     tokens = classes.select("id", "n", "tokens")
     second = tokens.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
     second = materialize(second, "second")
-    both = pairs.join(tokens.toDF("a", "n_a", "tokens_a"), "a").join(second.toDF("b", "n_b", "tokens_b"), "b")
+    others = second.toDF("b", "n_b", "tokens_b")
+    if stored_bytes(second.sparkSession, second.scratch_path) <= BROADCAST_BYTES:
+        others = F.broadcast(others)
+    both = pairs.join(tokens.toDF("a", "n_a", "tokens_a"), "a").join(others, "b")
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -539,13 +545,11 @@ def near_duplicates(
     found = materialize(stored.select("key", "n", "digest"), "keys")
     filled = stored.filter("n > 0").groupBy("digest")
     named = materialize(filled.agg(F.min("id").alias("id"), F.min("key").alias("least")), "named")
-    classes = materialize(
-        stored.filter("tokens IS NOT NULL")
-        .select("id", "n", "tokens", "rare", "odd")
-        .join(named.select("id"), "id", "left_semi"),
-        "classes",
-    )
-    discard(stored)
+    # Equal sets all have tokens or none. Few sets do, so their ids are fewer than all ids.
+    likely = stored.filter("tokens IS NOT NULL").select("id", "n", "tokens", "rare", "odd", "digest")
+    firsts = materialize(likely.groupBy("digest").agg(F.min("id").alias("id")).select("id"), "firsts")
+    classes = materialize(likely.drop("digest").join(firsts, "id", "left_semi"), "classes")
+    discard(stored, firsts)
     bands = materialize(_bands(classes), "bands")
     stars = _merged(bands, classes, None, percent, hub_rounds)
     discard(bands)
