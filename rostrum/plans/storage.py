@@ -29,7 +29,7 @@ from rostrum.plans.topics import FEATURE_SQL, feature_columns
 from rostrum.schema import TOPIC_COLUMNS
 from rostrum.session import filesystem_uri, make_folder, scratch_path
 from rostrum.sources import readers, shard_source, writers
-from rostrum.streaming import shards as streaming
+from rostrum.streaming import categories, shards as streaming
 
 _ROWS = f"""SELECT doc_id, bonica_rid, bill_id, page_id, md5(text) AS text_md5,
   md5(stemmed_text) AS stemmed_md5, date, congno, legis_body,
@@ -561,3 +561,56 @@ def stream_batches(spark, sf_dir):
     run = streaming.stream_shard_batches(stream, f"{path}/rows", f"{path}/checkpoint")
     run.awaitTermination()
     return spark.read.parquet(f"{path}/rows").drop("epoch")
+
+
+# Rows arrive in three loads, by congress; each load is one run of the streams, so the
+# second and third go on from the checkpoints.
+_LOADS = 3
+_LOADED = f"""WITH {SQL_CLEANED}, loaded AS (
+  SELECT doc_id, congno % {_LOADS} AS load, legis_body FROM kept
+)"""
+
+
+def _arriving(spark: SparkSession, sf_dir: str, path: str) -> Iterator[DataFrame]:
+    """The shard directory as a stream, once per load."""
+    columns = ["doc_id", "text", "congno", "legis_body"]
+    view = speeches(spark, sf_dir, columns)
+    for load in range(_LOADS):
+        view.filter(F.col("congno") % _LOADS == load).write.mode("append").parquet(path)
+        yield streaming.stream_shards(spark, path, view.schema).drop("shard")
+
+
+@query(
+    "stream_category_counts",
+    f"""{_LOADED}
+SELECT 'legis_body' AS "column", legis_body AS value, CAST(count(*) AS BIGINT) AS n
+FROM loaded WHERE legis_body IS NOT NULL GROUP BY legis_body""",
+)
+def stream_category_counts(spark, sf_dir):
+    path = scratch_path(spark, "stream")
+    for stream in _arriving(spark, sf_dir, f"{path}/in"):
+        categories.count_categories(stream, f"{path}/counts").awaitTermination()
+    return categories.category_counts(spark, f"{path}/counts")
+
+
+@query(
+    "stream_clean_by_counts",
+    f"""{_LOADED}, counted AS (
+  SELECT l.load, legis_body, count(*) AS n
+  FROM (SELECT unnest(range({_LOADS})) AS load) l JOIN loaded ON loaded.load <= l.load
+  WHERE legis_body IS NOT NULL GROUP BY ALL
+), modes AS (
+  SELECT load, legis_body AS most FROM counted
+  QUALIFY row_number() OVER (PARTITION BY load ORDER BY n DESC, legis_body) = 1
+)
+SELECT doc_id, coalesce(legis_body, most, 'unknown') AS legis_body
+FROM loaded LEFT JOIN modes USING (load)""",
+)
+def stream_clean_by_counts(spark, sf_dir):
+    path = scratch_path(spark, "stream")
+    for stream in _arriving(spark, sf_dir, f"{path}/in"):
+        categories.count_categories(stream, f"{path}/counts").awaitTermination()
+        categories.clean_by_counts(
+            stream, f"{path}/rows", f"{path}/cleaned", f"{path}/counts"
+        ).awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select("doc_id", "legis_body")

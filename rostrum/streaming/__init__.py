@@ -1,5 +1,11 @@
 """Structured Streaming over shard directories."""
 
+from rostrum.streaming.categories import (
+    category_counts,
+    clean_by_counts,
+    count_categories,
+    modes_so_far,
+)
 from rostrum.streaming.shards import (
     clean_stream,
     feature_stream,
@@ -9,8 +15,12 @@ from rostrum.streaming.shards import (
 )
 
 __all__ = [
+    "category_counts",
+    "clean_by_counts",
     "clean_stream",
+    "count_categories",
     "feature_stream",
+    "modes_so_far",
     "stream_shard_batches",
     "stream_shards",
     "write_stream",
