@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rostrum.operators import statistics as stats, validation
+from rostrum.operators import sketches, statistics as stats, validation
 from rostrum.plans.registry import as_double, as_long, query, rounded
 from rostrum.plans.speech_view import (
     SQL_FEATURES,
@@ -15,6 +15,7 @@ from rostrum.plans.speech_view import (
     speeches,
 )
 from rostrum.schema import TOPIC_COLUMNS
+from rostrum.session import scratch_path
 
 _SUM = " + ".join(f"coalesce({c}, 0.0)" for c in TOPIC_COLUMNS)
 _WORDS = (
@@ -377,3 +378,89 @@ _VIEW_TYPES |= {"congno": "bigint", "training_set": "int"} | {c: "double" for c
 )
 def column_types(spark, sf_dir):
     return stats.column_types(speeches(spark, sf_dir)).select("column", "type")
+
+
+# Sketches are stored per congress; later ones are merged, the others not read.
+_MEASURES = {
+    **{c: c for c in TOPIC_COLUMNS},
+    "max_topic_weight": "max_topic_weight",
+    "topic_entropy": "topic_entropy",
+    "active_topic_count": "active_topic_count",
+    "text_length": "length(text)",
+    "text_words": f"CASE WHEN text IS NOT NULL THEN {_WORDS} END",
+}
+_SKETCHED = f"""WITH {SQL_FEATURES}, merged AS (
+  SELECT doc_id, bonica_rid, {", ".join(f"CAST({v} AS DOUBLE) AS {m}" for m, v in _MEASURES.items())}
+  FROM features WHERE congno >= 106
+)"""
+# Bounds that the sketches' errors keep: share of ranks, and relative.
+_RANK_ERROR, _DISTINCT_ERROR = 0.015, 0.04
+
+
+def _sketched(spark, sf_dir):
+    """The rows, and the sketches stored in two goes and read for the later congresses."""
+    columns = ["doc_id", "bonica_rid", "text", "congno"]
+    view = features(spark, sf_dir, columns)
+    path = scratch_path(spark, "sketches")
+    sketches.add_sketches(view.filter("congno < 108"), path, "congno")
+    stored = sketches.add_sketches(view, path, "congno")
+    return view.filter("congno >= 106"), stored.filter("shard >= 106")
+
+
+@query(
+    "sketch_summary",
+    f"""{_SKETCHED}, tall AS (
+  UNPIVOT (SELECT * EXCLUDE (doc_id, bonica_rid) FROM merged) ON * INTO NAME measure VALUE value
+)
+SELECT measure, CAST(count(value) AS BIGINT) AS n, round(avg(value), 6) + 0.0 AS mean,
+  round(stddev_samp(value), 6) + 0.0 AS std, round(min(value), 6) + 0.0 AS min,
+  round(max(value), 6) + 0.0 AS max, true AS quantiles_hold
+FROM tall GROUP BY measure""",
+)
+def sketch_summary(spark, sf_dir):
+    """The merged summary; its quartiles are held against the ranks they have in the rows."""
+    rows, stored = _sketched(spark, sf_dir)
+    found = sketches.summary(stored)
+    measured = sketches._measures(rows)
+    tall = (
+        rows.select(*[m.cast("double").alias(name) for name, m in measured.items()])
+        .unpivot([], list(measured), "measure", "value")
+        .join(found.select("measure", *sketches.QUARTILES.values()), "measure")
+    )
+    holds = F.lit(True)
+    for p, name in sketches.QUARTILES.items():
+        below = F.count_if(F.col("value") < F.col(name)) / F.count("value")
+        up_to = F.count_if(F.col("value") <= F.col(name)) / F.count("value")
+        holds = holds & (below <= p + _RANK_ERROR) & (up_to >= p - _RANK_ERROR)
+    checked = tall.groupBy("measure").agg(holds.alias("quantiles_hold"))
+    result = found.drop(*sketches.QUARTILES.values()).join(checked, "measure")
+    return rounded(result, "mean", "std", "min", "max")
+
+
+@query(
+    "sketch_distinct",
+    f"""{_SKETCHED}, tall AS (
+  UNPIVOT (SELECT doc_id, bonica_rid FROM merged) ON * INTO NAME measure VALUE value
+)
+SELECT measure, CAST(count(value) AS BIGINT) AS n,
+  CAST(count(DISTINCT value) AS BIGINT) AS exact, true AS estimate_holds
+FROM tall GROUP BY measure""",
+)
+def sketch_distinct(spark, sf_dir):
+    """Merged distinct counts, held against exact ones."""
+    rows, stored = _sketched(spark, sf_dir)
+    names = list(sketches.IDENTIFIERS)
+    exact = (
+        rows.select(*names)
+        .unpivot([], names, "measure", "value")
+        .filter(F.col("value").isNotNull())
+        .groupBy("measure", "value")
+        .agg(F.count("*"))
+        .groupBy("measure")
+        .agg(F.count("*").alias("exact"))
+    )
+    counted = sketches.distinct_counts(stored).join(exact, "measure")
+    apart = F.abs(F.col("distinct_values") - F.col("exact"))
+    return counted.select(
+        "measure", "n", "exact", (apart <= F.lit(_DISTINCT_ERROR) * F.col("exact")).alias("estimate_holds")
+    )
