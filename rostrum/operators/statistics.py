@@ -516,6 +516,54 @@ def corpus_metrics(df: DataFrame) -> DataFrame:
 # ---- research views -----------------------------------------------------------------
 
 
+BREAKDOWNS = (
+    ("legis_body",),
+    ("congno",),
+    ("training_set",),
+    ("year",),
+    ("legis_body", "congno"),
+)
+
+
+def breakdowns(df: DataFrame, sets: Sequence[Sequence[str]] = BREAKDOWNS) -> DataFrame:
+    """Documents, text size, breadth and mean topic weights per group, for many groupings at once.
+
+    One scan and one shuffle by grouping sets, with counts combined on the map side. A row
+    has the grouping's name in ``breakdown`` (columns joined by ``+``), the group's values
+    in its columns and NULL in the others; a NULL in one of its own columns is the group of
+    missing values. Sets with a column the table lacks are left out; ``year`` is taken
+    from ``date`` if need be.
+    """
+    cols = topic_columns(df)
+    others = [c for c in df.columns if c != "year"]
+    dated = "year" in df.columns or "date" in df.columns
+    staged = _with_year(df, *others) if dated else df
+    wanted = [list(s) for s in sets if set(s) <= set(staged.columns)]
+    keys = list(dict.fromkeys(c for s in wanted for c in s))
+    if not keys:
+        raise ValueError("the table has no column of these breakdowns")
+    measures = {"documents": F.count(F.lit(1))}
+    measured = [F.col(c) for c in (*keys, *cols)]
+    if "text" in df.columns:
+        measured.append(F.length("text").alias("__length"))
+        measures["mean_length"] = F.avg("__length")
+    for c in ("topic_entropy", "active_topic_count"):
+        if c in df.columns:
+            measured.append(F.col(c))
+            measures[f"mean_{c}"] = F.avg(c)
+    measures |= {c: F.avg(c) for c in cols}
+    # Keys that a set does not group by have their bit set, the first key the highest.
+    bits = {c: 1 << (len(keys) - 1 - i) for i, c in enumerate(keys)}
+    name = F.lit(None).cast("string")
+    for s in wanted:
+        rolled_up = sum(bits[c] for c in keys if c not in s)
+        name = F.when(F.col("__set") == rolled_up, "+".join(s)).otherwise(name)
+    grouped = staged.select(*measured).groupingSets([[F.col(c) for c in s] for s in wanted], *keys)
+    return grouped.agg(
+        F.grouping_id().alias("__set"), *[m.alias(f"{c}") for c, m in measures.items()]
+    ).select(name.alias("breakdown"), *keys, *measures)
+
+
 def legislator_profiles(df: DataFrame) -> DataFrame:
     """Mean weight per topic and number of documents for each legislator."""
     cols = topic_columns(df)

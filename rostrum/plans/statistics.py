@@ -464,3 +464,38 @@ def sketch_distinct(spark, sf_dir):
     return counted.select(
         "measure", "n", "exact", (apart <= F.lit(_DISTINCT_ERROR) * F.col("exact")).alias("estimate_holds")
     )
+
+
+def _breakdown_sql(columns: tuple[str, ...]) -> str:
+    keys = ", ".join(
+        f"CAST({c} AS {'VARCHAR' if c == 'legis_body' else 'DOUBLE'}) AS {c}"
+        if c in columns
+        else f"CAST(NULL AS {'VARCHAR' if c == 'legis_body' else 'DOUBLE'}) AS {c}"
+        for c in ("legis_body", "congno", "training_set", "year")
+    )
+    means = {
+        "mean_length": "length(text)",
+        "mean_topic_entropy": "topic_entropy",
+        "mean_active_topic_count": "active_topic_count",
+        **{c: c for c in TOPIC_COLUMNS},
+    }
+    averages = ", ".join(f"round(avg({v}), 6) + 0.0 AS {name}" for name, v in means.items())
+    groups = ", ".join(f"dated.{c}" for c in columns)
+    return (
+        f"SELECT '{'+'.join(columns)}' AS breakdown, {keys}, "
+        f"CAST(count(*) AS BIGINT) AS documents, {averages} FROM dated GROUP BY {groups}"
+    )
+
+
+@query(
+    "breakdowns",
+    f"""WITH {SQL_FEATURES}, dated AS (
+  SELECT *, CAST(year(TRY_CAST(date AS DATE)) AS BIGINT) AS year FROM features
+) """
+    + " UNION ALL ".join(_breakdown_sql(s) for s in stats.BREAKDOWNS),
+)
+def breakdowns(spark, sf_dir):
+    columns = ["text", "date", "congno", "legis_body", "training_set"]
+    found = stats.breakdowns(features(spark, sf_dir, columns))
+    means = [c for c in found.columns if c.startswith("mean_") or c in TOPIC_COLUMNS]
+    return rounded(as_double(found, "congno", "training_set", "year"), *means)

@@ -221,3 +221,35 @@ def test_duplicate_rows_tell_null_positions_apart(spark):
     assert validation.duplicate_rows(df).first().duplicate_rows == 0
     zeros = spark.createDataFrame([(0.0,), (-0.0,)], "x double")
     assert validation.duplicate_rows(zeros).first().duplicate_rows == 1
+
+
+def test_breakdowns_are_the_single_groupings(spark):
+    data = [
+        (b, c, y, f, "x" * n, w)
+        for n, (b, c, y, f, w) in enumerate([
+            ("H", 1, 2000, 1, 0.5), ("H", 1, 2001, 0, None), (None, 1, None, 1, 0.25),
+            (None, None, 2000, None, 1.0), ("S", 2, 2000, 1, 0.0), ("S", 2, 2000, 1, 0.0),
+        ])
+    ]
+    schema = "legis_body string, congno long, year int, training_set int, text string, tw_economy double"
+    df = spark.createDataFrame(data, schema)
+    found = stats.breakdowns(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    for columns in stats.BREAKDOWNS:
+        want = df.groupBy(*columns).agg(
+            F.count("*"), F.avg(F.length("text")), F.avg("tw_economy")
+        )
+        part = found.filter(F.col("breakdown") == "+".join(columns))
+        got = part.select(*columns, "documents", "mean_length", "tw_economy")
+        assert sorted(map(str, rows(got))) == sorted(map(str, rows(want)))
+    assert found.filter("breakdown IS NULL").count() == 0
+
+
+def test_breakdowns_of_few_columns_and_of_no_rows(spark):
+    df = spark.createDataFrame([("H", "2001-02-03"), ("H", "n/a")], "legis_body string, date string")
+    got = {(r.breakdown, r.legis_body, r.year): r.documents for r in stats.breakdowns(df).collect()}
+    assert got == {("legis_body", "H", None): 2, ("year", None, 2001): 1, ("year", None, None): 1}
+    assert rows(stats.breakdowns(df.limit(0))) == []
+    with pytest.raises(ValueError, match="no column"):
+        stats.breakdowns(spark.createDataFrame([(1,)], "x int"))
