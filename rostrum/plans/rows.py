@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rostrum.operators import batches, splits
-from rostrum.operators.numbering import look_up
+from rostrum.operators import batches, epochs, splits
+from rostrum.operators.numbering import ROW_ID, look_up, number_by_key
 from rostrum.plans.registry import as_long, query
 from rostrum.plans.speech_view import SQL_SPEECHES, speeches
 from rostrum.schema import TOPIC_COLUMNS
@@ -87,6 +87,42 @@ def shard_batches(spark, sf_dir):
     return batches.with_shard_batches(documents, batch_size=64)
 
 
+def epoch_sql(epoch: int) -> str:
+    """Query for ``row_id, position`` in an epoch, over a table ``numbered``.
+
+    The size of the table, and with it the bases of the digits, is known to SQL only.
+    """
+    digits = "SELECT row_id, value // b AS x, value % b AS y, a, b, n FROM walk_{e}, size"
+    inner = digits.format(e=epoch) + " WHERE steps = 0 OR value >= n"
+    inner = inner.replace("SELECT row_id,", "SELECT row_id, steps,")
+    for i, (factor, summand) in enumerate(epochs.Epoch(0, epoch=epoch).keys):
+        moved, given, base = ("y", "x", "b") if i % 2 else ("x", "y", "a")
+        mixed = f"(({given} * {factor} + {summand}) % {epochs.PRIME})"
+        change = f"(({mixed} * {mixed} % {epochs.PRIME}) >> 8) % {base}"
+        inner = f"SELECT * REPLACE (({moved} + {change}) % {base} AS {moved}) FROM ({inner})"
+    return f"""size AS (
+  SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b
+  FROM (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM numbered)
+), walk_{epoch} AS (
+  SELECT CAST(row_id AS BIGINT) AS row_id, CAST(row_id AS BIGINT) AS value, 0 AS steps FROM numbered
+  UNION ALL SELECT row_id, x * b + y, steps + 1 FROM ({inner})
+), placed AS (
+  SELECT row_id, max_by(value, steps) AS position FROM walk_{epoch} GROUP BY row_id
+)"""
+
+
+@query(
+    "epoch_batches",
+    f"""{_NUMBERED.replace("WITH", "WITH RECURSIVE", 1)}, {epoch_sql(3)}
+SELECT row_id, position, position // 32 AS batch_id, doc_id FROM placed JOIN numbered USING (row_id)""",
+)
+def epoch_batches(spark, sf_dir):
+    """Batches of the epoch after the third, computed from the rows' numbers."""
+    numbered = number_by_key(speeches(spark, sf_dir, ["doc_id"]), ["doc_id"])
+    placed = epochs.with_epoch_batches(numbered, numbered.count(), epoch=3)
+    return placed.select(F.col(ROW_ID).cast("long").alias(ROW_ID), "position", "batch_id", "doc_id")
+
+
 @query(
     "feature_vectors",
     f"""WITH {SQL_SPEECHES}, arrays AS (

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from rostrum.corpus import Corpus
 from rostrum.operators import cleaning, splits
 from rostrum.operators.batches import with_shard_batches
+from rostrum.operators.epochs import epoch_batch
 from rostrum.operators.features import with_topic_features
 from rostrum.operators.positions import build_index
 from rostrum.plans.registry import as_double, as_long, query, rounded
 from rostrum.plans.selection import STANDARD_COLUMNS, filter_counts_sql
-from rostrum.plans.rows import _NUMBERED, _flag_split_sql
+from rostrum.plans.rows import _NUMBERED, _flag_split_sql, epoch_sql
 from rostrum.plans.speech_view import (
     SQL_CLEANED,
     SQL_SPEECHES,
@@ -339,6 +340,22 @@ def indexed_lookup(spark, sf_dir):
     return reduce(DataFrame.unionByName, found)
 
 
+@query(
+    "epoch_lookup",
+    f"""{_NUMBERED.replace("WITH", "WITH RECURSIVE", 1)}, {epoch_sql(1)}
+SELECT row_id, position, position // 20 AS batch_id, doc_id FROM placed JOIN numbered USING (row_id)
+WHERE position // 20 IN (0, 3, (SELECT (n - 1) // 20 FROM size))""",
+)
+def epoch_lookup(spark, sf_dir):
+    """Three batches of an epoch, of which the files that hold their rows are opened."""
+    index = build_index(spark, _several_shards(spark, sf_dir))
+    wanted = {0, 3, (index.count() - 1) // 20}
+    found = [
+        epoch_batch(index, k, 20, epoch=1).withColumn("batch_id", F.lit(k).cast("long")) for k in sorted(wanted)
+    ]
+    return reduce(DataFrame.unionByName, found).select("row_id", "position", "batch_id", "doc_id")
+
+
 @query(
     "shards_in_order",
     f"""{_NUMBERED}, sharded AS (
