@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rostrum.operators import batches, epochs, splits
+from rostrum.operators import batches, dictionaries, epochs, splits
 from rostrum.operators.numbering import ROW_ID, look_up, number_by_key
-from rostrum.plans.registry import as_long, query
+from rostrum.plans.registry import as_double, as_long, query
 from rostrum.plans.speech_view import SQL_SPEECHES, speeches
 from rostrum.schema import TOPIC_COLUMNS
+from rostrum.session import materialize
 from rostrum.sources.writers import with_shards
 
 _NUMBERED = f"""WITH {SQL_SPEECHES}, numbered AS (
@@ -190,3 +191,29 @@ def positional_split(spark, sf_dir):
 def release_split(spark, sf_dir):
     view = speeches(spark, sf_dir, ["doc_id", "training_set"])
     return splits.split_for_release(view).select("doc_id", "split")
+
+
+_STRINGS = ("legis_body", "bonica_rid", "doc_type", "page_id", "date")
+
+
+@query(
+    "category_codes",
+    f"""WITH {SQL_SPEECHES}, tall AS (
+  {" UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, {c} AS value FROM speeches" for c in _STRINGS)}
+), chosen AS (
+  SELECT category FROM tall GROUP BY category HAVING count(DISTINCT value) < 0.5 * count(*)
+)
+SELECT doc_id, category, value, CAST(CASE WHEN value IS NOT NULL THEN
+  dense_rank() OVER (PARTITION BY category ORDER BY value NULLS LAST) - 1 END AS DOUBLE) AS code
+FROM tall JOIN chosen USING (category)""",
+)
+def category_codes(spark, sf_dir):
+    """String columns of few values as codes of a shared dictionary, and back."""
+    # Read four times; and stored, the constant column is a column like the others.
+    view = materialize(speeches(spark, sf_dir, ["doc_id", *_STRINGS]), "strings")
+    chosen = dictionaries.category_columns(view, _STRINGS)
+    words = dictionaries.build_dictionary(view, chosen)
+    codes = dictionaries.encode(view, words, chosen)
+    values = dictionaries.decode(codes, words, chosen).unpivot("doc_id", chosen, "category", "value")
+    told = codes.unpivot("doc_id", chosen, "category", "code").transform(as_double, "code")
+    return values.join(told, ["doc_id", "category"])
