@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from rostrum.operators.numbering import number_by_key
+from rostrum.session import discard, materialize
 
 # Fixed value: a column is a category if its distinct values are a smaller share of the rows.
 CATEGORY_SHARE = 0.5
@@ -62,8 +63,9 @@ def build_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     found = numbered.join(F.broadcast(starts), "column").select(
         "column", (F.col("__at") - F.col("__start")).cast("int").alias("code"), "value"
     )
-    found.scratch_path = numbered.scratch_path
-    return found
+    stored = materialize(found, "dictionary")
+    discard(numbered)
+    return stored
 
 
 def _swap(df: DataFrame, dictionary: DataFrame, column: str, given: str, wanted: str) -> DataFrame:
