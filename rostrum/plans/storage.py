@@ -28,7 +28,7 @@ from rostrum.plans.speech_view import (
 from rostrum.plans.statistics import _BASIC, _tall
 from rostrum.plans.topics import FEATURE_SQL, feature_columns
 from rostrum.schema import TOPIC_COLUMNS
-from rostrum.session import filesystem_uri, make_folder, scratch_path
+from rostrum.session import filesystem_uri, is_folder, make_folder, scratch_path
 from rostrum.sources import readers, shard_source, writers
 from rostrum.streaming import categories, shards as streaming
 
@@ -532,8 +532,13 @@ _register_round_trips()
 
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as one shard and one micro-batch, be they one file or a folder of files."""
+    name = "documents.parquet"
     schema = T.StructType.fromDDL(TABLE_SCHEMAS["documents"])
-    return streaming.stream_shards(spark, sf_dir, schema, 1, pattern="documents.parquet")
+    if not is_folder(spark, f"{sf_dir}/{name}"):
+        return streaming.stream_shards(spark, sf_dir, schema, 1, pattern=name)
+    stream = streaming.stream_shards(spark, f"{sf_dir}/{name}", schema, pattern="*")
+    return stream.withColumn("shard", F.lit(name))
 
 
 @query("stream_features", FEATURE_SQL)

@@ -121,6 +121,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    system, target = _located(spark, path)
+    return system.getFileStatus(target).isDirectory()
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     system, target = _located(spark, path)
     system.mkdirs(target)

@@ -18,6 +18,8 @@ from rostrum import Corpus, SPEECH_SCHEMA
 from rostrum.operators.batches import with_shard_batches
 from rostrum.operators.cleaning import clean
 from rostrum.operators.features import with_topic_features
+from rostrum.plans import storage
+from rostrum.plans.speech_view import TABLE_SCHEMAS
 from rostrum.session import shared_dir
 from rostrum.sources import readers, writers
 from rostrum.streaming import shards as streaming
@@ -339,6 +341,31 @@ def test_stream_batches_equal_shard_batches(spark, speeches, tmp_path):
     same(spark.read.parquet(str(tmp_path / "out")).drop("epoch"), want)
 
 
+@pytest.fixture(scope="module")
+def parted(spark, tmp_path_factory):
+    """Tables whose documents are a folder of three files."""
+    root = tmp_path_factory.mktemp("parted")
+    data = [(i, f"text  number {i}" if i % 5 else None, ("en", "fr", None)[i % 3], "web1", 9) for i in range(60)]
+    documents = spark.createDataFrame(data, TABLE_SCHEMAS["documents"])
+    documents.repartition(3).write.parquet(str(root / "documents.parquet"))
+    assert len(list((root / "documents.parquet").glob("part-*.parquet"))) == 3
+    # The other tables are one file each, as generated.
+    orders = [(i, i % 7, dt.datetime(2004, 1, 5)) for i in range(50)]
+    weights = [(i, [0.1 * (k % (i + 2)) for k in range(25)], 0) for i in range(55)]
+    others = {"orders": orders, "labels": [(i, i % 2, 0) for i in range(40)], "embeddings": weights}
+    for name, made in others.items():
+        table = spark.createDataFrame(made, TABLE_SCHEMAS[name]).toArrow()
+        pa.parquet.write_table(table, root / f"{name}.parquet")
+    return str(root)
+
+
+def test_stream_batches_of_a_folder_of_documents(spark, parted):
+    """The folder is one shard: its batches go across its files."""
+    documents = spark.read.parquet(f"{parted}/documents.parquet")
+    shard = documents.select(F.col("doc_id").cast("string"), F.lit("documents.parquet").alias("shard"))
+    same(storage.stream_batches(spark, parted), with_shard_batches(shard))
+
+
 def test_checkpoint_folder_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert spark.sparkContext.getCheckpointDir().startswith("file:" + shared_dir(spark))
