@@ -18,7 +18,7 @@ from rostrum import Corpus, SPEECH_SCHEMA
 from rostrum.operators.batches import with_shard_batches
 from rostrum.operators.cleaning import clean
 from rostrum.operators.features import with_topic_features
-from rostrum.plans import storage
+from rostrum.plans import speech_view, storage
 from rostrum.plans.speech_view import TABLE_SCHEMAS
 from rostrum.session import shared_dir
 from rostrum.sources import readers, writers
@@ -366,6 +366,11 @@ def test_stream_batches_of_a_folder_of_documents(spark, parted):
     same(storage.stream_batches(spark, parted), with_shard_batches(shard))
 
 
+def test_stream_clean_of_a_folder_of_documents(spark, parted):
+    view = speech_view.speeches(spark, parted, storage._CLEAN_COLUMNS)
+    same(storage.stream_clean(spark, parted), storage._cleaned_rows(clean(view)))
+
+
 def test_checkpoint_folder_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert spark.sparkContext.getCheckpointDir().startswith("file:" + shared_dir(spark))
