@@ -20,6 +20,7 @@ from rostrum.operators.cleaning import clean
 from rostrum.operators.features import with_topic_features
 from rostrum.plans import speech_view, storage
 from rostrum.plans.speech_view import TABLE_SCHEMAS
+from rostrum.plans.topics import feature_columns
 from rostrum.session import shared_dir
 from rostrum.sources import readers, writers
 from rostrum.streaming import shards as streaming
@@ -371,6 +372,10 @@ def test_stream_clean_of_a_folder_of_documents(spark, parted):
     same(storage.stream_clean(spark, parted), storage._cleaned_rows(clean(view)))
 
 
+def test_stream_features_of_a_folder_of_documents(spark, parted):
+    same(storage.stream_features(spark, parted), feature_columns(speech_view.features(spark, parted)))
+
+
 def test_checkpoint_folder_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert spark.sparkContext.getCheckpointDir().startswith("file:" + shared_dir(spark))
