@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from rostrum.operators.numbering import ROW_ID, hash_key, number_by_key, number_shuffled
+from rostrum.operators.numbering import ROW_ID, hash_key, number_by_key, number_shuffled, row_tie
 from rostrum.schema import topic_columns
 
 BATCH_ID = "batch_id"
@@ -62,6 +62,30 @@ def with_shard_batches(
     )
 
 
+def with_whole_shard_batches(
+    df: DataFrame,
+    shard: str = "shard",
+    batch_size: int = DEFAULT_BATCH,
+    shuffle: bool = True,
+    seed: int = 42,
+    key: str = "doc_id",
+    tasks: int = 1,
+) -> DataFrame:
+    """The rows of :func:`with_shard_batches` for small shards, in one job that stores nothing.
+
+    A shard is sorted and numbered by one task, and the shards are dealt over ``tasks``.
+    """
+    order = [hash_key(seed, key), F.col(key)] if shuffle else [F.col(key)]
+    place = F.row_number().over(Window.partitionBy(shard).orderBy(*order, row_tie(df))) - 1
+    placed = df.repartition(tasks, shard).withColumn(ROW_ID, place.cast("long"))
+    return placed.select(
+        shard,
+        F.floor(F.col(ROW_ID) / batch_size).cast("long").alias(BATCH_ID),
+        ROW_ID,
+        *[c for c in df.columns if c != shard],
+    )
+
+
 def columnar_batches(
     batched: DataFrame, columns: Sequence[str] | None = None, tensors: bool = False
 ) -> DataFrame:

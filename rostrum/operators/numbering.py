@@ -35,7 +35,8 @@ def hash_cell(hashed: Column, digits: int = CELL_DIGITS) -> Column:
     return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("int")
 
 
-def _row_tie(df: DataFrame) -> Column:
+def row_tie(df: DataFrame) -> Column:
+    """Order of rows with equal keys: by their content."""
     return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
 
@@ -45,7 +46,7 @@ def _place(
     """Stored rows with their range partition ``__part`` and place ``__pos`` in it."""
     keys = [c if isinstance(c, Column) else F.col(c) for c in order_by]
     order = [*keys, F.col("__tie"), F.col("__scan")]
-    tied = df.withColumns({"__tie": _row_tie(df), "__scan": F.monotonically_increasing_id()})
+    tied = df.withColumns({"__tie": row_tie(df), "__scan": F.monotonically_increasing_id()})
     ranged = (
         tied.repartitionByRange(partitions, *order)
         if partitions
@@ -213,7 +214,7 @@ def look_up(
     take the positions of each other. ``operators.positions`` serves many look-ups.
     """
     keys = list(order_by)
-    tied = df.withColumn("__row", _row_tie(df))
+    tied = df.withColumn("__row", row_tie(df))
     narrow = tied.select(*keys, "__row")
     found = rows_at(number_by_key(narrow, [*keys, "__row"]), positions)
     found = found.withColumn("__place", F.monotonically_increasing_id())

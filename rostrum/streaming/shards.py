@@ -12,12 +12,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rostrum.operators.batches import DEFAULT_BATCH, with_shard_batches
+from rostrum.operators.batches import DEFAULT_BATCH, with_shard_batches, with_whole_shard_batches
 from rostrum.operators.cleaning import clean
 from rostrum.operators.features import with_topic_features
 from rostrum.schema import nan_to_null, to_spark_names
 from rostrum.sources.readers import shard_name
 
+# A task reads at most spark.sql.files.maxPartitionBytes, so this many read few bytes.
+FEW_TASKS = 4
+
 
 def stream_shards(
     spark: SparkSession,
@@ -80,11 +83,16 @@ def stream_shard_batches(
     """Write each shard as numbered batches, rows shuffled inside their shard.
 
     Every micro-batch owns one folder and overwrites it, so a repeated micro-batch
-    leaves one copy.
+    leaves one copy. One that few tasks read is of bounded size: a task numbers a whole
+    shard of it, in one job. The rows of a larger one are numbered over range partitions.
     """
 
     def store(rows: DataFrame, epoch: int) -> None:
-        batched = with_shard_batches(rows, "shard", batch_size, shuffle, seed, key)
+        tasks = rows.rdd.getNumPartitions()
+        if tasks <= FEW_TASKS:
+            batched = with_whole_shard_batches(rows, "shard", batch_size, shuffle, seed, key, max(tasks, 1))
+        else:
+            batched = with_shard_batches(rows, "shard", batch_size, shuffle, seed, key)
         batched.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
 
     return (

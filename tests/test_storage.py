@@ -342,6 +342,21 @@ def test_stream_batches_equal_shard_batches(spark, speeches, tmp_path):
     same(spark.read.parquet(str(tmp_path / "out")).drop("epoch"), want)
 
 
+def test_small_shards_are_numbered_in_one_job(spark, tmp_path, monkeypatch):
+    """Also rows without a key, and rows that come twice."""
+    data = [(f"d{i % 40}" if i % 9 else None, i % 50) for i in range(100)]
+    directory = _write_shards(spark.createDataFrame(data, "doc_id string, n int"), tmp_path / "in")
+    schema = T.StructType.fromDDL("doc_id string, n int")
+    want = with_shard_batches(readers.read_shards(spark, directory, schema), batch_size=8)
+    # Numbering over range partitions stores and counts its rows first.
+    monkeypatch.setattr(streaming, "with_shard_batches", None)
+    stream = streaming.stream_shards(spark, directory, schema, files_per_trigger=2)
+    streaming.stream_shard_batches(
+        stream, str(tmp_path / "out"), str(tmp_path / "cp"), batch_size=8
+    ).awaitTermination()
+    same(spark.read.parquet(str(tmp_path / "out")).drop("epoch"), want)
+
+
 @pytest.fixture(scope="module")
 def parted(spark, tmp_path_factory):
     """Tables whose documents are a folder of three files."""
