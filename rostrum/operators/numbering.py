@@ -40,7 +40,7 @@ def row_tie(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def _place(
+def place_by_key(
     df: DataFrame, order_by: Sequence[str | Column], partitions: int | None = None
 ) -> DataFrame:
     """Stored rows with their range partition ``__part`` and place ``__pos`` in it."""
@@ -57,7 +57,7 @@ def _place(
         {"__part": F.spark_partition_id(), "__pos": position}
     )
     with full_retry(df.sparkSession):
-        return materialize(placed.drop("__tie", "__scan"), "numbered")
+        return materialize(placed.drop("__tie", "__scan"), "numbered", "zstd")
 
 
 def number_by_key(
@@ -73,17 +73,21 @@ def number_by_key(
     stored: numbering stays the same however often it is read or an executor is
     lost. Their sizes are counted from one narrow column.
     """
-    placed = _place(df, order_by, partitions)
+    placed = place_by_key(df, order_by, partitions)
+    joined = placed.join(F.broadcast(part_offsets(placed)), "__part")
+    numbered = joined.select((F.col("__offset") + F.col("__pos")).alias(name), *df.columns)
+    numbered.scratch_path = placed.scratch_path
+    return numbered
+
+
+def part_offsets(placed: DataFrame) -> DataFrame:
+    """Rows ``__n`` of each partition of :func:`place_by_key`, and ``__offset``, those before it."""
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     # One row per partition: the only window without a partition key.
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
+    return sizes.select(
+        "__part", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
     )
-    joined = placed.join(F.broadcast(offsets), "__part")
-    numbered = joined.select((F.col("__offset") + F.col("__pos")).alias(name), *df.columns)
-    numbered.scratch_path = placed.scratch_path
-    return numbered
 
 
 def _cell_offsets(df: DataFrame, cell: Column) -> DataFrame:

@@ -93,9 +93,12 @@ def attach(documents: DataFrame, spark: SparkSession, sf_dir: str, wanted: Seque
     tables that give none of the wanted columns are not joined.
     """
     names = [c for c in VIEW_COLUMNS if c in wanted]
+    # The stems come from the text after the joins, which would shuffle it twice otherwise.
+    stems = DOCUMENT_COLUMNS["stemmed_text"]
+    joined = {"text" if c == "stemmed_text" else c for c in names}
     view = documents.selectExpr(
         "doc_id AS __id",
-        *[f"{sql} AS {c}" for c, sql in DOCUMENT_COLUMNS.items() if c in names],
+        *[f"{sql} AS {c}" for c, sql in DOCUMENT_COLUMNS.items() if c in joined],
     )
     if set(names) & set(ORDER_COLUMNS):
         orders = _table(spark, sf_dir, "orders").selectExpr(
@@ -117,7 +120,7 @@ def attach(documents: DataFrame, spark: SparkSession, sf_dir: str, wanted: Seque
         view = view.join(
             weights.select(F.col("vec_id").alias("__id"), *topics), "__id", "left"
         )
-    return view.select(*names)
+    return view.selectExpr(*[f"{stems} AS {c}" if c == "stemmed_text" else c for c in names])
 
 
 def speeches(

@@ -85,14 +85,14 @@ def full_retry(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table below the shared folder and read it back: fixed rows, no lineage.
 
     Parquet instead of a checkpoint, so that later steps read only the columns they
     use. The files stay until :func:`discard` or until the shared folder is cleared.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.scratch_path = path
     return stored

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from rostrum.functions.predicates import FilterSpec, standard_filters
-from rostrum.operators.numbering import ROW_ID, number_by_key
+from rostrum.operators.numbering import ROW_ID, number_by_key, part_offsets, place_by_key
 from rostrum.operators.select import merged_filters
 from rostrum.schema import to_published_names
 from rostrum.session import (
@@ -183,35 +183,55 @@ def write_shards(
 ) -> dict:
     """One file per shard of exactly ``shard_rows`` rows, ``shard_0000.parquet`` and on.
 
-    The rows are range-partitioned and stored once for their numbers, and shuffled once
-    more by shard, so that each shard is written by one task. The files are then renamed;
-    their list comes back in order.
+    The rows are range-partitioned and stored once for their numbers. Shards that lie in one
+    range partition are written from there; the rows of the others, at most two for each
+    partition or all where a shard is the larger one, are shuffled by shard. The files are
+    then renamed; their list comes back in order.
     """
-    spark = df.sparkSession
-    numbered = number_by_key(df, [key])
-    shard = F.floor(F.col(ROW_ID) / shard_rows).cast("long")
-    staging = scratch_path(spark, "shards")
-    (
-        numbered.withColumn("__shard", shard)
-        .repartition("__shard")
-        .sortWithinPartitions("__shard", ROW_ID)
-        .drop(ROW_ID)
-        .write.option("compression", "snappy")
-        .partitionBy("__shard")
-        .parquet(staging)
+    placed = place_by_key(df, [key])
+    result = _write_placed(placed, df.columns, path, shard_rows)
+    discard(placed)
+    return result
+
+
+def _write_placed(placed: DataFrame, columns: Sequence[str], path: str, shard_rows: int) -> dict:
+    """Shards of the rows that ``place_by_key`` has stored, each file written by one task."""
+    spark = placed.sparkSession
+    row, shard, offset = F.col("__offset") + F.col("__pos"), F.col("__shard"), F.col("__offset")
+    rows = (
+        placed.join(F.broadcast(part_offsets(placed)), "__part")
+        .withColumn(ROW_ID, row)
+        .withColumn("__shard", F.floor(row / shard_rows).cast("long"))
     )
+    whole = (shard * shard_rows >= offset) & ((shard + 1) * shard_rows <= offset + F.col("__n"))
+
+    def write(part: DataFrame) -> dict[int, list[str]]:
+        staging = scratch_path(spark, "shards")
+        stagings.append(staging)
+        ordered = part.sortWithinPartitions("__shard", ROW_ID).select("__shard", *columns)
+        ordered.write.option("compression", "snappy").partitionBy("__shard").parquet(staging)
+        folders = (f for f in list_paths(spark, staging) if "__shard=" in f)
+        return {
+            int(f.rsplit("=", 1)[1]): [n for n in list_paths(spark, f) if n.endswith(".parquet")]
+            for f in folders
+        }
+
+    stagings: list[str] = []
+    files = write(rows.filter(whole))
+    files |= write(rows.filter(~whole).repartition("__shard"))
+    # A large file of a partition is read by several tasks; a shard at such a border is
+    # written again.
+    parted = [number for number, found in files.items() if len(found) > 1]
+    if parted:
+        files |= write(rows.filter(shard.isin(parted)).repartition("__shard"))
     delete_path(spark, path)
     make_folder(spark, path)
-    folders = sorted(
-        (int(f.rsplit("=", 1)[1]), f) for f in list_paths(spark, staging) if "__shard=" in f
-    )
     names = []
-    for number, folder in folders:
-        (file,) = (f for f in list_paths(spark, folder) if f.endswith(".parquet"))
+    for number, (file,) in sorted(files.items()):
         names.append(f"shard_{number:04d}.parquet")
         move_path(spark, file, f"{path.rstrip('/')}/{names[-1]}")
-    delete_path(spark, staging)
-    discard(numbered)
+    for staging in stagings:
+        delete_path(spark, staging)
     size, count = stored_bytes(spark, path), len(names)
     return {
         "shard_directory": path,
@@ -290,18 +310,19 @@ def write_all_formats(
 ) -> dict:
     """Parquet, CSV, JSON lines and optionally shards, with a size comparison.
 
-    The table is computed and stored once; every format is written from that copy, which
-    then goes.
+    The table is computed and stored once, with shards in the order of the key, which is
+    theirs; every format is written from that copy, which then goes.
     """
     root = path.rstrip("/")
-    stored = materialize(df, "formats")
+    stored = place_by_key(df, [key]) if create_shards else materialize(df, "formats", "zstd")
+    table = stored.select(df.columns)
     results = {
-        "parquet": write_parquet(stored, f"{root}/speeches.parquet"),
-        "compressed_csv": write_csv(stored, f"{root}/speeches.csv.gz"),
-        "jsonlines": write_json_lines(stored, f"{root}/speeches.jsonl.gz"),
+        "parquet": write_parquet(table, f"{root}/speeches.parquet"),
+        "compressed_csv": write_csv(table, f"{root}/speeches.csv.gz"),
+        "jsonlines": write_json_lines(table, f"{root}/speeches.jsonl.gz"),
     }
     if create_shards:
-        results["shards"] = write_shards(stored, f"{root}/shards", shard_rows, key)
+        results["shards"] = _write_placed(stored, df.columns, f"{root}/shards", shard_rows)
     discard(stored)
     results["summary"] = compare_sizes(results)
     return results

@@ -18,6 +18,7 @@ from rostrum import Corpus, SPEECH_SCHEMA
 from rostrum.operators.batches import with_shard_batches
 from rostrum.operators.cleaning import clean
 from rostrum.operators.features import with_topic_features
+from rostrum.operators.numbering import place_by_key
 from rostrum.plans import speech_view, storage
 from rostrum.plans.speech_view import TABLE_SCHEMAS
 from rostrum.plans.topics import feature_columns
@@ -357,6 +358,39 @@ def test_small_shards_are_numbered_in_one_job(spark, tmp_path, monkeypatch):
     same(spark.read.parquet(str(tmp_path / "out")).drop("epoch"), want)
 
 
+def test_shards_inside_a_partition_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Shards at the borders of partitions, and those of which two tasks read rows, are."""
+    data = [(f"d{i % 300:04d}" if i % 7 else None, i % 100) for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id string, n int")
+    shuffled = []
+    plain = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: shuffled.append(self.count()) or plain(self, *a))
+    monkeypatch.setattr(writers, "place_by_key", lambda df, keys: place_by_key(df, keys, 4))
+
+    def check(name, most):
+        path = str(tmp_path / name)
+        result = writers.write_shards(df, path, 20)
+        assert result["num_shards"] == 30 and sum(shuffled) <= most
+        stored = [pa.parquet.read_table(f"{path}/{n}").to_pylist() for n in result["shard_files"]]
+        assert all(len(s) == 20 for s in stored)
+        key = lambda r: (r["doc_id"] is not None, r["doc_id"] or "")
+        given = [key(r) for s in stored for r in s]
+        assert given == sorted(given)
+        assert sorted((key(r), r["n"]) for s in stored for r in s) == sorted(
+            ((k is not None, k or ""), n) for k, n in data
+        )
+        shuffled.clear()
+
+    check("whole", 8 * 20)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("parquet.block.size", "512")
+    try:
+        check("read in pieces", 600)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("parquet.block.size")
+
+
 @pytest.fixture(scope="module")
 def parted(spark, tmp_path_factory):
     """Tables whose documents are a folder of three files."""
