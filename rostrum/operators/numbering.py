@@ -40,8 +40,8 @@ def row_tie(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def place_by_key(
-    df: DataFrame, order_by: Sequence[str | Column], partitions: int | None = None
+def _place(
+    df: DataFrame, order_by: Sequence[str | Column], partitions: int | None = None, **stored: str
 ) -> DataFrame:
     """Stored rows with their range partition ``__part`` and place ``__pos`` in it."""
     keys = [c if isinstance(c, Column) else F.col(c) for c in order_by]
@@ -57,7 +57,14 @@ def place_by_key(
         {"__part": F.spark_partition_id(), "__pos": position}
     )
     with full_retry(df.sparkSession):
-        return materialize(placed.drop("__tie", "__scan"), "numbered", "zstd")
+        return materialize(placed.drop("__tie", "__scan"), "numbered", **stored)
+
+
+def place_by_key(
+    df: DataFrame, order_by: Sequence[str | Column], partitions: int | None = None
+) -> DataFrame:
+    """Rows stored in key order, in little space, for jobs that write them several times."""
+    return _place(df, order_by, partitions, compression="zstd")
 
 
 def number_by_key(
@@ -73,7 +80,7 @@ def number_by_key(
     stored: numbering stays the same however often it is read or an executor is
     lost. Their sizes are counted from one narrow column.
     """
-    placed = place_by_key(df, order_by, partitions)
+    placed = _place(df, order_by, partitions)
     joined = placed.join(F.broadcast(part_offsets(placed)), "__part")
     numbered = joined.select((F.col("__offset") + F.col("__pos")).alias(name), *df.columns)
     numbered.scratch_path = placed.scratch_path
@@ -81,7 +88,7 @@ def number_by_key(
 
 
 def part_offsets(placed: DataFrame) -> DataFrame:
-    """Rows ``__n`` of each partition of :func:`place_by_key`, and ``__offset``, those before it."""
+    """Rows ``__n`` of each partition of :func:`_place`, and ``__offset``, those before it."""
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     # One row per partition: the only window without a partition key.
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
