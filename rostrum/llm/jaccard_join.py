@@ -65,6 +65,11 @@ BANDS = 12
 GROUP_TOKENS = 64
 # Hubs whose stored tokens take no more than this are sent to all tasks; more are shuffled.
 BROADCAST_BYTES = 32 << 20
+# What is made of a table no larger than this, a row per key at most, is sent to all tasks.
+# Of a larger one it is stored and shuffled: a store costs a file for each shuffle partition.
+FEW_BYTES = 4 << 20
+# The same, for rows of two numbers.
+FEW_ROWS = 1 << 17
 # Index entries that a task hands over at once.
 ENTRIES_AT_ONCE = 1 << 16
 
@@ -213,8 +218,9 @@ def _documents(sets: DataFrame, kind: str, percent: int, rare: int) -> DataFrame
     """Stored ``id, key, n, digest, tokens, rare, odd``.
 
     Tokens, from rare to frequent, are there where links are possible; the first ``rare``
-    of them are in at most that many documents. ``odd`` of the set's tokens are in less
-    than half as many documents as its median token: what a copy changed, if it is one.
+    of them are in at most that many documents; both are missing elsewhere. ``odd`` of the
+    set's tokens are in less than half as many documents as its median token: what a copy
+    changed, if it is one.
     """
 
     @freeing
@@ -232,7 +238,7 @@ def _documents(sets: DataFrame, kind: str, percent: int, rare: int) -> DataFrame
             before += int(unpack(length)[0])
         ends = np.cumsum(sizes)
         lists: list[bytes | None] = []
-        rares: list[int] = []
+        rares: list[int | None] = []
         odds: list[int] = []
         for begin, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
             n = end - begin
@@ -247,7 +253,7 @@ def _documents(sets: DataFrame, kind: str, percent: int, rare: int) -> DataFrame
                 rares.append(int(np.count_nonzero(counts[places] <= rare)))
             else:
                 lists.append(None)
-                rares.append(0)
+                rares.append(None)
         return pa.table(
             {
                 "key": pc.list_flatten(own["keys"]).combine_chunks(),
@@ -413,38 +419,54 @@ def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return found
 
 
+def _few(stored: DataFrame) -> bool:
+    return stored_bytes(stored.sparkSession, stored.scratch_path) <= FEW_BYTES
+
+
+def _side(found: DataFrame, name: str, few: bool) -> DataFrame:
+    """Rows to be joined by their key: to all tasks if few, else stored, so a hot key can be split."""
+    return F.broadcast(found) if few else materialize(found, name)
+
+
+def _discard(*sides: DataFrame) -> None:
+    discard(*(s for s in sides if hasattr(s, "scratch_path")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Stored ``id, component`` (the least id) for all that have a link, but the least.
 
-    Large-star and small-star steps, each a minimum per node, until nothing changes; the
-    links shrink to one star per component.
+    Large-star and small-star steps, each a minimum per node, until the links are one star
+    per component: until no node has two smaller neighbours, or smaller and larger ones.
+    Neither step makes more links than there were, so repeated ones can stay. ``links``
+    are read in each step of the first round, so they should be stored.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = materialize(edges.filter("u != v").distinct(), "edges")
-    before = None
+    edges, stored = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v"), []
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Stored, so that a node of very many links can be split when it is joined.
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")), "least")
-        large = both.join(least.select("u", F.least("u", "m").alias("m")), "u")
-        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.explode(F.array("u", "v")).alias("x"), "m")
-        small = small.filter("x != m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
+        found = both.groupBy("u").agg(
+            F.min("v").alias("m"), F.max(F.when(F.col("v") < F.col("u"), F.col("v"))).alias("top"), F.max("v").alias("most")
+        )
         seen = Observation()
-        hashes = F.xxhash64("u", "v").cast("decimal(38,0)")
-        new = materialize(small.observe(seen, F.count("*").alias("n"), F.sum(hashes).alias("sum")), "edges")
-        discard(edges, least)
-        edges = new
-        if seen.get == before:
-            return _named(edges, "id", "component")
-        before = seen.get
-
-
-def _named(stored: DataFrame, *names: str) -> DataFrame:
-    """A stored table under other column names, which can still be discarded."""
-    found = stored.toDF(*names)
+        unsettled = F.count(F.when(F.expr("m < u AND (top > m OR most > u)"), 1)).alias("unsettled")
+        found = found.observe(seen, unsettled, F.count("*").alias("nodes")).select("u", "m")
+        least = materialize(found, "least")
+        if not seen.get["unsettled"]:
+            discard(*stored)
+            return _stored_as(least.filter("m < u").toDF("id", "component"), least)
+        few = seen.get["nodes"] <= FEW_ROWS
+        near = least.select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = edges.join(F.broadcast(near) if few else near, "v").select("u", F.col("m").alias("v"))
+        lower = _side(large.groupBy("u").agg(F.min("v").alias("m")), "lower", few)
+        # A link to a node's least smaller neighbour stays, others lead from it to the least.
+        met = large.join(lower, "u")
+        small = met.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = materialize(small.union(lower.toDF("u", "v")), "edges")
+        _discard(least, lower, *stored)
+        edges, stored = new, [new]
+
+
+def _stored_as(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """What is read of a stored table, which can still be discarded."""
     found.scratch_path = stored.scratch_path
     return found
 
@@ -467,19 +489,23 @@ def _merged(
     most of them are linked to. A class takes the hub it shares most buckets with in the
     first round and any of its hubs in later ones; hubs in its own component don't count.
     """
+    few = _few(entries)
     for number in range(rounds):
         named = _with_component(entries, stars)
         rank = F.struct("odd", F.xxhash64("id", F.lit(number)).alias("rank"), "id", "component")
         hubs = named.groupBy("signature").agg(F.min(rank).alias("hub"))
         hubs = hubs.select("signature", F.col("hub.id").alias("b"), F.col("hub.component").alias("of"))
-        hubs = materialize(hubs, "hubs")
+        hubs = _side(hubs, "hubs", few)
         met = named.join(hubs, "signature").filter("component != of")
-        shared = met.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"))
-        order = F.xxhash64("a", "b", F.lit(number))
-        best = F.struct(*([] if number else ["shared"]), order.alias("order"), "b")
+        met = met.select(F.col("id").alias("a"), "b")
+        order = F.xxhash64("a", "b", F.lit(number)).alias("order")
+        if number:
+            shared, best = met, F.struct(order, "b")
+        else:
+            shared, best = met.groupBy("a", "b").agg(F.count("*").alias("shared")), F.struct("shared", order, "b")
         pairs = shared.groupBy("a").agg(F.max(best).alias("best")).select("a", F.col("best.b").alias("b"))
         new = _linked(pairs, classes, percent)
-        discard(hubs)
+        _discard(hubs)
         if new.isEmpty():
             discard(new)
             break
@@ -494,12 +520,12 @@ def _merged(
     return stars
 
 
-def _apart(entries: DataFrame) -> DataFrame:
+def _apart(entries: DataFrame, few: bool) -> DataFrame:
     """Stored entries of the buckets whose members are in several components."""
     ends = entries.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = materialize(ends.filter("low != high").select("signature"), "mixed")
+    mixed = _side(ends.filter("low != high").select("signature"), "mixed", few)
     found = materialize(entries.join(mixed, "signature", "left_semi"), "apart")
-    discard(mixed)
+    _discard(mixed)
     return found
 
 
@@ -544,21 +570,22 @@ def near_duplicates(
     discard(sets)
     found = materialize(stored.select("key", "n", "digest"), "keys")
     filled = stored.filter("n > 0").groupBy("digest")
-    named = materialize(filled.agg(F.min("id").alias("id"), F.min("key").alias("least")), "named")
-    # Equal sets all have tokens or none. Few sets do, so their ids are fewer than all ids.
-    likely = stored.filter("tokens IS NOT NULL").select("id", "n", "tokens", "rare", "odd", "digest")
-    firsts = materialize(likely.groupBy("digest").agg(F.min("id").alias("id")).select("id"), "firsts")
-    classes = materialize(likely.drop("digest").join(firsts, "id", "left_semi"), "classes")
-    discard(stored, firsts)
+    least = F.min("id").alias("id"), F.min("key").alias("least"), F.max("rare").alias("rare")
+    named = materialize(filled.agg(*least), "named")
+    # Equal sets all have tokens or none, and a number of rare ones if they have. Few sets do.
+    likely = stored.filter("tokens IS NOT NULL").select("id", "n", "tokens", "rare", "odd")
+    firsts = named.filter("rare IS NOT NULL").select("id")
+    classes = materialize(likely.join(firsts, "id", "left_semi"), "classes")
+    discard(stored)
     bands = materialize(_bands(classes), "bands")
     stars = _merged(bands, classes, None, percent, hub_rounds)
     discard(bands)
     index = materialize(_index(_with_component(classes, stars), percent), "index")
-    apart = _apart(index)
+    apart = _apart(index, _few(index))
     discard(index)
     if not apart.isEmpty():
         stars = _merged(apart, classes, stars, percent, hub_rounds)
-        rest = _apart(_with_component(apart, stars))
+        rest = _apart(_with_component(apart, stars), _few(apart))
         wide = materialize(rest.join(_profiles(classes), "id"), "wide")
         new = _linked(_pairs(wide, percent), classes, percent)
         if not new.isEmpty():
@@ -566,11 +593,12 @@ def near_duplicates(
             stars = components(reduce(DataFrame.union, old, new))
         discard(rest, wide, new)
     discard(apart, classes)
-    # Both sides of these joins are stored, so that a hot component or text can be split.
+    # Both sides of these joins are stored unless few, so that a hot component or text can be split.
     members = materialize(_with_component(named, stars).select("digest", "component", "least"), "members")
-    tops = materialize(members.groupBy("component").agg(F.min("least").alias("top")), "tops")
+    tops = _side(members.groupBy("component").agg(F.min("least").alias("top")), "tops", _few(members))
     answer = materialize(members.join(tops, "component").select("digest", "top"), "answer")
-    discard(named, members, tops)
+    discard(named, members)
+    _discard(tops)
     linked = found.filter("n > 0").join(answer, "digest").select("key", "n", "top")
     alone = found.filter("n = 0").select("key", "n", F.col("key").alias("top"))
     return linked.union(alone).select(

@@ -125,3 +125,34 @@ def test_hot_group_makes_no_pairs(documents, monkeypatch):
     found = near_duplicates(documents(rows)).collect()
     assert {r.component_id for r in found} == {0}
     assert sum(compared) < 5 * len(rows)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_components_are_found_in_few_steps(spark, monkeypatch, few):
+    """Links to a hub, repeated and both ways: one round and a look, each store a task per partition."""
+    if not few:
+        monkeypatch.setattr(jaccard_join, "FEW_ROWS", 0)
+    stores = []
+    store = jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: stores.append(name) or store(df, name))
+
+    def found(pairs):
+        links = store(spark.createDataFrame(pairs, "a long, b long"), "links")
+        return sorted(map(tuple, jaccard_join.components(links).collect()))
+
+    star = [(i, 50) for i in range(100)] + [(50, i) for i in range(0, 100, 3)]
+    assert found(star) == [(i, 0) for i in range(1, 100)]
+    assert stores == ["least", "edges", "least"] if few else stores == ["least", "lower", "edges", "least"]
+    stars = [(3, 1), (1, 2), (2, 1), (9, 8)]
+    stores.clear()
+    assert found(stars) == [(2, 1), (3, 1), (9, 8)]
+    assert stores == ["least"]
+    assert found([]) == []
+    assert found([(i, i + 1) for i in range(60)]) == [(i, 0) for i in range(1, 61)]
+
+
+def test_stored_sides_give_the_same_components(documents, monkeypatch):
+    rows = [(i, t) for i, t in tables(3)]
+    monkeypatch.setattr(jaccard_join, "FEW_BYTES", -1)
+    monkeypatch.setattr(jaccard_join, "FEW_ROWS", -1)
+    assert sorted(map(tuple, near_duplicates(documents(rows)).collect()), key=repr) == brute(rows, 3, 90)
