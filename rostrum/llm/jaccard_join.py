@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from rostrum.llm.common import (
@@ -606,22 +607,30 @@ def near_duplicates(
     )
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """Numbered columns, and the place of each row in the files that it is read from."""
+    place = docs.metadataColumn("_metadata")
+    return docs.select(
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)),
+        F.xxhash64(place["file_path"]).alias("file"),
+        place["row_index"].alias("place"),
+    )
+
+
 def drop_near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
     """One row of each component, the one with the least key; all columns as they were.
 
     Rows without words all stay. Of rows with equal keys in a component one stays, always
-    the same; a missing key is the least. ``docs`` must be read from Parquet files without
-    a shuffle: rows are told apart by file and position in it, which hold however the files
-    are split among tasks.
+    the same; a missing key is the least. Rows are told apart by file and position in it,
+    which hold however the files are split among tasks; ``docs`` that are not rows of Parquet
+    files as they were read are stored first.
     """
-    place = docs.metadataColumn("_metadata")
-    plain = docs.select(
-        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)),
-        F.xxhash64(place["file_path"]).alias("file"),
-        place["row_index"].alias("place"),
-    )
+    try:
+        plain = _placed(docs)
+    except AnalysisException:
+        plain = _placed(materialize(docs, "rows"))
     name, content = (f"c{docs.columns.index(c)}" for c in (key, text))
     ranked = plain.select(F.struct(F.col(name).alias("key"), "file", "place").alias("rank"), content)
     found = near_duplicates(ranked, "rank", content, size, percent)

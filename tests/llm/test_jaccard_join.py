@@ -109,6 +109,12 @@ def test_one_row_of_each_component_stays(spark, documents, tmp_path):
     assert sum(1 for t in found if not shingles(t[1], 3)) == sum(1 for t in rows if not shingles(t[1], 3))
 
 
+def test_rows_that_no_file_has_are_stored_first(spark, documents):
+    rows = [(1, "an ordinary text of some words"), (2, "An ordinary text of some words"), (3, "")]
+    grown = documents(rows).mapInArrow(lambda batches: batches, documents([]).schema)
+    assert sorted(r.doc_id for r in drop_near_duplicates(grown).collect()) == [1, 3]
+
+
 def test_hot_group_makes_no_pairs(documents, monkeypatch):
     """Thousands of near copies of one text are compared with hubs, not with each other."""
     rng = random.Random(3)
