@@ -573,11 +573,12 @@ def near_duplicates(
     filled = stored.filter("n > 0").groupBy("digest")
     least = F.min("id").alias("id"), F.min("key").alias("least"), F.max("rare").alias("rare")
     named = materialize(filled.agg(*least), "named")
-    # Equal sets all have tokens or none, and a number of rare ones if they have. Few sets do.
+    # Equal sets all have tokens, and a number of rare ones, or none. Few sets do, so their
+    # ids are fewer than all ids: stored apart, they are small enough for the tokens to stay.
     likely = stored.filter("tokens IS NOT NULL").select("id", "n", "tokens", "rare", "odd")
-    firsts = named.filter("rare IS NOT NULL").select("id")
+    firsts = materialize(named.filter("rare IS NOT NULL").select("id"), "firsts")
     classes = materialize(likely.join(firsts, "id", "left_semi"), "classes")
-    discard(stored)
+    discard(stored, firsts)
     bands = materialize(_bands(classes), "bands")
     stars = _merged(bands, classes, None, percent, hub_rounds)
     discard(bands)
