@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
@@ -62,28 +62,31 @@ def with_shard_batches(
     )
 
 
-def with_whole_shard_batches(
+def whole_shard_batches(
     df: DataFrame,
     shard: str = "shard",
     batch_size: int = DEFAULT_BATCH,
     shuffle: bool = True,
     seed: int = 42,
     key: str = "doc_id",
-    tasks: int = 1,
-) -> DataFrame:
-    """The rows of :func:`with_shard_batches` for small shards, in one job that stores nothing.
+) -> Callable[[DataFrame, int], DataFrame]:
+    """What gives :func:`with_shard_batches` for small shards, in one job that stores nothing.
 
-    A shard is sorted and numbered by one task, and the shards are dealt over ``tasks``.
+    ``df`` names the columns; its micro-batches are numbered by the same expressions. A shard
+    is sorted and numbered by one task, and the shards are dealt over the given number of
+    tasks. One task takes them as they are read, without a shuffle.
     """
     order = [hash_key(seed, key), F.col(key)] if shuffle else [F.col(key)]
     place = F.row_number().over(Window.partitionBy(shard).orderBy(*order, row_tie(df))) - 1
-    placed = df.repartition(tasks, shard).withColumn(ROW_ID, place.cast("long"))
-    return placed.select(
-        shard,
-        F.floor(F.col(ROW_ID) / batch_size).cast("long").alias(BATCH_ID),
-        ROW_ID,
-        *[c for c in df.columns if c != shard],
-    )
+    row = place.cast("long")
+    batch = F.floor(F.col(ROW_ID) / batch_size).cast("long").alias(BATCH_ID)
+    columns = [F.col(shard), batch, F.col(ROW_ID), *[F.col(f"`{c}`") for c in df.columns if c != shard]]
+
+    def number(rows: DataFrame, tasks: int) -> DataFrame:
+        dealt = rows.coalesce(1) if tasks == 1 else rows.repartition(tasks, shard)
+        return dealt.withColumn(ROW_ID, row).select(*columns)
+
+    return number
 
 
 def columnar_batches(

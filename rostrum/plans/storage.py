@@ -278,10 +278,13 @@ def shards_read(spark, sf_dir):
 def shards_streamed(spark, sf_dir):
     directory, path = _several_shards(spark, sf_dir), scratch_path(spark, "stream")
     schema = T.StructType.fromDDL("doc_id string")
-    stream = streaming.stream_shards(spark, directory, schema, files_per_trigger=2)
-    run = streaming.stream_shard_batches(stream, f"{path}/rows", f"{path}/checkpoint")
-    run.awaitTermination()
-    return spark.read.parquet(f"{path}/rows").drop("epoch")
+    lanes = streaming.stream_lanes(spark, directory, schema, files_per_trigger=2)
+    runs = [
+        streaming.stream_shard_batches(s, f"{path}/rows/lane={k}", f"{path}/checkpoint/lane={k}")
+        for k, s in enumerate(lanes)
+    ]
+    streaming.await_all(runs)
+    return spark.read.parquet(f"{path}/rows").drop("lane", "epoch")
 
 
 @query(

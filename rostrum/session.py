@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -137,12 +138,39 @@ def move_path(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def move_paths(spark: SparkSession, moves: Sequence[tuple[str, str]]) -> None:
+    """Move many files of one file system."""
+    if not moves:
+        return
+    system, _ = _located(spark, moves[0][0])
+    path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def move(pair: tuple[str, str]) -> None:
+        source, target = pair
+        if not system.rename(path(source), path(target)):
+            raise OSError(f"cannot move {source} to {target}")
+
+    # Each is a call that waits for the file system.
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(move, moves))
+
+
 def list_paths(spark: SparkSession, folder: str) -> list[str]:
     """Files and folders right below a folder."""
     system, target = _located(spark, folder)
     return sorted(s.getPath().toString() for s in system.listStatus(target))
 
 
+def list_below(spark: SparkSession, folder: str) -> list[str]:
+    """Files and folders below the folders of a folder, in few calls however many they are."""
+    system, target = _located(spark, folder)
+    jvm = spark._jvm
+    paths = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths
+    below = paths(system.listStatus(paths(system.listStatus(target))))
+    joined = jvm.scala.Predef.genericWrapArray(below).mkString("\n")
+    return sorted(joined.split("\n")) if joined else []
+
+
 def filesystem_uri(spark: SparkSession, path: str) -> str:
     """The path with the scheme of the file system that Spark takes it for."""
     system, target = _located(spark, path)

@@ -17,10 +17,12 @@ from rostrum.session import (
     delete_path,
     discard,
     filesystem_uri,
+    list_below,
     list_paths,
     make_folder,
     materialize,
     move_path,
+    move_paths,
     path_exists,
     scratch_path,
 )
@@ -210,11 +212,12 @@ def _write_placed(placed: DataFrame, columns: Sequence[str], path: str, shard_ro
         stagings.append(staging)
         ordered = part.sortWithinPartitions("__shard", ROW_ID).select("__shard", *columns)
         ordered.write.option("compression", "snappy").partitionBy("__shard").parquet(staging)
-        folders = (f for f in list_paths(spark, staging) if "__shard=" in f)
-        return {
-            int(f.rsplit("=", 1)[1]): [n for n in list_paths(spark, f) if n.endswith(".parquet")]
-            for f in folders
-        }
+        found: dict[int, list[str]] = {}
+        for file in list_below(spark, staging):
+            folder, name = file.rsplit("/", 2)[1:]
+            if "__shard=" in folder and name.endswith(".parquet"):
+                found.setdefault(int(folder.rsplit("=", 1)[1]), []).append(file)
+        return found
 
     stagings: list[str] = []
     files = write(rows.filter(whole))
@@ -226,10 +229,11 @@ def _write_placed(placed: DataFrame, columns: Sequence[str], path: str, shard_ro
         files |= write(rows.filter(shard.isin(parted)).repartition("__shard"))
     delete_path(spark, path)
     make_folder(spark, path)
-    names = []
+    names, moves = [], []
     for number, (file,) in sorted(files.items()):
         names.append(f"shard_{number:04d}.parquet")
-        move_path(spark, file, f"{path.rstrip('/')}/{names[-1]}")
+        moves.append((file, f"{path.rstrip('/')}/{names[-1]}"))
+    move_paths(spark, moves)
     for staging in stagings:
         delete_path(spark, staging)
     size, count = stored_bytes(spark, path), len(names)

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rostrum.operators.batches import DEFAULT_BATCH, with_shard_batches, with_whole_shard_batches
+from rostrum.operators.batches import DEFAULT_BATCH, whole_shard_batches, with_shard_batches
 from rostrum.operators.cleaning import clean
 from rostrum.operators.features import with_topic_features
 from rostrum.schema import nan_to_null, to_spark_names
@@ -20,6 +20,10 @@ from rostrum.sources.readers import shard_name
 
 # A task reads at most spark.sql.files.maxPartitionBytes, so this many read few bytes.
 FEW_TASKS = 4
+# Files of this size in all are read by one task sooner than a shuffle of them starts.
+FEW_BYTES = 8 << 20
+# Shards go to streams by the last digit of their number; other names go with the last.
+LANES = ("*[01].parquet", "*[23].parquet", "*[45].parquet", "*[67].parquet", "*[!0-7].parquet")
 
 
 def stream_shards(
@@ -48,6 +52,33 @@ def stream_shards(
     return nan_to_null(to_spark_names(kept))
 
 
+def stream_lanes(
+    spark: SparkSession,
+    directory: str,
+    schema: T.StructType,
+    files_per_trigger: int | None = None,
+    skip: Sequence[str] = (),
+) -> list[DataFrame]:
+    """The shards of a directory dealt by name over several of :func:`stream_shards`.
+
+    A stream runs one micro-batch after another, and small ones take their time from planning
+    and from the stream's logs, not from rows. Started together, the streams do this at once.
+    Each shard is in one of them, also if it arrives later; a micro-batch of each has at most
+    ``files_per_trigger`` shards. Each needs a folder and a checkpoint of its own.
+    """
+    return [stream_shards(spark, directory, schema, files_per_trigger, lane, skip) for lane in LANES]
+
+
+def await_all(runs: Sequence[StreamingQuery]) -> None:
+    """Wait for streams that run at once; if one fails, the others are stopped."""
+    try:
+        for run in runs:
+            run.awaitTermination()
+    finally:
+        for run in runs:
+            run.stop()
+
+
 def feature_stream(stream: DataFrame) -> DataFrame:
     """Topic features on a stream: the batch function itself."""
     return with_topic_features(stream)
@@ -71,6 +102,12 @@ def write_stream(
     return (writer.partitionBy(partition_by) if partition_by else writer).start(path)
 
 
+def _read_bytes(rows: DataFrame) -> int:
+    """Bytes of all that a plan reads; very many where it can't tell."""
+    leaves = rows._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def stream_shard_batches(
     stream: DataFrame,
     path: str,
@@ -84,13 +121,16 @@ def stream_shard_batches(
 
     Every micro-batch owns one folder and overwrites it, so a repeated micro-batch
     leaves one copy. One that few tasks read is of bounded size: a task numbers a whole
-    shard of it, in one job. The rows of a larger one are numbered over range partitions.
+    shard of it, in one job, and one task all shards if they are of few bytes. The rows of a
+    larger one are numbered over range partitions.
     """
+    number = whole_shard_batches(stream, "shard", batch_size, shuffle, seed, key)
 
     def store(rows: DataFrame, epoch: int) -> None:
-        tasks = rows.rdd.getNumPartitions()
+        # Of few bytes, the tasks need not be planned to be counted.
+        tasks = 1 if _read_bytes(rows) <= FEW_BYTES else rows.rdd.getNumPartitions()
         if tasks <= FEW_TASKS:
-            batched = with_whole_shard_batches(rows, "shard", batch_size, shuffle, seed, key, max(tasks, 1))
+            batched = number(rows, max(tasks, 1))
         else:
             batched = with_shard_batches(rows, "shard", batch_size, shuffle, seed, key)
         batched.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from collected import rows
-from rostrum import Corpus, SPEECH_SCHEMA
+from rostrum import Corpus, SPEECH_SCHEMA, session
 from rostrum.operators.batches import with_shard_batches
 from rostrum.operators.cleaning import clean
 from rostrum.operators.features import with_topic_features
@@ -391,6 +391,74 @@ def test_shards_inside_a_partition_are_not_shuffled(spark, tmp_path, monkeypatch
         spark.conf.unset("parquet.block.size")
 
 
+@pytest.mark.parametrize("few, shuffles", [(streaming.FEW_BYTES, False), (0, True)])
+def test_micro_batches_of_few_bytes_are_not_shuffled(spark, tmp_path, monkeypatch, few, shuffles):
+    data = [(f"d{i % 40}" if i % 9 else None, i % 50) for i in range(100)]
+    directory = _write_shards(spark.createDataFrame(data, "doc_id string, n int"), tmp_path / "in")
+    schema = T.StructType.fromDDL("doc_id string, n int")
+    want = with_shard_batches(readers.read_shards(spark, directory, schema), batch_size=8)
+    shuffled = []
+    plain = type(want).repartition
+    monkeypatch.setattr(type(want), "repartition", lambda self, *a: shuffled.append(a) or plain(self, *a))
+    monkeypatch.setattr(streaming, "FEW_BYTES", few)
+    stream = streaming.stream_shards(spark, directory, schema, files_per_trigger=2)
+    streaming.stream_shard_batches(
+        stream, str(tmp_path / "out"), str(tmp_path / "cp"), batch_size=8
+    ).awaitTermination()
+    assert bool(shuffled) == shuffles
+    same(spark.read.parquet(str(tmp_path / "out")).drop("epoch"), want)
+
+
+def test_lanes_take_every_shard_once(spark, tmp_path):
+    """Whatever its name, with the files of a trigger as given, and later ones as well."""
+    schema = T.StructType.fromDDL("doc_id string")
+
+    def add(*names):
+        for name in names:
+            table = pa.table({"doc_id": [f"{name} {i}" for i in range(5)] + [None]})
+            pa.parquet.write_table(table, _made(tmp_path / "in") / f"{name}.parquet")
+
+    def run():
+        lanes = streaming.stream_lanes(spark, str(tmp_path / "in"), schema, files_per_trigger=2)
+        runs = [
+            streaming.stream_shard_batches(s, f"{tmp_path}/out/lane={k}", f"{tmp_path}/cp/{k}", batch_size=4)
+            for k, s in enumerate(lanes)
+        ]
+        streaming.await_all(runs)
+        want = with_shard_batches(readers.read_shards(spark, str(tmp_path / "in"), schema), batch_size=4)
+        same(spark.read.parquet(f"{tmp_path}/out").drop("lane", "epoch"), want)
+        return [len(list((tmp_path / "cp" / str(k) / "commits").glob("[0-9]*"))) for k in range(len(lanes))]
+
+    add(*[f"shard_{i:04d}" for i in range(20)], "notes", "Z", "7 of 9", "é", "shard_-")
+    assert run() == [2, 2, 2, 2, 5]
+    add("shard_0020", "more")
+    assert run() == [3, 2, 2, 2, 6]
+
+
+def test_lanes_end_together(spark, tmp_path):
+    """If one fails, the others are stopped and the failure is told."""
+    (_made(tmp_path / "in") / "shard_0000.parquet").write_bytes(b"\xff" * 64)
+    schema = T.StructType.fromDDL("doc_id string")
+    failing = streaming.stream_shards(spark, str(tmp_path / "in"), schema)
+    first = streaming.stream_shard_batches(failing, f"{tmp_path}/out", f"{tmp_path}/cp")
+    endless = spark.readStream.format("rate").load().writeStream.format("noop").start()
+    with pytest.raises(Exception, match="shard_0000"):
+        streaming.await_all([first, endless])
+    assert not endless.isActive
+
+
+def test_shard_files_take_few_calls(spark, tmp_path, monkeypatch):
+    """Listing and renaming asks for the file system a few times, not for each file."""
+    located = []
+    plain = session._located
+    monkeypatch.setattr(session, "_located", lambda *a: located.append(a) or plain(*a))
+    df = spark.createDataFrame([(f"d{i:04d}",) for i in range(200)], "doc_id string")
+    result = writers.write_shards(df, str(tmp_path / "shards"), 4)
+    assert result["num_shards"] == 50 and len(located) < 50
+    stored = [pa.parquet.read_table(tmp_path / "shards" / n)["doc_id"].to_pylist() for n in result["shard_files"]]
+    assert [d for s in stored for d in s] == [f"d{i:04d}" for i in range(200)]
+
+
 @pytest.fixture(scope="module")
 def parted(spark, tmp_path_factory):
     """Tables whose documents are a folder of three files."""
