@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,18 +74,28 @@ _FULL_RETRY = (
 
 
 @contextmanager
-def full_retry(spark: SparkSession) -> Iterator[None]:
-    """For jobs with a shuffle whose rows depend on the order they were read in."""
-    saved = {name: spark.conf.get(name) for name in _FULL_RETRY}
+def _set_for_now(spark: SparkSession, value: str, *names: str) -> Iterator[None]:
+    saved = {name: spark.conf.get(name) for name in names}
     try:
-        for name in _FULL_RETRY:
-            spark.conf.set(name, "true")
+        for name in names:
+            spark.conf.set(name, value)
         yield
     finally:
         for name, value in saved.items():
             spark.conf.set(name, value)
 
 
+def full_retry(spark: SparkSession) -> AbstractContextManager[None]:
+    """For jobs with a shuffle whose rows depend on the order they were read in."""
+    return _set_for_now(spark, "true", *_FULL_RETRY)
+
+
+def not_adaptive(spark: SparkSession) -> AbstractContextManager[None]:
+    """For many short jobs without a shuffle: each adaptive plan starts a thread on the driver
+    that stays for a minute, so they pile up in its memory."""
+    return _set_for_now(spark, "false", "spark.sql.adaptive.enabled")
+
+
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table below the shared folder and read it back: fixed rows, no lineage.
 

@@ -8,6 +8,7 @@ query checkpoint only remembers which files are done.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +17,7 @@ from rostrum.operators.batches import DEFAULT_BATCH, whole_shard_batches, with_s
 from rostrum.operators.cleaning import clean
 from rostrum.operators.features import with_topic_features
 from rostrum.schema import nan_to_null, to_spark_names
+from rostrum.session import not_adaptive
 from rostrum.sources.readers import shard_name
 
 # A task reads at most spark.sql.files.maxPartitionBytes, so this many read few bytes.
@@ -133,7 +135,9 @@ def stream_shard_batches(
             batched = number(rows, max(tasks, 1))
         else:
             batched = with_shard_batches(rows, "shard", batch_size, shuffle, seed, key)
-        batched.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
+        # The session is the stream's own.
+        with not_adaptive(rows.sparkSession) if tasks == 1 else nullcontext():
+            batched.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
 
     return (
         stream.writeStream.foreachBatch(store)

@@ -409,6 +409,23 @@ def test_micro_batches_of_few_bytes_are_not_shuffled(spark, tmp_path, monkeypatc
     same(spark.read.parquet(str(tmp_path / "out")).drop("epoch"), want)
 
 
+def test_micro_batches_of_few_bytes_start_no_adaptive_plans(spark, tmp_path, monkeypatch):
+    """Each would leave a thread on the driver for a minute. The caller's session stays as it is."""
+    directory = _write_shards(spark.createDataFrame([(f"d{i}",) for i in range(20)], "doc_id string"), tmp_path / "in")
+    seen = []
+    plain = type(spark.range(1).write).parquet
+
+    def watched(self, *a, **k):
+        session = self._df.sparkSession
+        seen.append((session.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.adaptive.enabled")))
+        return plain(self, *a, **k)
+
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", watched)
+    stream = streaming.stream_shards(spark, directory, T.StructType.fromDDL("doc_id string"), files_per_trigger=1)
+    streaming.stream_shard_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert seen == [("false", "true")] * 3
+
+
 def test_lanes_take_every_shard_once(spark, tmp_path):
     """Whatever its name, with the files of a trigger as given, and later ones as well."""
     schema = T.StructType.fromDDL("doc_id string")
